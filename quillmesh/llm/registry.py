@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmesh.llm import prefix_counts, tiktoken_codec, url_rules, wav_landmarks
-from quillmesh.llm.common import table
+from quillmesh.llm import language_id, prefix_counts, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
+from quillmesh.llm.common import remainder, table
+
+
+def op2_segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(remainder("doc_id", 5) != 0))
+    return language_id.predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op5_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +26,11 @@ def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {prefix_counts.LIMIT_TOKENS} AS over_limit")
 
 
+def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_ball.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_ball.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op9_url_range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, url_rules.RULES))
 
@@ -28,6 +40,6 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_tiktoken_round_trip, op7_prefix_token_counts, op9_url_range_rules, op10_wav_landmarks)
+    f.__name__: f for f in (op2_segmentation_language, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
 }
 ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL}
