@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, prefix_counts, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
+from quillmesh.llm import language_id, prefix_counts, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
 from quillmesh.llm.common import remainder, table
 
 
@@ -17,6 +17,10 @@ def op2_segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_shards.encode_and_read(table(spark, sf_dir, "documents"))
+
+
 def op5_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiktoken_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_segmentation_language, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
+    f.__name__: f for f in (op2_segmentation_language, op3_repair_token_shards, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
 }
 ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL}

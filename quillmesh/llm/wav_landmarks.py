@@ -3,7 +3,7 @@
 The payload is the text's UTF-8 bytes with bytes 255 appended up to a positive multiple of ``UNIT``. The wave module
 writes it as mono unsigned 8-bit samples and reads the samples back. A short-time Fourier transform (Hann window of
 ``UNIT`` samples, steps of half that) gives magnitudes; in each frame the strongest bin of each of ``BANDS`` bands that
-exceeds twice the band's mean is a peak, and each peak is paired with those of the next ``REACH`` frames. A pair's code is
+exceeds twice the band's mean is a peak, and each peak is paired with the higher ones of its frame and those of the next ``REACH`` frames. A pair's code is
 frame number << 32 | band bins and time distance; the sorted codes are the fingerprint.
 
 Defined cases: a null text is empty (one unit of bytes 255, no peaks). Equal texts give equal values. Ids may be null or
@@ -70,9 +70,9 @@ def landmarks(samples: bytes, size: int = UNIT) -> np.ndarray:
     """Sorted time-coded pairs: frame << 32 | first bin << 18 | second bin << 4 | distance in frames."""
     bins, clear = peaks(samples, size)
     codes = []
-    for gap in range(1, min(REACH, len(bins) - 1) + 1):
-        first, second = bins[:-gap, :, None], bins[gap:, None, :]
-        both = clear[:-gap, :, None] & clear[gap:, None, :]
+    for gap in range(min(REACH, len(bins) - 1) + 1):
+        first, second = bins[: len(bins) - gap, :, None], bins[gap:, None, :]
+        both = clear[: len(bins) - gap, :, None] & clear[gap:, None, :] & (gap > 0 or first < second)
         at = np.arange(len(bins) - gap, dtype=np.int64)[:, None, None]
         codes.append((at << 32 | first << 18 | second << 4 | gap)[both])
     return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
