@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, prefix_counts, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
+from quillmesh.llm import language_id, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
 from quillmesh.llm.common import remainder, table
 
 
+def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_nbsvm.train(docs, labels.where(remainder("doc_id", 3) != 1))
+    scored = quality_nbsvm.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op2_segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(remainder("doc_id", 5) != 0))
@@ -44,6 +51,6 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_segmentation_language, op3_repair_token_shards, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
+    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
 }
 ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL}
