@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
+from quillmesh.llm import language_id, lsa_decontaminate, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
 from quillmesh.llm.common import remainder, table
 
 
@@ -28,6 +28,10 @@ def op3_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_shards.encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op4_lsa_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiktoken_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
+    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op4_lsa_decontaminate, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
 }
 ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL}
