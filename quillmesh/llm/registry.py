@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, lsa_decontaminate, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
+from quillmesh.llm import ctw_lm, language_id, lsa_decontaminate, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
 from quillmesh.llm.common import remainder, table
 
 
@@ -36,6 +36,12 @@ def op5_tiktoken_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiktoken_codec.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ctw_lm.score(docs, ctw_lm.train(docs.where(remainder("doc_id", 7) != 2)))
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.prefix_table(table(spark, sf_dir, "documents"))
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {prefix_counts.LIMIT_TOKENS} AS over_limit")
@@ -55,6 +61,6 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op4_lsa_decontaminate, op5_tiktoken_round_trip, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
+    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op4_lsa_decontaminate, op5_tiktoken_round_trip, op6_context_tree_weighting, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
 }
 ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL}
