@@ -60,7 +60,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
         size = 0
         for row in rows(read(batches)):
             held.append(row)
-            size += sum(len(x) for x in row if isinstance(x, bytes | str))
+            size += sum(len(x) for x in row if isinstance(x, bytes | str | list))
             if len(held) >= flush or size > 8_000_000:
                 yield _batch(held, target)
                 held, size = [], 0
@@ -86,3 +86,17 @@ def grouped_batches(rows: Iterator[tuple], most: int, text_at: int, most_chars:
             held, size = [], 0
     if held:
         yield held
+
+
+def filter_rows(docs: DataFrame, judge: Callable[[Iterator[tuple]], Iterable[bool]], text_column: str = "text") -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns; judge gets (text,) rows and gives as many booleans."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                kept = pa.array(list(judge((text,) for text in part.column(at).to_pylist())), pa.bool_())
+                yield part.filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)

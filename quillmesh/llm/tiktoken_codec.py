@@ -91,15 +91,17 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, id_column:
     return map_rows(docs.select(id_column, text_column), rows, f"{id_column} {kind}, ids array<int>", flush=200)
 
 
-def round_trip(docs: DataFrame, ranks_path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text and decodes its ids, in one pass."""
+def round_trip(docs: DataFrame, ranks_path: str | None = None, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids): encodes each text and decodes its ids, in one pass."""
     path = ranks_path or vocabulary_path(RANKS_FILE)
 
     def rows(source):
         codec = Codec(path)
         for key, text in source:
             ids = codec.encode(text)
-            yield key, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+            row = key, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+            yield (*row, ids) if with_ids else row
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_rows(docs.select(id_column, text_column), rows, f"{id_column} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"{id_column} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_rows(docs.select(id_column, text_column), rows, f"{schema}, ids array<int>" if with_ids else schema, flush=200 if with_ids else 2000)
