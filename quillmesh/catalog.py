@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from quillmesh.plans.base import Query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+MODULES = ("text_queries", "ranking_queries", "record_queries")
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _name in MODULES:
+    _registry = import_module(f"quillmesh.plans.{_name}").REGISTRY
+    QUERIES |= _registry.queries
+    ORACLES |= _registry.oracles

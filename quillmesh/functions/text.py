@@ -7,6 +7,7 @@ Regular expressions use ``(?U)`` and ``(?iu)`` where letters beyond ASCII count.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -23,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space, of any kind, at both ends."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
@@ -126,24 +132,31 @@ def article_number(c: Column | str) -> Column:
 
 def expand_articles(c: Column | str) -> Column:
     """The numbers that a run such as ``65 va 66`` or ``24 — 35`` stands for."""
-    c = strip(c)
+    return bound(strip(c), _expanded)
+
+
+def _expanded(c: Column) -> Column:
     separators = r"(?U)\s*(?:,|\bva\b|\bhamda\b|—|–|(?<=\s)-(?=\s))\s*"
     parts = F.filter(F.split(c, separators, -1), lambda x: x != "")
+    is_range = c.rlike(r"—|–|(?<=\s)-(?=\s)")
+    return bound(parts, lambda p: F.when(is_range & (F.size(p) == 2), _range(p)).otherwise(p))
+
+
+def _range(parts: Column) -> Column:
+    """Both ends of a range as all numbers between, where they are plain or primes of one number and not too far apart."""
     first, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     whole = lambda x: x.rlike(r"^\d{1,9}$")
     as_int = lambda x: x.try_cast("int")
+    fits = lambda a, b: (as_int(b) - as_int(a)).between(1, P.LONGEST_ARTICLE_RANGE)
     base_a, base_b = F.split_part(first, F.lit("-"), F.lit(1)), F.split_part(last, F.lit("-"), F.lit(1))
     tail_a, tail_b = F.regexp_extract(first, r"^[^-]*-(.*)$", 1), F.regexp_extract(last, r"^[^-]*-(.*)$", 1)
-    fits = lambda a, b: (as_int(b) - as_int(a)).between(1, P.LONGEST_ARTICLE_RANGE)
-    plain = F.when(fits(first, last), F.transform(F.sequence(as_int(first), as_int(last)), lambda n: n.cast("string"))).otherwise(parts)
+    plain = F.transform(F.sequence(as_int(first), as_int(last)), lambda n: n.cast("string"))
     primed = F.transform(F.sequence(as_int(tail_a), as_int(tail_b)), lambda n: F.concat_ws("-", base_a, n.cast("string")))
-    is_range = (F.size(parts) == 2) & c.rlike(r"—|–|(?<=\s)-(?=\s)")
-    return F.when(~is_range, parts).when(whole(first) & whole(last), plain).when((base_a == base_b) & whole(tail_a) & whole(tail_b) & fits(tail_a, tail_b), primed).otherwise(parts)
+    return F.when(whole(first) & whole(last), F.when(fits(first, last), plain).otherwise(parts)).when((base_a == base_b) & whole(tail_a) & whole(tail_b) & fits(tail_a, tail_b), primed).otherwise(parts)
 
 
 def month_number(word: Column | str) -> Column:
-    low = F.lower(_col(word))
-    return F.coalesce(*[F.when(low.startswith(name), number) for name, number in P.MONTHS])
+    return bound(F.lower(_col(word)), lambda low: F.coalesce(*[F.when(low.startswith(name), number) for name, number in P.MONTHS]))
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
