@@ -225,7 +225,7 @@ def query_stems(c: Column | str, most: int = 32) -> Column:
     """At most 32 distinct stems of a query's words of three letters and more."""
     found = F.regexp_extract_all(fold_without_apostrophes(c), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
     stop = F.array(*[F.lit(w.replace("'", "")) for w in P.STOP_WORDS])
-    return F.slice(F.array_distinct(F.transform(F.filter(found, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)), stem_twice)), 1, most)
+    return F.slice(F.array_distinct(F.transform(F.filter(found, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)), lambda w: stem_twice(w))), 1, most)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
