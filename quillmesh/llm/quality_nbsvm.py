@@ -19,6 +19,7 @@ and text are read when scoring.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,6 +34,12 @@ CACHE_WORDS = 400_000
 REPEAT = 1
 
 
+@lru_cache(maxsize=1)
+def features_here() -> Features:
+    """One extractor a worker: its cache serves all its tasks."""
+    return Features()
+
+
 def shape_of(word: str) -> int:
     """A number (over 1, below 2^16) for the case, digits and closing marks of a word."""
     body = word.rstrip("".join({c for c in word if not c.isalnum()})) if not word.isalnum() else word
@@ -173,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(sample, "key").select("key", "label", "text")
 
     def extract(source):
-        features = Features()
+        features = features_here()
         for key, label, text in source:
             yield key, label, features(text).tolist()
 
@@ -187,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def score_rows(model: Model, source):
     """(other columns..., score) for rows whose last column is the text."""
-    features = Features()
+    features = features_here()
     for row in source:
         yield *row[:-1], model.score(features(row[-1]))
 

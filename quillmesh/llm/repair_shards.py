@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import map_rows, shared_path
 from quillmesh.llm.tiktoken_codec import vocabulary_path
-from quillmesh.llm.units import UnitEncoder
+from quillmesh.llm.units import encoder_for
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     named = tokenizer_path or vocabulary_path(TOKENIZER_FILE)
 
     def rows(source):
-        encoder = UnitEncoder(named)
+        encoder = encoder_for(named)
         first = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         part, number, size, inside = TaskContext.get().partitionId(), 0, 0, 0
         keys: list = []

@@ -52,6 +52,12 @@ class UnitCache(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> UnitEncoder:
+    """One encoder a worker: its cache serves all its tasks."""
+    return UnitEncoder(path)
+
+
 class UnitEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
