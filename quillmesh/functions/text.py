@@ -71,7 +71,8 @@ def looks_russian(c: Column | str) -> Column:
 
 
 def _latin_unless_russian(c: Column) -> Column:
-    return F.when(has_cyrillic(c) & ~looks_russian(c), to_latin(c)).otherwise(c)
+    """Only Cyrillic rows are looked at closely; a lambda keeps the long expression out of generated code."""
+    return F.when(has_cyrillic(c), bound(c, lambda x: F.when(looks_russian(x), x).otherwise(to_latin(x)))).otherwise(c)
 
 
 def canonical(c: Column | str, transliterate: bool = False) -> Column:
@@ -283,9 +284,9 @@ def article_reference(c: Column | str, compose: bool = True) -> tuple[Column, Co
     """(number, document hint) that a query names; both null without a number."""
     c = _col(c)
     number = F.coalesce(*[F.nullif(F.regexp_extract(c, P.ARTICLE_IN_QUERY, i), F.lit("")) for i in (1, 2)])
-    folded = fold(c, compose)
-    short = [F.when(folded.rlike(rf"(?U)\b{name}\b"), full) for name, full in P.CODE_SHORTHAND.items()]
-    return number, F.when(number.isNotNull(), F.coalesce(*short, *[F.when(folded.contains(w), w) for w in P.CODE_WORDS]))
+    short = lambda folded: [F.when(folded.rlike(rf"(?U)\b{name}\b"), full) for name, full in P.CODE_SHORTHAND.items()]
+    hint = bound(fold(c, compose), lambda folded: F.coalesce(*short(folded), *[F.when(folded.contains(w), w) for w in P.CODE_WORDS]))
+    return number, F.when(number.isNotNull(), hint)
 
 
 def is_legal_claim(c: Column | str, compose: bool = True) -> Column:

@@ -27,7 +27,7 @@ def split_sections(decisions: DataFrame, key: str = "case_id", text: str = "text
     """(key, section, body): intro before the first known heading, then the named parts; none without headings."""
     lines = decisions.select(key, F.posexplode(F.split(text, r"\r?\n", -1)).alias("pos", "line"))
     folded = F.rtrim(F.regexp_replace(T.fold("line", False), r":\s*$", ""))
-    name = F.coalesce(*[F.when(folded.startswith(v), section) for section, variants in SECTIONS for v in variants])
+    name = T.bound(folded, lambda x: F.coalesce(*[F.when(x.startswith(v), section) for section, variants in SECTIONS for v in variants]))
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("mark", F.when(F.col("line").rlike(HEADING), name))
     placed = marked.withColumn("section", F.coalesce(F.last("mark", ignorenulls=True).over(upto), F.lit("intro"))).withColumn("any", F.count("mark").over(Window.partitionBy(key)))
@@ -55,8 +55,8 @@ def parties(decisions: DataFrame, key: str = "case_id", text: str = "text") -> D
 
 
 def resolve_code(raw: Column) -> Column:
-    folded = T.fold(raw, False)
-    return F.coalesce(*[F.when(folded == short, full) for short, full in SHORT_CODES.items()], *[F.when(folded.contains(name), name) for name in sorted(CODES, key=len, reverse=True)])
+    short = lambda folded: [F.when(folded == name, full) for name, full in SHORT_CODES.items()]
+    return T.bound(T.fold(raw, False), lambda folded: F.coalesce(*short(folded), *[F.when(folded.contains(name), name) for name in sorted(CODES, key=len, reverse=True)]))
 
 
 def law_references(decisions: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
