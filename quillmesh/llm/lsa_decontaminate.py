@@ -3,8 +3,8 @@
 Benchmark passages are TF-IDF rows over their own words, with document frequencies counted over the whole corpus. A
 randomised SVD, distributed over the passages, gives the latent space: a random sketch Y = A O, its pull-back A'Y
 summed by word, an orthonormal basis, and a second pass for the small Gram matrix. Every document is then scanned in
-overlapping windows of the passages' scales; a window's cosine with each passage in the latent space picks candidates,
-windows whose weight lies outside the passages' words being passed over by a bound first. A candidate is checked in the
+overlapping windows of the passages' scales. In each stretch, passages of which too few words stand there to be found are
+left out first, exactly; a window's cosine with the others in the latent space picks candidates. A candidate is checked in the
 document's words: the longest common subsequence with the passage around the window, and the share of the passage's
 answer words (its ``ANSWER_SHARE`` of highest weight) that stand there. A common subsequence of ``COPY`` of the passage is
 a copy; one of ``PARAPHRASE`` with ``ANSWER`` of the answer words is a paraphrase.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -157,22 +158,47 @@ class Block:
         self.points = np.array(latent, np.float32).reshape(len(latent), space.shape[1])
         self.floor = np.array(shares)
         self.scales = {scale: np.array(at) for scale, at in sorted(scales.items())}
+        self.scale_of = np.zeros(len(self.keys), np.int64)
+        for scale, at in self.scales.items():
+            self.scale_of[at] = scale
+        self.holds = np.zeros((len(vocabulary), 2 * len(self.keys)), np.uint16)
+        for at, (words, answers) in enumerate(zip(self.words, self.answers, strict=True)):
+            np.add.at(self.holds[:, at], [vocabulary[w] for w in words], 1)
+            self.holds[[vocabulary[w] for w in answers], len(self.keys) + at] = 1
+        sizes = np.array([len(words) for words in self.words], float)
+        self.copy_words, self.paraphrase_words = COPY * sizes - 1e-9, PARAPHRASE * sizes - 1e-9
+        self.answer_words = np.array([ANSWER * len(answers) for answers in self.answers]) - 1e-9
+
+    def _possible(self, ids: np.ndarray) -> np.ndarray:
+        """Passages that the words around could hold: enough of their words for a copy, or for a paraphrase with its answer words."""
+        present = np.unique(ids)
+        found = self.holds[present[np.searchsorted(present, 0) :]].sum(axis=0, dtype=np.int32)
+        common, answers = found[: len(self.keys)], found[len(self.keys) :]
+        return np.flatnonzero((common >= self.copy_words) | (common >= self.paraphrase_words) & (answers >= self.answer_words))
 
     def candidates(self, words: list[str]):
-        """(passage, window start, window end, cosine) where the latent cosine is high enough."""
-        ids = np.fromiter(map(self.names.__getitem__, words), np.int32, len(words))
+        """(passage, window start, window end, cosine) where the latent cosine is high enough.
+
+        Stretches of windows are looked at together: first the passages that the words around them could hold at all, then
+        each window's bound, then the cosines of the windows left with those passages.
+        """
+        if not self.keys:
+            return
+        ids = np.array(list(map(self.names.get, words, repeat(-1))), np.int32)
         weights = self.idf[ids] ** 2
         every = np.concatenate([[0], np.cumsum(weights)])
         inside = np.concatenate([[0], np.cumsum(weights * self.inside[ids])])
-        for scale, passages in self.scales.items():
-            last = max(len(words) - scale, 0)
-            starts = np.arange(0, last + scale // 4, scale // 4).clip(max=last)
-            ends = np.minimum(starts + scale, len(words))
-            whole = every[ends] - every[starts]
-            part = inside[ends] - inside[starts]
-            least = self.floor[passages].min()
-            for first in range(0, len(starts), 2048):
-                at = first + np.flatnonzero(part[first : first + 2048] > least**2 * whole[first : first + 2048])
+        largest = max(self.scales)
+        stride = 4 * largest
+        for begin in range(0, len(words), stride):
+            possible = self._possible(ids[max(0, begin - 2 * largest) : begin + stride + 2 * largest])
+            for scale in np.unique(self.scale_of[possible]).tolist():
+                passages = possible[self.scale_of[possible] == scale]
+                last = max(len(words) - scale, 0)
+                starts = np.arange(begin, min(begin + stride, last + scale // 4), scale // 4).clip(max=last)
+                ends = np.minimum(starts + scale, len(words))
+                whole = every[ends] - every[starts]
+                at = np.flatnonzero(inside[ends] - inside[starts] > self.floor[passages].min() ** 2 * whole)
                 if not len(at):
                     continue
                 sums = np.array([self.rows[ids[s:e]].sum(axis=0) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
