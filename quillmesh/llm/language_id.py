@@ -50,7 +50,7 @@ def pieces(path: str) -> dict[str, int]:
 
 def words_of(text: str | None) -> list[str]:
     found = WORDS.findall((text or "").lower())
-    if any(len(word) > LONGEST_WORD for word in found):
+    if max(map(len, found), default=0) > LONGEST_WORD:
         found = [word[at : at + LONGEST_WORD] for word in found for at in range(0, len(word), LONGEST_WORD)]
     return found
 
@@ -59,58 +59,98 @@ def has_letter(words: list[str]) -> bool:
     return any(c.isalpha() for word in words for c in word)
 
 
-def lattices(words: list[str], vocabulary: dict[str, int]):
+class PieceTable:
+    """Finds pieces by a hash of their characters, for many words at once.
+
+    A piece's hash is a polynomial in its code points; the leading bits give its slot, and the whole hash is compared.
+    Pieces whose slot is taken go to a further table of slots.
+    """
+
+    BITS = 20
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.hashes = np.zeros(len(vocabulary) + 1, np.uint64)
+        for piece, number in vocabulary.items():
+            value = 0
+            for c in piece:
+                value = (value * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            self.hashes[number] = value
+        self.tables: list[np.ndarray] = []
+        left = np.arange(1, len(self.hashes))
+        while len(left):
+            table = np.zeros(1 << self.BITS, np.int32)
+            slots = self._slots(self.hashes[left], len(self.tables))
+            table[slots[::-1]] = left[::-1]
+            self.tables.append(table)
+            left = left[table[slots] != left]
+
+    def _slots(self, hashes: np.ndarray, number: int) -> np.ndarray:
+        return (hashes * np.uint64(2 * number + 0xD6E8FEB86659FD93) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for none."""
+        out = np.full(len(hashes), -1, np.int32)
+        for number, table in enumerate(self.tables):
+            found = table[self._slots(hashes, number)]
+            hit = (found > 0) & (self.hashes[found] == hashes)
+            out[hit] = found[hit]
+        return out
+
+
+@lru_cache(maxsize=2)
+def piece_table(path: str) -> PieceTable:
+    return PieceTable(pieces(path))
+
+
+def lattices(words: list[str], table: PieceTable):
     """Yields (places in words, ids) for words of one length; ids[w, j, k]: the piece of k + 1 characters that ends at j, or -1."""
-    by_length: dict[int, list[int]] = {}
-    for at, word in enumerate(words):
-        by_length.setdefault(len(word), []).append(at)
-    find = vocabulary.get
-    for length, places in sorted(by_length.items()):
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for length in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == length)
         n = length + 1
-        for first in range(0, len(places), 2048):
-            part = places[first : first + 2048]
-            ids = np.full((len(part), n, min(LONGEST_PIECE, n)), -1, np.int32)
-            for w, place in enumerate(part):
-                marked = BEGIN + words[place]
-                row = ids[w]
-                for j in range(n):
-                    row[j, 0] = find(marked[j], 0)
-                    for k in range(1, min(j + 1, LONGEST_PIECE)):
-                        found = find(marked[j - k : j + 1])
-                        if found is not None:
-                            row[j, k] = found
+        for first in range(0, len(places), 4096):
+            part = places[first : first + 4096]
+            letters = np.full((n, len(part)), ord(BEGIN) + 1, np.uint64)
+            letters[1:] = np.array([words[i] for i in part.tolist()], f"<U{length}").view(np.uint32).reshape(len(part), length).T + np.uint64(1)
+            ids = np.full((n, min(LONGEST_PIECE, n), len(part)), -1, np.int32)
+            for i in range(n):  # pieces that begin at i
+                value = np.zeros(len(part), np.uint64)
+                for k in range(min(LONGEST_PIECE, n - i)):
+                    value = value * table.BASE + letters[i + k]
+                    found = table.find(value)
+                    ids[i + k, k] = np.maximum(found, 0) if not k else found  # any single letter is a piece, if an unknown one
             yield part, ids
 
 
-def forward(ids: np.ndarray, chances) -> list[np.ndarray]:
-    """Scaled forward sums; chances(ids column) gives the probabilities of those pieces, 0 for -1."""
-    total = None
+def used_pieces(ids: np.ndarray) -> np.ndarray:
+    """Whether any word has a piece that ends at j with k + 1 characters."""
+    return (ids >= 0).any(axis=2)
+
+
+def forward(ids: np.ndarray, chances, used: np.ndarray) -> list[np.ndarray]:
+    """Scaled forward sums; chances(ids) gives the probabilities of those pieces, 0 for -1."""
     sums: list[np.ndarray] = []
-    for j in range(ids.shape[1]):
+    for j in range(len(ids)):
         total = 0.0
-        for k in range(min(j + 1, ids.shape[2])):
-            column = ids[:, j, k]
-            if k and not (column >= 0).any():
-                continue
-            term = chances(column) * SCALE ** (k + 1)
-            total = total + (term if j == k else sums[j - k - 1] * term)
+        for k in range(min(j + 1, ids.shape[1])):
+            if used[j, k]:
+                term = chances(ids[j, k]) * SCALE ** (k + 1)
+                total = total + (term if j == k else sums[j - k - 1] * term)
         sums.append(total)
     return sums
 
 
-def backward(ids: np.ndarray, chances) -> list[np.ndarray]:
-    n, wide = ids.shape[1], ids.shape[2]
+def backward(ids: np.ndarray, chances, used: np.ndarray) -> list[np.ndarray]:
+    """Scaled sums over the segmentations of what follows each character."""
+    n = len(ids)
     sums: list = [None] * n
-    for j in range(n - 1, -1, -1):  # the sum over segmentations of what follows character j
-        if j == n - 1:
-            sums[j] = np.ones_like(chances(ids[:, 0, 0]))
-            continue
+    sums[n - 1] = np.ones_like(chances(ids[0, 0]))
+    for j in range(n - 2, -1, -1):
         total = 0.0
-        for k in range(min(wide, n - 1 - j)):
-            column = ids[:, j + 1 + k, k]
-            if k and not (column >= 0).any():
-                continue
-            total = total + chances(column) * SCALE ** (k + 1) * sums[j + 1 + k]
+        for k in range(min(ids.shape[1], n - 1 - j)):
+            if used[j + 1 + k, k]:
+                total = total + chances(ids[j + 1 + k, k]) * SCALE ** (k + 1) * sums[j + 1 + k]
         sums[j] = total
     return sums
 
@@ -136,14 +176,21 @@ class Model:
 
     def __init__(self, path: str, languages: list[str], prior: np.ndarray, chances: np.ndarray):
         self.path, self.languages, self.prior, self.chances = path, languages, prior, chances
+        self._scorer: Scorer | None = None
+
+    def scorer(self) -> Scorer:
+        """One scorer a worker: its cache serves all its tasks."""
+        if self._scorer is None:
+            self._scorer = Scorer(self)
+        return self._scorer
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
         padded = np.vstack([self.chances, np.zeros((1, len(self.languages)))])
         out = np.empty((len(words), len(self.languages)))
-        for places, ids in lattices(words, pieces(self.path)):
-            last = forward(ids, lambda column: padded[column])[-1]
-            out[places] = np.log(last) - ids.shape[1] * np.log(SCALE)
+        for places, ids in lattices(words, piece_table(self.path)):
+            last = forward(ids, lambda at: padded[at], used_pieces(ids))[-1]
+            out[places] = np.log(last) - len(ids) * np.log(SCALE)
         return out
 
 
@@ -167,21 +214,20 @@ def train(docs: DataFrame, pieces_path: str | None = None, rounds: int = ROUNDS,
             for batch in grouped_batches(source, 50_000, 1, 1_000_000):
                 langs = np.array([number[lang] for lang, _, _ in batch])
                 weights = np.array([float(n) for _, _, n in batch])
-                for places, ids in lattices([word for _, word, _ in batch], pieces(path)):
-                    lang, weight = langs[places], weights[places]
-                    chance = lambda column, lang=lang: padded[column, lang]
-                    ahead, behind = forward(ids, chance), backward(ids, chance)
-                    share = weight / ahead[-1]
-                    for j in range(ids.shape[1]):
-                        for k in range(min(j + 1, ids.shape[2])):
-                            column = ids[:, j, k]
-                            if not (column >= 0).any():
-                                continue
-                            used = chance(column) * SCALE ** (k + 1) * behind[j] * share
-                            if j != k:
-                                used = used * ahead[j - k - 1]
-                            np.add.at(sums, (column, lang), used)
-            at = np.argwhere(sums[:-1] > 0)
+                for places, ids in lattices([word for _, word, _ in batch], piece_table(path)):
+                    lang, used = langs[places], used_pieces(ids)
+                    chance = lambda at, lang=lang: padded[at, lang]
+                    ahead, behind = forward(ids, chance, used), backward(ids, chance, used)
+                    share = weights[places] / ahead[-1]
+                    cells, uses = [], []
+                    for j, k in np.argwhere(used).tolist():
+                        use = chance(ids[j, k]) * SCALE ** (k + 1) * behind[j] * share
+                        cells.append(ids[j, k].astype(np.int64) * len(number) + lang)
+                        uses.append(use if j == k else use * ahead[j - k - 1])
+                    cell, use = np.concatenate(cells), np.concatenate(uses)
+                    real = cell >= 0
+                    sums += np.bincount(cell[real], use[real], minlength=sums.size).reshape(sums.shape)
+            at = np.argwhere(sums[:size] > 0)
             yield from ((int(p), int(g), float(sums[p, g])) for p, g in at)
 
         uses = map_rows(counted, expected, "piece int, lang int, uses double", flush=50_000).groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
@@ -196,7 +242,7 @@ def train(docs: DataFrame, pieces_path: str | None = None, rounds: int = ROUNDS,
 class Scorer:
     """Scores texts with a cache of words."""
 
-    SLICE = 50_000
+    SLICE = 150_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -219,10 +265,8 @@ class Scorer:
         """Of each list of words, the probability of each language."""
         flat = [word for words in groups for word in words]
         sums = np.zeros((len(groups), len(self.model.languages)))
-        if len(flat) <= self.SLICE:
-            fresh = set(flat)
-            if fresh:
-                self._sum(list(fresh))  # fills the cache for all groups at once
+        for first in range(0, len(flat), self.SLICE):
+            self._sum(flat[first : first + self.SLICE])  # fills the cache with large batches
         for at, words in enumerate(groups):
             for first in range(0, len(words), self.SLICE):
                 sums[at] += self._sum(words[first : first + self.SLICE])
@@ -234,8 +278,8 @@ class Scorer:
 
 def predict_rows(model: Model, source):
     """(other columns..., language, score) for rows whose last column is the text."""
-    scorer = Scorer(model)
-    for batch in grouped_batches(source, 2000, -1, 300_000):
+    scorer = model.scorer()
+    for batch in grouped_batches(source, 2000, -1, 1_000_000):
         groups = [words_of(row[-1]) for row in batch]
         sums = scorer.posteriors(groups) if model.languages else None
         for at, (row, words) in enumerate(zip(batch, groups, strict=True)):
