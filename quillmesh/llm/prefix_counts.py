@@ -15,6 +15,7 @@ and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from functools import lru_cache
@@ -48,29 +49,33 @@ class PrefixCounter:
 
         self.units = UnitEncoder(path)
         self.split = regex.compile(public_tokenizers.PATTERN)
-        self.vocabulary = self.units.tokenizer.get_vocab(with_added_tokens=False) if self.units.by_unit else {}
+        raw = {letter: byte for byte, letter in enumerate(byte_letters())}
+        spelled = lambda token: bytes(raw[c] for c in token)
+        names = self.units.tokenizer.get_vocab(with_added_tokens=False) if self.units.by_unit else {}
+        self.vocabulary = {spelled(name) for name in names}
         self.longest = max(map(len, self.vocabulary), default=0)
         self.marks = re.compile("|".join(map(re.escape, sorted(self.units.added, key=len, reverse=True)))) if self.units.added else None
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self.units.merges]
+        merges = [tuple(map(spelled, m.split(" ") if isinstance(m, str) else m)) for m in self.units.merges]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.halves = {left + right: (left, right, rank) for rank, (left, right) in reversed(list(enumerate(merges)))}
-        self.known: dict[str, tuple[int, str]] = {}
-        self.ends: dict[str, list] = {}
-        self.starts: dict[str, list] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.ends: dict[bytes, list] = {}
+        self.starts: dict[bytes, list] = {}
+        self.known: dict[bytes, tuple[list[int], list[bytes]]] = {}
         self.cache = UnitCache(self._unit)
         self.pieces = UnitCache(self._piece)
 
-    def _spine(self, token: str, side: int) -> list[tuple[str, int, float]]:
+    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int, float]]:
         """A token and the parts it grew from at one side: (part, rank that made it, rank that took it up), latest first."""
         out, taken = [], float("inf")
         while True:
-            left, right, rank = self.halves.get(token, ("", "", -1))
+            left, right, rank = self.halves.get(token, (b"", b"", -1))
             out.append((token, rank, taken))
             if rank < 0:
                 return out
             token, taken = (right if side else left), rank
 
-    def _goes(self, left: str, right: str) -> bool:
+    def _goes(self, left: bytes, right: bytes) -> bool:
         """Whether two tokens, each encoding its own text, stay apart when their texts are joined.
 
         Goes back through the parts that touched at the boundary; a merge across it wins if it comes before both
@@ -99,33 +104,46 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> list[int]:
         """counts[i]: tokens of the first i characters of a piece, taken as one piece."""
-        letters = byte_letters()
         data = piece.encode()
-        text = "".join([letters[b] for b in data])
-        n = len(text)
-        counts, last = [0] * (n + 1), [""] * (n + 1)
-        vocabulary, goes, known = self.vocabulary, self._goes, self.known
+        n = len(data)
+        vocabulary, pairs, known = self.vocabulary, self.pairs, self.known
         if len(known) >= PREFIX_ENTRIES:
             known.clear()
-        for i in range(1, n + 1):
-            if i <= LONGEST_KNOWN:
-                found = known.get(text[:i])
-                if found is not None:
-                    counts[i], last[i] = found
-                    continue
+        if len(pairs) >= PREFIX_ENTRIES:
+            pairs.clear()
+        counts, last, start = [0], [b""], 0
+        for start in range(min(n, LONGEST_KNOWN), 0, -1):
+            found = known.get(data[:start])
+            if found is not None:
+                counts, last = found[0][: start + 1], found[1][: start + 1]
+                break
+        else:
+            start = 0
+        for i in range(start + 1, n + 1):
             for j in range(max(0, i - self.longest), i):
-                token = text[j:i]
-                if token in vocabulary and (not j or goes(last[j], token)):
-                    counts[i], last[i] = counts[j] + 1, token
+                token = data[j:i]
+                if token in vocabulary:
+                    if j:
+                        pair = last[j], token
+                        apart = pairs.get(pair)
+                        if apart is None:
+                            apart = pairs[pair] = self._goes(*pair)
+                        if not apart:
+                            continue
+                    counts.append(counts[j] + 1)
+                    last.append(token)
                     break
             else:
                 raise ValueError(f"no encoding of {piece[:40]!r} ends at byte {i}")
-            if i <= LONGEST_KNOWN:
-                known[text[:i]] = counts[i], last[i]
-        if len(data) == len(piece):
+        for i in range(start + 1, min(n, LONGEST_KNOWN) + 1):
+            known[data[:i]] = counts, last
+        if n == len(piece):
             return counts
-        ends = np.cumsum([0] + [len(c.encode()) for c in piece])
-        return [counts[e] for e in ends]
+        out, end = [0], 0
+        for c in piece:
+            end += len(c.encode())
+            out.append(counts[end])
+        return out
 
     def _unit(self, unit: str) -> bytes:
         """Changes of the count with each character of a unit, as signed bytes."""
@@ -175,6 +193,13 @@ class PrefixCounter:
         return len(self.units.encode(text))
 
 
+@lru_cache(maxsize=1)
+def counter_for(path: str) -> PrefixCounter:
+    """One counter a worker: its caches serve all its tasks, and hold no cycles for the collector to look for."""
+    gc.set_threshold(500_000, 50, 1000)
+    return PrefixCounter(path)
+
+
 def _narrow(steps: np.ndarray) -> bytes:
     if len(steps) and (steps.min() < -128 or steps.max() > 127):
         raise ValueError("a count changes by more than a signed byte holds")
@@ -205,7 +230,7 @@ def prefix_table(docs: DataFrame, tokenizer_path: str | None = None, id_column:
             for key, text in source:
                 yield key, len((text or "").encode()), len(pieces.encode(text or "", num_threads=1)), None
             return
-        counter = PrefixCounter(path)
+        counter = counter_for(path)
         for key, text in source:
             if counter.units.by_unit:
                 table = counter.changes(text)
