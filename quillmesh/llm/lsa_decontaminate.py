@@ -4,8 +4,9 @@ Benchmark passages are TF-IDF rows over their own words, with document frequenci
 randomised SVD, distributed over the passages, gives the latent space: a random sketch Y = A O, its pull-back A'Y
 summed by word, an orthonormal basis, and a second pass for the small Gram matrix. Every document is then scanned in
 overlapping windows of the passages' scales. In each stretch, passages of which too few words stand there to be found are
-left out first, exactly; a window's cosine with the others in the latent space picks candidates. A candidate is checked in the
-document's words: the longest common subsequence with the passage around the window, and the share of the passage's
+left out first, exactly. Of the others, a window's cosine in the latent space picks candidates, and so do, whatever the
+cosine, enough of a passage's words for a copy around the window: the words of passages that stand in many documents have
+too little weight for the cosine. A candidate is checked in the document's words: the longest common subsequence with the passage around the window, and the share of the passage's
 answer words (its ``ANSWER_SHARE`` of highest weight) that stand there. A common subsequence of ``COPY`` of the passage is
 a copy; one of ``PARAPHRASE`` with ``ANSWER`` of the answer words is a paraphrase.
 
@@ -177,10 +178,10 @@ class Block:
         return np.flatnonzero((common >= self.copy_words) | (common >= self.paraphrase_words) & (answers >= self.answer_words))
 
     def candidates(self, words: list[str]):
-        """(passage, window start, window end, cosine) where the latent cosine is high enough.
+        """(passage, window start, window end, cosine) where the latent cosine is high enough or the words suffice for a copy.
 
         Stretches of windows are looked at together: first the passages that the words around them could hold at all, then
-        each window's bound, then the cosines of the windows left with those passages.
+        each window's bounds, then the cosines of the windows left with those passages.
         """
         if not self.keys:
             return
@@ -196,16 +197,27 @@ class Block:
                 passages = possible[self.scale_of[possible] == scale]
                 last = max(len(words) - scale, 0)
                 starts = np.arange(begin, min(begin + stride, last + scale // 4), scale // 4).clip(max=last)
+                if not len(starts):
+                    continue
                 ends = np.minimum(starts + scale, len(words))
                 whole = every[ends] - every[starts]
-                at = np.flatnonzero(inside[ends] - inside[starts] > self.floor[passages].min() ** 2 * whole)
+                exact = np.stack([self._copy_bound(p, ids, starts, ends) >= self.copy_words[p] for p in passages.tolist()], axis=1)
+                at = np.flatnonzero((inside[ends] - inside[starts] > self.floor[passages].min() ** 2 * whole) | exact.any(axis=1))
                 if not len(at):
                     continue
                 sums = np.array([self.rows[ids[s:e]].sum(axis=0) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
                 cosines = sums @ self.points[passages].T / np.sqrt(np.maximum(whole[at], 1e-12))[:, None]
-                for w, p in np.argwhere(cosines >= self.floor[passages]).tolist():
+                for w, p in np.argwhere((cosines >= self.floor[passages]) | exact[at]).tolist():
                     yield int(passages[p]), int(starts[at[w]]), int(ends[at[w]]), float(cosines[w, p])
 
+    def _copy_bound(self, passage: int, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How many words around each window stand in the passage, which no common subsequence exceeds."""
+        size = len(self.words[passage])
+        begin, end = max(0, int(starts.min()) - size), int(ends.max()) + size
+        inside = np.append(self.holds[:, passage] > 0, False)[ids[begin:end]]  # the last is for words outside
+        sums = np.concatenate([[0], np.cumsum(inside)])
+        return sums[np.minimum(ends + size, begin + len(inside)) - begin] - sums[np.maximum(starts - size, 0) - begin]
+
     def check(self, passage: int, words: list[str], start: int, end: int) -> tuple[float, float]:
         """Shares of the passage in the longest common subsequence, and of its answer words, around a window."""
         wanted = self.words[passage]

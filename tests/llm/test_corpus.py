@@ -171,3 +171,17 @@ def test_op4_finds_paraphrases_and_leaves_others(spark, odd, empty):
     assert found[1, 9] == found[1, 13] == "copy" and found[6, 12] == "copy" and not {k for k in found if k[0] in (3, 4, 5)}
     assert lsa_decontaminate.find_leaks(odd, items).count() == 0 and lsa_decontaminate.find_leaks(empty, items).count() == 0
     assert lsa_decontaminate.find_leaks(docs, items.where("false")).count() == 0
+
+
+def test_op4_finds_copies_of_passages_that_stand_in_many_documents(spark):
+    rng = np.random.default_rng(5)
+    third, most = [" ".join(f"{name}{i}" for i in rng.permutation(33)) for name in ("third", "most")]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(f"filler{j}" for j in rng.integers(0, 100_000, 150)) for _ in range(3)]
+        docs.append((i, " ".join([parts[0], third if i % 3 == 0 else "", parts[1], most if i % 3 else "", parts[2]])))
+    docs.append((60, " ".join(f"filler{j}" for j in range(237)) + " " + third))  # its last stretch has no window of its own
+    rare = [(10 + k, " ".join(f"rare{k}x{i}" for i in range(33))) for k in range(10)]
+    items = spark.createDataFrame([(1, third), (2, most), *rare], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.kind) for r in lsa_decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert found == {(i, 2 if i % 3 else 1, "copy") for i in range(61)}
