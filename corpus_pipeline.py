@@ -5,15 +5,15 @@ the shared folder and read again as the next stage's docs. All but the last retu
 
 Defined cases. Quality: a text whose score is under 0.5 goes; without labels of both classes the constant score decides.
 Language: texts that are null or without a letter, and those whose best language is less likely than ``LEAST_LANGUAGE``,
-go. Near-dedup: of each group of linked documents the one with the smallest id stays (rows that repeat this id once;
-documents without an id stay only where none of their group has one). Decontamination: documents that hold a passage of
+go. Near-dedup: of each group of linked documents the one with the smallest id stays, of rows that repeat this id the
+longest; a document without an id stays only where none of its group has one. Rows of one id, or without an id, that are
+in different groups all stay. Decontamination: documents that hold a passage of
 the benchmark, or a paraphrase, go. Encoding: a null text has no ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import language_id, lsa_decontaminate, quality_nbsvm, simhash_ball, tiktoken_codec
 from quillmesh.llm.common import filter_rows, materialise, table
@@ -33,10 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash_ball.near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(groups.select(F.col("doc_id").alias("__kept"), "__rows"), F.col("doc_id").eqNullSafe(F.col("__kept")))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc()))
-    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    return simhash_ball.one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

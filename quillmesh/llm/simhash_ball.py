@@ -18,8 +18,10 @@ are read. Long texts are hashed in blocks.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmesh.llm.common import map_rows, materialise
 from quillmesh.llm.components import components
@@ -78,5 +80,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return known.join(named, "fp").select(id_column, "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of linked rows: least by id (null last), then the longest text, then its place."""
+    at = docs.columns.index(text_column)
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__size", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                texts = part.column(at).to_pylist()
+                prints = np.array([fingerprint(text, shingle) for text in texts], np.uint64).view(np.int64)
+                sizes = pa.array([len(text or "") for text in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints), sizes], names=[*part.schema.names, "__fp", "__size"])
+
+    keyed = materialise(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    distinct = keyed.select(F.col("__fp").alias("fp")).distinct()
+    roots = components(ball_links(distinct)).select(F.col("node").alias("__fp"), "root")
+    order = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), (-F.col("__size")).alias("size"), F.col("__row").alias("row"))
+    of_print = keyed.groupBy("__fp").agg(F.min(order).alias("least"))
+    kept = of_print.join(roots, "__fp", "left").groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("least")["row"].alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
+
+
 def hex_digits(fp: str):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

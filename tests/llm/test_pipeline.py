@@ -59,3 +59,12 @@ def test_run_gives_ids_of_what_was_kept(spark):
     rows = out.collect()
     assert 0 < len(rows) < len(texts)
     assert all(list(r.ids) == codec.encode(texts[r.doc_id]) and codec.decode(list(r.ids)) == texts[r.doc_id].encode() for r in rows)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Different texts without an id, or under one id, all stay; a copy without an id goes."""
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcdef"]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (3, texts[4]), (4, texts[5])]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
+    wanted = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (4, texts[5])]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, wanted))
