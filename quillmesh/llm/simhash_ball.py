@@ -10,6 +10,12 @@ A fingerprint: ASCII letters lower-cased, words between ASCII white space, shing
 space, repeats included (fewer words: the whole sequence; none: fingerprint zero), XXH64 of each with seed 42; a bit is
 set where it is set in more than half of the hashes.
 
+``one_of_each_group`` also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, most of
+which lie further off than two bits. Texts with an equal band of least hashes meet (of 32 bands of 5, so three pairs in a
+million of similarity 0.8 never do), each with the four before it in an order that changes with the band, and every link
+is verified by the sets themselves. In bands that more than five different texts share, links are found by these orders
+and by way of other members of a group, not by all pairs.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Repeated rows stay repeated. A
 null id never names a component: that is the smallest id reachable, null only where all are. Only the id and text columns
 are read. Long texts are hashed in blocks.
@@ -21,13 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillmesh.llm.common import map_rows, materialise
 from quillmesh.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
+WIDE, SIMILAR, BANDS, BAND_ROWS, LAGS = 5, 0.8, 32, 5, 4
+MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -80,10 +89,87 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return known.join(named, "fp").select(id_column, "fp", "component_id")
 
 
+def min_hashes(text: str | None) -> tuple[int, list[int]]:
+    """A key of the text's words, and the hashes of ``BANDS`` bands of ``BAND_ROWS`` least hashes of its shingles."""
+    from xxhash import xxh64_intdigest
+
+    joined, shingles = shingle_set(text)
+    if not len(shingles):
+        return 0, []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        mixed = shingles[at : at + 1024, None] * MULTIPLIERS
+        np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * MIX).min(axis=0), out=least)
+    key = np.array([xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)
+    bands = [xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return int(key[0]), np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def shingle_set(text: str | None) -> tuple[bytes, np.ndarray]:
+    """The words joined by spaces and the sorted distinct hashes of their shingles of ``WIDE`` words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    if not words:
+        return joined, np.zeros(0, np.uint64)
+    width = min(WIDE, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
+    return joined, np.unique(np.array([xxh64_intdigest(joined[b:e], SEED) for b, e in zip(begins.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of the shingle sets of two texts."""
+    one, other = shingle_set(a)[1], shingle_set(b)[1]
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return common / max(len(one) + len(other) - common, 1)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of keys whose texts are similar."""
+
+    def rows(source):
+        for a, b, one, other in source:
+            if similarity(one, other) >= SIMILAR:
+                yield a, b
+
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("other")), "b")
+    return map_rows(both.select("a", "b", "one", "other"), rows, "a bigint, b bigint")
+
+
+def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
+    """(a, b): links between fingerprints of texts that share a band and have a similarity of ``SIMILAR`` or more.
+
+    Pairs within an already linked group need no check, so each text's pair of most bands is checked first and the others
+    only across the groups found.
+    """
+    texts = keyed.where("size(__bands) > 0").groupBy(F.col("__key").alias("key")).agg(F.min("__row").alias("row"))
+    chosen = keyed.join(texts.select(F.col("row").alias("__row")), "__row", "left_semi")
+    chosen = materialise(chosen.select(F.col("__key").alias("key"), F.col("__fp").alias("fp"), F.col(text_column).alias("text"), F.col("__bands").alias("bands")), "distinct-texts")
+    band = Window.partitionBy("value").orderBy(F.xxhash64("key", "value"), "key")
+    met = chosen.select("key", F.explode("bands").alias("value")).select("key", *[F.lag("key", n).over(band).alias(f"k{n}") for n in range(1, LAGS + 1)])
+    paired = met.select("key", F.explode(F.array(*[F.col(f"k{n}") for n in range(1, LAGS + 1)])).alias("other")).where("other IS NOT NULL")
+    pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n")), "candidates")
+    ends = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    closest = ends.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    first = materialise(_verified(closest, chosen), "links")
+    roots = components(first)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = pairs.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
+    links = first.unionAll(_verified(apart, chosen))
+    prints = chosen.select("key", "fp")
+    named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
+    return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+
+
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of linked rows: least by id (null last), then the longest text, then its place."""
+    """One row of each group of linked rows: least by id (null last), then the longest text, then its place.
+
+    Rows are linked by fingerprints within ``RADIUS`` bits, or by similar texts.
+    """
     at = docs.columns.index(text_column)
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__size", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__size", LongType()), StructField("__key", LongType()), StructField("__bands", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -92,11 +178,14 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
                 texts = part.column(at).to_pylist()
                 prints = np.array([fingerprint(text, shingle) for text in texts], np.uint64).view(np.int64)
                 sizes = pa.array([len(text or "") for text in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints), sizes], names=[*part.schema.names, "__fp", "__size"])
+                keys, bands = zip(*map(min_hashes, texts), strict=True)
+                added = [pa.array(prints), sizes, pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "__fp", "__size", "__key", "__bands"])
 
     keyed = materialise(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "keyed")
     distinct = keyed.select(F.col("__fp").alias("fp")).distinct()
-    roots = components(ball_links(distinct)).select(F.col("node").alias("__fp"), "root")
+    links = ball_links(distinct).unionAll(similar_links(keyed, text_column))
+    roots = components(links).select(F.col("node").alias("__fp"), "root")
     order = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), (-F.col("__size")).alias("size"), F.col("__row").alias("row"))
     of_print = keyed.groupBy("__fp").agg(F.min(order).alias("least"))
     kept = of_print.join(roots, "__fp", "left").groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("least")["row"].alias("__row"))

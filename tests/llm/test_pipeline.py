@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from quillmesh.llm import language_id, lsa_decontaminate, quality_nbsvm, simhash_ball, tiktoken_codec
 from quillmesh.llm.common import table
@@ -68,3 +70,22 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
     wanted = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (4, texts[5])]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, wanted))
+
+
+def test_near_dedup_finds_copies_with_small_edits(spark):
+    """Three of 200 words changed leave a five-word similarity of 0.86; twelve leave 0.54."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(30):
+        words = [f"w{j}" for j in rng.integers(0, 5000, 200)]
+        few, many = list(words), list(words)
+        for n, at in enumerate((30, 90, 150)):
+            few[at] = f"few{n}"
+        for n in range(12):
+            many[10 + 15 * n] = f"many{n}"
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(few)), (3 * i + 2, " ".join(many))]
+    texts = dict(rows)
+    assert any((simhash_ball.fingerprint(texts[3 * i]) ^ simhash_ball.fingerprint(texts[3 * i + 1])).bit_count() > 2 for i in range(30))
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
+    assert {r.doc_id for r in out.collect()} == {i for i in texts if i % 3 != 1}
+    assert simhash_ball.similarity(texts[0], texts[1]) >= 0.8 > simhash_ball.similarity(texts[0], texts[2])
