@@ -55,7 +55,7 @@ def _frequent_pairs(symbols: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray
 
 
 def _choose(pairs: np.ndarray, room: int) -> np.ndarray:
-    """The leading pairs such that no symbol is the left of one and the right of another; a repeated symbol only alone."""
+    """The leading pairs such that no symbol is the left of one and the right of another, without pairs of two equal symbols."""
     chosen: list[int] = []
     lefts: set[int] = set()
     rights: set[int] = set()
