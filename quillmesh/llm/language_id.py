@@ -6,6 +6,9 @@ together, summed by a forward pass. The probabilities come from expectation-maxi
 language: forward and backward passes give every piece's expected number of uses. A text's score for a language is the
 log probability of its words and of the language; the posterior of the best language is the score returned.
 
+Pieces of more than ``LONGEST_PIECE`` characters are left out of the vocabulary, so the sum is over segmentations into
+shorter ones.
+
 Only sequences of letters count, lower-cased and cut at ``LONGEST_WORD`` letters; a letter outside the vocabulary is an
 unknown piece. Word counts cover all training rows and stay distributed; what comes to the driver is one number for each
 piece and language.
