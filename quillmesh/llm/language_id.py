@@ -6,12 +6,10 @@ together, summed by a forward pass. The probabilities come from expectation-maxi
 language: forward and backward passes give every piece's expected number of uses. A text's score for a language is the
 log probability of its words and of the language; the posterior of the best language is the score returned.
 
-Pieces of more than ``LONGEST_PIECE`` characters are left out of the vocabulary, so the sum is over segmentations into
-shorter ones.
-
-Only sequences of letters count, lower-cased and cut at ``LONGEST_WORD`` letters; a letter outside the vocabulary is an
-unknown piece. Word counts cover all training rows and stay distributed; what comes to the driver is one number for each
-piece and language.
+Only sequences of letters count, lower-cased and whole, however long; pieces with a capital can't stand in them and have
+no probability. A letter outside the vocabulary is an unknown piece. The sums are rescaled every ``RESCALE`` characters, and
+no piece is less likely than ``LEAST_CHANCE``, so they neither underflow nor overflow. Word counts cover all training rows
+and stay distributed; what comes to the driver is one number for each piece and language.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Without training rows every text is. Ties go
 to the language first in order. Repeated rows and null ids stay; only id, text and lang are read, lang in training alone.
@@ -29,12 +27,13 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import grouped_batches, map_rows, materialise
 from quillmesh.llm.tiktoken_codec import vocabulary_path
+from quillmesh.llm.units import UnitTable
 
 PIECES_FILE = "piece_bpe_32k.model"
 UNKNOWN_LANGUAGE = "und"
-LONGEST_WORD, LONGEST_PIECE = 40, 12
-ROUNDS, SMOOTHING = 2, 0.1
-SCALE = 1e3
+ROUNDS, SMOOTHING, LEAST_CHANCE = 2, 0.1, 1e-15
+SCALE, RESCALE = 1e3, 6
+CELLS = 120_000
 WORDS = re.compile(r"[^\W\d_]+")
 BEGIN = "▁"
 FLUSH_TYPES = 200_000
@@ -47,15 +46,12 @@ def pieces(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    kept = sorted({name for name in names if name == name.lower() and len(name) <= LONGEST_PIECE} | {BEGIN})
+    kept = sorted({name for name in names if name == name.lower()} | {BEGIN})
     return {name: i for i, name in enumerate(kept, 1)}
 
 
 def words_of(text: str | None) -> list[str]:
-    found = WORDS.findall((text or "").lower())
-    if max(map(len, found), default=0) > LONGEST_WORD:
-        found = [word[at : at + LONGEST_WORD] for word in found for at in range(0, len(word), LONGEST_WORD)]
-    return found
+    return WORDS.findall((text or "").lower())
 
 
 def has_letter(words: list[str]) -> bool:
@@ -73,6 +69,7 @@ class PieceTable:
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocabulary: dict[str, int]):
+        self.longest = max(map(len, vocabulary), default=1)
         self.hashes = np.zeros(len(vocabulary) + 1, np.uint64)
         for piece, number in vocabulary.items():
             value = 0
@@ -107,23 +104,32 @@ def piece_table(path: str) -> PieceTable:
 
 
 def lattices(words: list[str], table: PieceTable):
-    """Yields (places in words, ids) for words of one length; ids[w, j, k]: the piece of k + 1 characters that ends at j, or -1."""
+    """Yields (places in words, ids) for words of about one length; ids[j, k, w]: the piece of k + 1 characters that ends at j.
+
+    Words end at the last j, and are filled up before their mark with a filler piece; -1 is no piece.
+    """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(sizes).tolist():
-        places = np.flatnonzero(sizes == length)
-        n = length + 1
-        for first in range(0, len(places), 4096):
-            part = places[first : first + 4096]
-            letters = np.full((n, len(part)), ord(BEGIN) + 1, np.uint64)
-            letters[1:] = np.array([words[i] for i in part.tolist()], f"<U{length}").view(np.uint32).reshape(len(part), length).T + np.uint64(1)
-            ids = np.full((n, min(LONGEST_PIECE, n), len(part)), -1, np.int32)
-            for i in range(n):  # pieces that begin at i
-                value = np.zeros(len(part), np.uint64)
-                for k in range(min(LONGEST_PIECE, n - i)):
-                    value = value * table.BASE + letters[i + k]
-                    found = table.find(value)
-                    ids[i + k, k] = np.maximum(found, 0) if not k else found  # any single letter is a piece, if an unknown one
-            yield part, ids
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    first = 0
+    while first < len(order):
+        least = int(ordered[first])
+        end = min(int(np.searchsorted(ordered, least + least // 8, "right")), first + max(1, CELLS // (least + 1)))
+        part, n = order[first:end], int(ordered[end - 1]) + 1
+        first = end
+        marked = np.array([(BEGIN + words[i]).rjust(n, "\0") for i in part.tolist()], f"<U{n}")
+        codes = np.ascontiguousarray(marked.view(np.uint32).reshape(len(part), n).T)
+        letters = codes.astype(np.uint64) + np.uint64(1)
+        width = min(table.longest, n)
+        ids = np.full((n, width, len(part)), -1, np.int32)
+        for i in range(n):  # pieces that begin at i
+            value = np.zeros(len(part), np.uint64)
+            for k in range(min(width, n - i)):
+                value = value * table.BASE + letters[i + k]
+                found = table.find(value)
+                ids[i + k, k] = np.maximum(found, 0) if not k else found  # any single letter is a piece, if an unknown one
+        ids[:, 0][codes == 0] = len(table.hashes)
+        yield part, ids
 
 
 def used_pieces(ids: np.ndarray) -> np.ndarray:
@@ -131,33 +137,76 @@ def used_pieces(ids: np.ndarray) -> np.ndarray:
     return (ids >= 0).any(axis=2)
 
 
-def forward(ids: np.ndarray, chances, used: np.ndarray) -> list[np.ndarray]:
-    """Scaled forward sums; chances(ids) gives the probabilities of those pieces, 0 for -1."""
-    sums: list[np.ndarray] = []
+def filled(chances: np.ndarray) -> np.ndarray:
+    """The pieces' probabilities with those of the filler, which changes no sum, and of no piece."""
+    return np.vstack([np.maximum(chances, LEAST_CHANCE), np.full((1, chances.shape[1]), 1 / SCALE), np.zeros((1, chances.shape[1]))])
+
+
+def forward(ids: np.ndarray, chances, used: np.ndarray, keep: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sum, logarithm of its scale) up to each character, or up to the last only; chances(ids) gives probabilities, 0 for -1."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    window: list[np.ndarray] = []  # the last sums, latest first, in one scale
+    scale = 0.0
     for j in range(len(ids)):
         total = 0.0
         for k in range(min(j + 1, ids.shape[1])):
             if used[j, k]:
                 term = chances(ids[j, k]) * SCALE ** (k + 1)
-                total = total + (term if j == k else sums[j - k - 1] * term)
-        sums.append(total)
-    return sums
-
-
-def backward(ids: np.ndarray, chances, used: np.ndarray) -> list[np.ndarray]:
-    """Scaled sums over the segmentations of what follows each character."""
+                total = total + (term * np.exp(-scale) if j == k else window[k] * term)
+        if keep or j == len(ids) - 1:
+            kept.append((total, scale + np.zeros_like(total)))
+        window = [total, *window[: ids.shape[1] - 1]]
+        if j % RESCALE == RESCALE - 1:
+            scale = scale + np.log(total)
+            window = [sums / total for sums in window]
+    return kept
+
+
+def backward(ids: np.ndarray, chances, used: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sum, logarithm of its scale) over the segmentations of what follows each character."""
     n = len(ids)
-    sums: list = [None] * n
-    sums[n - 1] = np.ones_like(chances(ids[0, 0]))
+    one = np.ones_like(chances(ids[0, 0]))
+    kept, window, scale = [(one, np.zeros_like(one))], [one], np.zeros_like(one)
     for j in range(n - 2, -1, -1):
         total = 0.0
         for k in range(min(ids.shape[1], n - 1 - j)):
             if used[j + 1 + k, k]:
-                total = total + chances(ids[j + 1 + k, k]) * SCALE ** (k + 1) * sums[j + 1 + k]
-        sums[j] = total
+                total = total + chances(ids[j + 1 + k, k]) * SCALE ** (k + 1) * window[k]
+        kept.append((total, scale))
+        window = [total, *window[: ids.shape[1] - 1]]
+        if j % RESCALE == 0:
+            scale = scale + np.log(total)
+            window = [sums / total for sums in window]
+    return kept[::-1]
+
+
+def expected_uses(words: list[str], weights: np.ndarray, langs: np.ndarray, padded: np.ndarray, table: PieceTable) -> np.ndarray:
+    """Expected uses (filled pieces, languages) of the pieces in words of a weight and a language each."""
+    sums = np.zeros(padded.shape)
+    for places, ids in lattices(words, table):
+        lang, used = langs[places], used_pieces(ids)
+        chance = lambda at, lang=lang: padded[at, lang]
+        ahead, behind = forward(ids, chance, used), backward(ids, chance, used)
+        all_log = np.log(ahead[-1][0]) + ahead[-1][1]
+        cells, uses = [], []
+        for j, k in np.argwhere(used).tolist():
+            before, before_log = ahead[j - k - 1] if j > k else (1.0, 0.0)
+            cells.append(ids[j, k].astype(np.int64) * len(padded[0]) + lang)
+            uses.append(chance(ids[j, k]) * SCALE ** (k + 1) * before * behind[j][0] * np.exp(before_log + behind[j][1] - all_log) * weights[places])
+            if len(cells) * len(lang) > 2_000_000:
+                sums += _gathered(cells, uses, sums)
+                cells, uses = [], []
+        if cells:
+            sums += _gathered(cells, uses, sums)
     return sums
 
 
+def _gathered(cells: list[np.ndarray], uses: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    cell, use = np.concatenate(cells), np.concatenate(uses)
+    real = cell >= 0
+    return np.bincount(cell[real], use[real], minlength=like.size).reshape(like.shape)
+
+
 def word_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """(lang, word, n) over all rows with a language."""
 
@@ -189,11 +238,11 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        padded = np.vstack([self.chances, np.zeros((1, len(self.languages)))])
+        padded = filled(self.chances)
         out = np.empty((len(words), len(self.languages)))
         for places, ids in lattices(words, piece_table(self.path)):
-            last = forward(ids, lambda at: padded[at], used_pieces(ids))[-1]
-            out[places] = np.log(last) - len(ids) * np.log(SCALE)
+            ((last, scale),) = forward(ids, lambda at: padded[at], used_pieces(ids), keep=False)
+            out[places] = np.log(last) + scale - len(ids) * np.log(SCALE)
         return out
 
 
@@ -212,24 +261,12 @@ def train(docs: DataFrame, pieces_path: str | None = None, rounds: int = ROUNDS,
         shared = spark.sparkContext.broadcast(chances)
 
         def expected(source, shared=shared):
-            padded = np.vstack([shared.value, np.zeros((1, len(number)))])
+            padded = filled(shared.value)
             sums = np.zeros(padded.shape)
             for batch in grouped_batches(source, 50_000, 1, 1_000_000):
                 langs = np.array([number[lang] for lang, _, _ in batch])
                 weights = np.array([float(n) for _, _, n in batch])
-                for places, ids in lattices([word for _, word, _ in batch], piece_table(path)):
-                    lang, used = langs[places], used_pieces(ids)
-                    chance = lambda at, lang=lang: padded[at, lang]
-                    ahead, behind = forward(ids, chance, used), backward(ids, chance, used)
-                    share = weights[places] / ahead[-1]
-                    cells, uses = [], []
-                    for j, k in np.argwhere(used).tolist():
-                        use = chance(ids[j, k]) * SCALE ** (k + 1) * behind[j] * share
-                        cells.append(ids[j, k].astype(np.int64) * len(number) + lang)
-                        uses.append(use if j == k else use * ahead[j - k - 1])
-                    cell, use = np.concatenate(cells), np.concatenate(uses)
-                    real = cell >= 0
-                    sums += np.bincount(cell[real], use[real], minlength=sums.size).reshape(sums.shape)
+                sums += expected_uses([word for _, word, _ in batch], weights, langs, padded, piece_table(path))
             at = np.argwhere(sums[:size] > 0)
             yield from ((int(p), int(g), float(sums[p, g])) for p, g in at)
 
@@ -243,36 +280,24 @@ def train(docs: DataFrame, pieces_path: str | None = None, rounds: int = ROUNDS,
 
 
 class Scorer:
-    """Scores texts with a cache of words."""
-
-    SLICE = 150_000
+    """Scores texts with a table of the words met before."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.room = max(2 * self.SLICE, 4_000_000 // max(1, len(model.languages)))
-        self.rows: dict[str, int] = {}
-        self.table = np.empty((self.room, len(model.languages)), np.float32)
-
-    def _sum(self, words: list[str]) -> np.ndarray:
-        fresh = list(set(words).difference(self.rows))
-        if len(self.rows) + len(fresh) > self.room:
-            self.rows.clear()
-            fresh = list(set(words))
-        if fresh:
-            start = len(self.rows)
-            self.table[start : start + len(fresh)] = self.model.word_scores(fresh)
-            self.rows.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+        self.table = UnitTable(self._evaluate, np.float32)
+
+    def _evaluate(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.model.word_scores([unit.lstrip(" ") for unit in units])
+        return scores.reshape(-1), np.full(len(units), scores.shape[1])
 
     def posteriors(self, groups: list[list[str]]) -> np.ndarray:
         """Of each list of words, the probability of each language."""
-        flat = [word for words in groups for word in words]
-        sums = np.zeros((len(groups), len(self.model.languages)))
-        for first in range(0, len(flat), self.SLICE):
-            self._sum(flat[first : first + self.SLICE])  # fills the cache with large batches
-        for at, words in enumerate(groups):
-            for first in range(0, len(words), self.SLICE):
-                sums[at] += self._sum(words[first : first + self.SLICE])
+        width = len(self.model.languages)
+        values, bounds = self.table.values([" ".join(words) for words in groups])
+        sums = np.zeros((len(groups), width))
+        held = np.flatnonzero(np.diff(bounds))
+        if len(held):
+            sums[held] = np.add.reduceat(values.reshape(-1, width).astype(np.float64), bounds[held] // width, axis=0)
         sums += self.model.prior
         sums -= sums.max(axis=1, keepdims=True)
         sums = np.exp(sums)

@@ -2,8 +2,9 @@
 
 A byte-pair encoding is valid exactly if each pair of neighbouring tokens is, so the encoding of a prefix ends in the one
 token t whose left neighbour, the last token of the prefix before t, goes with it: count[i] = count[i - len(t)] + 1. The
-dynamic programme runs over the pieces that the split pattern makes; pieces of a unit (white space and the word after it)
-do not depend on what stands before, so a unit's counts are cached and joined. What is stored per text is one signed
+dynamic programme runs over the pieces that the split pattern makes, with an automaton that finds the tokens ending at each
+byte; pieces of a unit (white space and the word after it) do not depend on what stands before, so the counts of units met
+before are looked up and joined. What is stored per text is one signed
 byte per character: the change of the count when that character is added. From it any prefix's count, the longest prefix
 within a budget and the count of the whole text follow without encoding again.
 
@@ -17,21 +18,20 @@ from __future__ import annotations
 
 import gc
 import re
-from array import array
 from functools import lru_cache
 from operator import sub
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quillmesh.llm.common import map_rows
+from quillmesh.llm.common import grouped_batches, map_rows
 from quillmesh.llm.tiktoken_codec import vocabulary_path
-from quillmesh.llm.units import UnitCache, UnitEncoder, split_units
+from quillmesh.llm.units import UnitEncoder, UnitTable
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 LIMIT_TOKENS = 1024
-#: Prefixes of pieces whose counts are kept, and their greatest length.
-PREFIX_ENTRIES, LONGEST_KNOWN = 400_000, 20
+#: Pairs of tokens that are known to stay apart or not.
+PAIR_ENTRIES = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +44,7 @@ def byte_letters() -> list[str]:
 
 class PrefixCounter:
     def __init__(self, path: str):
+        import ahocorasick
         import public_tokenizers
         import regex
 
@@ -52,18 +53,19 @@ class PrefixCounter:
         raw = {letter: byte for byte, letter in enumerate(byte_letters())}
         spelled = lambda token: bytes(raw[c] for c in token)
         names = self.units.tokenizer.get_vocab(with_added_tokens=False) if self.units.by_unit else {}
-        self.vocabulary = {spelled(name) for name in names}
-        self.longest = max(map(len, self.vocabulary), default=0)
+        self.tokens = sorted(map(spelled, names))
+        self.finder = ahocorasick.Automaton()
+        for number, token in enumerate(self.tokens):
+            self.finder.add_word(token.decode("latin-1"), (len(token), number))
+        self.finder.make_automaton()
         self.marks = re.compile("|".join(map(re.escape, sorted(self.units.added, key=len, reverse=True)))) if self.units.added else None
         merges = [tuple(map(spelled, m.split(" ") if isinstance(m, str) else m)) for m in self.units.merges]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.halves = {left + right: (left, right, rank) for rank, (left, right) in reversed(list(enumerate(merges)))}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.ends: dict[bytes, list] = {}
-        self.starts: dict[bytes, list] = {}
-        self.known: dict[bytes, tuple[list[int], list[bytes]]] = {}
-        self.cache = UnitCache(self._unit)
-        self.pieces = UnitCache(self._piece)
+        self.pairs: dict[int, bool] = {}
+        self.ends: dict[int, list] = {}
+        self.starts: dict[int, list] = {}
+        self.table = UnitTable(self._evaluate, np.int8)
 
     def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int, float]]:
         """A token and the parts it grew from at one side: (part, rank that made it, rank that took it up), latest first."""
@@ -75,7 +77,7 @@ class PrefixCounter:
                 return out
             token, taken = (right if side else left), rank
 
-    def _goes(self, left: bytes, right: bytes) -> bool:
+    def _goes(self, left: int, right: int) -> bool:
         """Whether two tokens, each encoding its own text, stay apart when their texts are joined.
 
         Goes back through the parts that touched at the boundary; a merge across it wins if it comes before both
@@ -83,10 +85,10 @@ class PrefixCounter:
         """
         ends = self.ends.get(left)
         if ends is None:
-            ends = self.ends[left] = self._spine(left, 1)
+            ends = self.ends[left] = self._spine(self.tokens[left], 1)
         starts = self.starts.get(right)
         if starts is None:
-            starts = self.starts[right] = self._spine(right, 0)
+            starts = self.starts[right] = self._spine(self.tokens[right], 0)
         i = j = 0
         ranks = self.ranks
         while True:
@@ -103,88 +105,89 @@ class PrefixCounter:
                 return True
 
     def _piece(self, piece: str) -> list[int]:
-        """counts[i]: tokens of the first i characters of a piece, taken as one piece."""
+        """counts[i]: tokens of the first i characters of a piece, taken as one piece.
+
+        The automaton gives the tokens that end at each byte; the one that goes with what stands before it is the last
+        token of that prefix.
+        """
         data = piece.encode()
         n = len(data)
-        vocabulary, pairs, known = self.vocabulary, self.pairs, self.known
-        if len(known) >= PREFIX_ENTRIES:
-            known.clear()
-        if len(pairs) >= PREFIX_ENTRIES:
+        pairs = self.pairs
+        if len(pairs) >= PAIR_ENTRIES:
             pairs.clear()
-        counts, last, start = [0], [b""], 0
-        for start in range(min(n, LONGEST_KNOWN), 0, -1):
-            found = known.get(data[:start])
-            if found is not None:
-                counts, last = found[0][: start + 1], found[1][: start + 1]
-                break
-        else:
-            start = 0
-        for i in range(start + 1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = data[j:i]
-                if token in vocabulary:
-                    if j:
-                        pair = last[j], token
-                        apart = pairs.get(pair)
-                        if apart is None:
-                            apart = pairs[pair] = self._goes(*pair)
-                        if not apart:
-                            continue
-                    counts.append(counts[j] + 1)
-                    last.append(token)
+        counts, last, done = [0] * (n + 1), [0] * (n + 1), 0
+        for end, (size, token) in self.finder.iter(data.decode("latin-1")):
+            end += 1
+            if end > done:
+                before = end - size
+                if before:
+                    pair = last[before] << 32 | token
+                    apart = pairs.get(pair)
+                    if apart is None:
+                        apart = pairs[pair] = self._goes(last[before], token)
+                    if not apart:
+                        continue
+                if end != done + 1:
                     break
-            else:
-                raise ValueError(f"no encoding of {piece[:40]!r} ends at byte {i}")
-        for i in range(start + 1, min(n, LONGEST_KNOWN) + 1):
-            known[data[:i]] = counts, last
+                counts[end], last[end], done = counts[before] + 1, token, end
+        if done < n:
+            raise ValueError(f"no encoding of {piece[:40]!r} ends at byte {done + 1}")
         if n == len(piece):
             return counts
-        out, end = [0], 0
-        for c in piece:
-            end += len(c.encode())
-            out.append(counts[end])
-        return out
-
-    def _unit(self, unit: str) -> bytes:
-        """Changes of the count with each character of a unit, as signed bytes."""
-        counts = [0]
-        word = unit.lstrip("\t\n\x0b\x0c\r \x85\xa0                　")
-        blank = unit[: len(unit) - len(word)]
-        if blank:
-            counts += self.pieces[blank][1:]
-        if word:
-            done = 0
-            before = 0
-            for piece in self.split.findall(unit):
-                done += len(piece)
-                if done > len(blank):
-                    inside = self.pieces[piece]
-                    first = max(len(blank) - (done - len(piece)), 0)
-                    if len(piece) == 3 and piece[0] == "'" and done - 3 >= len(blank) and piece in ("'re", "'ve", "'ll"):
-                        inside = [0, 1, 2, inside[3]]  # a cut contraction is a quotation mark and a letter
+        return [0, *(counts[end] for end in range(1, n + 1) if end == n or data[end] & 0xC0 != 0x80)]
+
+    def _unit(self, unit: str) -> list[int]:
+        """Counts of the prefixes of a unit, the empty one first."""
+        word = unit.lstrip("\t\n\x0b\x0c\r \x85\xa0                　")
+        blank = len(unit) - len(word)
+        counts = [0] if not blank else [0, 1] if blank == 1 and unit[0] == " " else self._piece(unit[:blank])
+        before = done = 0
+        for piece in self.split.findall(unit) if word else ():
+            inside = self._piece(piece)
+            begin, done = done, done + len(piece)
+            if done > blank:
+                first = max(blank - begin, 0)
+                if begin >= blank and piece in ("'re", "'ve", "'ll"):
+                    counts += [before + 1, before + 2, before + inside[3]]  # a cut contraction is a quotation mark and a letter
+                else:
                     counts += [before + c for c in inside[first + 1 :]]
-                before += self.pieces[piece][-1]
-        return array("b", map(sub, counts[1:], counts)).tobytes()
-
-    def changes(self, text: str | None) -> bytes:
-        """One signed byte per character; their running sum is the count of each prefix."""
-        if not text:
-            return b""
+            before += inside[-1]
+        return counts
+
+    def _evaluate(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Changes of the count with each character of the units."""
+        out: list[int] = []
+        for unit in units:
+            counts = self._unit(unit)
+            out += map(sub, counts[1:], counts)
+        return np.frombuffer(_narrow(np.array(out, np.int64)), np.int8), np.fromiter(map(len, units), np.int64, len(units))
+
+    def changes_of_all(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text one signed byte per character; their running sum is the count of each prefix."""
         if not self.units.by_unit:
             raise ValueError("prefix tables are for byte-level BPE")
-        if self.marks is None or not self.units.whole(text):
-            return b"".join(map(self.cache.__getitem__, split_units(text)))
+        texts = [text or "" for text in texts]
+        marked = {i for i, text in enumerate(texts) if self.marks is not None and self.units.whole(text)}
+        values, bounds = self.table.values(["" if i in marked else text for i, text in enumerate(texts)])
+        data, ends = values.tobytes(), bounds.tolist()
+        return [self._marked(texts[i]) if i in marked else data[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+
+    def changes(self, text: str | None) -> bytes:
+        return self.changes_of_all([text])[0]
+
+    def _marked(self, text: str) -> bytes:
+        """The changes of a text with added tokens, which the library cuts out."""
         out, start = [], 0
+        plain = lambda part: self.table.values([part])[0]
         for found in self.marks.finditer(text):
-            plain = np.frombuffer(b"".join(map(self.cache.__getitem__, split_units(text[start : found.end()]))), np.int8).astype(np.int64)
-            kept = b"".join(map(self.cache.__getitem__, split_units(text[start : found.start()])))
+            kept = plain(text[start : found.start()])
             size = found.end() - found.start()
-            total = int(np.frombuffer(kept, np.int8).sum(dtype=np.int64))
-            running = np.cumsum(plain)[-size:]
+            total = int(kept.sum(dtype=np.int64))
+            running = np.cumsum(plain(text[start : found.end()]), dtype=np.int64)[-size:]
             running[-1] = total + 1
-            out += [kept, _narrow(np.diff(np.concatenate([[total], running])))]
+            out += [kept.tobytes(), _narrow(np.diff(np.concatenate([[total], running])))]
             start = found.end()
-        out.append(b"".join(map(self.cache.__getitem__, split_units(text[start:]))))
+        out.append(plain(text[start:]).tobytes())
         return b"".join(out)
 
     def count(self, text: str | None) -> int:
@@ -231,11 +234,11 @@ def prefix_table(docs: DataFrame, tokenizer_path: str | None = None, id_column:
                 yield key, len((text or "").encode()), len(pieces.encode(text or "", num_threads=1)), None
             return
         counter = counter_for(path)
-        for key, text in source:
-            if counter.units.by_unit:
-                table = counter.changes(text)
+        if not counter.units.by_unit:
+            yield from ((key, len((text or "").encode()), counter.count(text), None) for key, text in source)
+            return
+        for batch in grouped_batches(source, 2000, 1, 1_000_000):
+            for (key, text), table in zip(batch, counter.changes_of_all([text for _, text in batch]), strict=True):
                 yield key, len((text or "").encode()), count_at(table), table
-            else:
-                yield key, len((text or "").encode()), counter.count(text), None
 
     return map_rows(docs.select(id_column, text_column), rows, f"{id_column} {kind}, n_bytes bigint, n_tokens bigint, prefix binary", flush=500)

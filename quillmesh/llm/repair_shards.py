@@ -2,8 +2,10 @@
 
 Documents are range-partitioned and sorted by id, encoded with the tokenizers library, given an end id each and gathered
 into shards of about ``SHARD_TOKENS`` ids. In a shard the most frequent neighbouring pairs are replaced by nonterminals,
-round after round; a round takes the most frequent pairs of which no symbol is both a left and a right one, so their
-occurrences cannot overlap. Pairs never cross documents, so a document decodes by itself. A shard is one binary value:
+round after round; a round takes the ``RULES_PER_ROUND`` most frequent pairs of which no symbol is both a left and a
+right one, so their occurrences cannot overlap; of a run of one symbol every second pair from the left is replaced. A pair
+must occur ``LEAST_COUNT`` times, fewer would not pay for its rule, and a shard is done when a round shortens it by less
+than ``LEAST_GAIN``. Pairs never cross documents, so a document decodes by itself. A shard is one binary value:
 
     magic "RPG1" | u32 first nonterminal, rules, documents, bytes per symbol | u32 left, right of each rule |
     u32 expansion length of each rule | i64 ids | u8 id present | u64 symbol offsets (documents + 1) | symbols
@@ -26,49 +28,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_rows, shared_path
+from quillmesh.llm.common import grouped_batches, map_rows, shared_path
 from quillmesh.llm.tiktoken_codec import vocabulary_path
 from quillmesh.llm.units import encoder_for
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_TOKENS = 1 << 18
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT, LEAST_GAIN = 12, 512, 16, 0.005
-BINS = 1 << 16
+RULES_PER_ROUND, LEAST_COUNT, LEAST_GAIN = 512, 8, 0.01
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIII")
 
 
-def _frequent_pairs(symbols: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left << 32 | right) and counts, most frequent first; joined[i]: symbols i and i + 1 are of one document.
+def _frequent_pairs(pairs: np.ndarray, shift: int, least: int) -> np.ndarray:
+    """The pairs (left << shift | right) that occur ``least`` times or more, most frequent first, ties by number.
 
-    Bins of a hash leave out what cannot be frequent before the rest is sorted.
+    Occurrences of two equal symbols overlap; about half of them can be replaced and are counted.
     """
-    pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:])[joined]
-    bins = (symbols[:-1][joined] * np.uint32(2654435761) ^ symbols[1:][joined] * np.uint32(2246822519)) >> np.uint32(16)
-    full = np.bincount(bins, minlength=BINS)
-    bound = max(LEAST_COUNT, int(np.partition(full, BINS - 2 * RULES_PER_ROUND)[BINS - 2 * RULES_PER_ROUND]))
-    found, counts = np.unique(pairs[full[bins] >= bound], return_counts=True)
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    counts = np.diff(np.append(first, len(ordered)))
+    first, counts = first[counts >= least], counts[counts >= least]
+    found = ordered[first]
+    counts = np.where(found >> shift == found & ((1 << shift) - 1), (counts + 1) // 2, counts)
     order = np.lexsort((found, -counts))
-    order = order[counts[order] >= LEAST_COUNT]
-    return found[order], counts[order]
+    return found[order[counts[order] >= least]]
 
 
-def _choose(pairs: np.ndarray, room: int) -> np.ndarray:
-    """The leading pairs such that no symbol is the left of one and the right of another, without pairs of two equal symbols."""
+def _choose(pairs: np.ndarray, shift: int, room: int) -> tuple[list[int], list[int]]:
+    """(lefts, rights) of the leading pairs such that no symbol is the left of one and the right of another.
+
+    Occurrences of different chosen pairs so never overlap. A pair of two equal symbols keeps its symbol to itself.
+    """
     chosen: list[int] = []
     lefts: set[int] = set()
     rights: set[int] = set()
     for pair in pairs[: 4 * RULES_PER_ROUND].tolist():
-        left, right = pair >> 32, pair & 0xFFFFFFFF
-        if left == right or left in rights or right in lefts:
+        left, right = pair >> shift, pair & ((1 << shift) - 1)
+        if left in rights or right in lefts or left == right and (left in lefts or right in rights):
             continue
         chosen.append(pair)
         lefts.add(left)
         rights.add(right)
+        if left == right:
+            lefts.add(right)
         if len(chosen) >= min(room, RULES_PER_ROUND):
             break
-    return np.array(sorted(chosen), np.uint64)
+    chosen.sort()
+    return [pair >> shift for pair in chosen], [pair & ((1 << shift) - 1) for pair in chosen]
+
+
+def _places(left: np.ndarray, right: np.ndarray, joined: np.ndarray, lefts: list[int], rights: list[int], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chosen pairs occur, and which each is; of a run of one symbol every second place from its left."""
+    rows, columns = {x: i for i, x in enumerate(dict.fromkeys(lefts), 1)}, {x: i for i, x in enumerate(dict.fromkeys(rights), 1)}
+    row_of, column_of = np.zeros(symbols, np.uint16), np.zeros(symbols, np.uint16)
+    row_of[list(rows)], column_of[list(columns)] = list(rows.values()), list(columns.values())
+    rule_of = np.full((len(rows) + 1, len(columns) + 1), -1, np.int32)
+    rule_of[[rows[x] for x in lefts], [columns[x] for x in rights]] = np.arange(len(lefts))
+    at = np.flatnonzero((row_of[left] > 0) & joined)
+    place = rule_of[row_of[left[at]], column_of[right[at]]]
+    at, place = at[place >= 0], place[place >= 0]
+    if any(a == b for a, b in zip(lefts, rights, strict=True)) and len(at):
+        number = np.arange(len(at))
+        begins = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        keep = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
+        at, place = at[keep], place[keep]
+    return at, place
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,32 +101,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends[ends > 0] - 1] = True
+    small = max(first, int(symbols.max(initial=0))) < 1 << 16
+    shift, kind = (16, np.uint32) if small else (32, np.uint64)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs, counts = _frequent_pairs(symbols, ~last[:-1])
-        room = (1 << 16) - first - made if first < 1 << 16 else 1 << 20
-        chosen = _choose(pairs, room) if room > 0 else pairs[:0]
-        if not len(chosen):
+    while len(symbols) > 1:
+        room = (1 << 16 if small else 1 << 31) - first - made
+        left, right, joined = symbols[:-1], symbols[1:], ~last[:-1]
+        pairs = (left.astype(kind) << kind(shift) | right)[joined]
+        lefts, rights = _choose(_frequent_pairs(pairs, shift, LEAST_COUNT), shift, room) if room > 0 and len(pairs) else ([], [])
+        if not lefts:
             break
-        key = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        starts = np.zeros(1 << 16, bool)
-        starts[(chosen >> np.uint64(32)).astype(np.uint32) & 0xFFFF] = True
-        at = np.flatnonzero(starts[symbols[:-1] & 0xFFFF] & ~last[:-1])
-        place = np.searchsorted(chosen, key[at])
-        place[place == len(chosen)] = 0
-        hit = chosen[place] == key[at]
-        at, place = at[hit], place[hit]
+        at, place = _places(left, right, joined, lefts, rights, max(first + made, int(symbols.max()) + 1))
         symbols[at] = first + made + place
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         before = len(symbols)
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        made += len(chosen)
+        rules.append(np.stack([np.array(lefts, np.uint32), np.array(rights, np.uint32)], axis=1))
+        made += len(lefts)
         if before - len(symbols) < LEAST_GAIN * before:
             break
     offsets = np.flatnonzero(last) + 1
@@ -194,13 +213,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         part, number, size, inside = TaskContext.get().partitionId(), 0, 0, 0
         keys: list = []
         held: list[np.ndarray] = []
-        for key, text in source:
-            held.append(np.append(encoder.encode(text), np.uint32(end_id)))
-            keys.append(key)
-            size += len(held[-1])
-            if size >= shard_tokens:
-                yield part, number, inside, len(held), size, write_shard(keys, held, first)
-                keys, held, size, number, inside = [], [], 0, number + 1, inside + size
+        for batch in grouped_batches(source, 2000, 1, 1_000_000):
+            for (key, _), ids in zip(batch, encoder.encode_many([text for _, text in batch]), strict=True):
+                held.append(np.append(ids, np.uint32(end_id)))
+                keys.append(key)
+                size += len(held[-1])
+                if size >= shard_tokens:
+                    yield part, number, inside, len(held), size, write_shard(keys, held, first)
+                    keys, held, size, number, inside = [], [], 0, number + 1, inside + size
         if held:
             yield part, number, inside, len(held), size, write_shard(keys, held, first)
 

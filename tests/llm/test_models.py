@@ -53,7 +53,7 @@ def brute_probability(word, chances):
     return sum(chances.get(word[:k], 0.0) * brute_probability(word[k:], chances) for k in range(1, len(word) + 1))
 
 
-def test_forward_sums_all_segmentations_and_expectations_add_up():
+def test_forward_sums_all_segmentations():
     path = language_id.vocabulary_path(language_id.PIECES_FILE)
     numbers = language_id.pieces(path)
     rng = np.random.default_rng(0)
@@ -66,10 +66,55 @@ def test_forward_sums_all_segmentations_and_expectations_add_up():
         for lang in range(2):
             held = {p: chances[i, lang] for p, i in numbers.items()}
             held |= {c: chances[0, lang] for c in marked if c not in numbers}
-            held = {p: v for p, v in held.items() if len(p) <= language_id.LONGEST_PIECE}
             assert math.isclose(scores[at, lang], math.log(brute_probability(marked, held)), rel_tol=1e-9)
 
 
+def segmentations(word, chances):
+    """(pieces, probability) of every segmentation."""
+    if not word:
+        yield [], 1.0
+    for k in range(1, len(word) + 1):
+        if word[:k] in chances:
+            for rest, p in segmentations(word[k:], chances):
+                yield [word[:k], *rest], chances[word[:k]] * p
+
+
+def test_expected_uses_equal_brute_force():
+    """Also of words long enough to be rescaled several times, and with letters outside the vocabulary."""
+    path = language_id.vocabulary_path(language_id.PIECES_FILE)
+    numbers = language_id.pieces(path)
+    rng = np.random.default_rng(1)
+    chances = rng.random((len(numbers) + 1, 2)) / 1e3
+    chances[0] = 1e-9
+    words = ["the", "nation", "été", "q", "字字", "internationales", "q"]
+    weights, langs = np.array([3.0, 1, 2, 5, 1, 2, 7]), np.array([0, 1, 0, 1, 0, 1, 0])
+    got = language_id.expected_uses(words, weights, langs, language_id.filled(chances), language_id.piece_table(path))
+    want = np.zeros_like(chances)
+    for word, weight, lang in zip(words, weights, langs, strict=True):
+        marked = language_id.BEGIN + word
+        held = {p: chances[i, lang] for p, i in numbers.items()} | {c: chances[0, lang] for c in marked if c not in numbers}
+        found = list(segmentations(marked, held))
+        total = sum(p for _, p in found)
+        for pieces, p in found:
+            for piece in pieces:
+                want[numbers.get(piece, 0), lang] += weight * p / total
+    assert np.allclose(got[: len(chances)], want, rtol=1e-8, atol=1e-12)
+
+
+def test_long_words_of_unknown_letters_have_finite_scores():
+    """As after training on 1e14 pieces: the unknown piece has 1e-15, and words have up to 500 letters."""
+    path = language_id.vocabulary_path(language_id.PIECES_FILE)
+    chances = np.full((len(language_id.pieces(path)) + 1, 2), 0.1 / 1e14)
+    chances[language_id.pieces(path)["the"], 0] = 1.0
+    model = language_id.Model(path, ["a", "b"], np.log([0.5, 0.5]), chances)
+    texts = ["字" * 500, "ꦲ" * 40, "the" * 160 + "字", "x" * 499, "the 字字字"]
+    rows = list(language_id.predict_rows(model, iter(enumerate(texts))))
+    assert all(0 <= score <= 1 and lang in "ab" for _, lang, score in rows)
+    assert rows[2][1:] == ("a", 1.0) and rows[4][1:] == ("a", 1.0)
+    one, many = model.word_scores(["字" * 250])[0], model.word_scores(["字" * 500])[0]
+    assert np.isfinite(many).all() and (many < one).all()
+
+
 def test_op2_predicts_held_out_languages(spark, docs):
     model = language_id.train(docs.where(remainder("doc_id", 5) != 0))
     rows = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(remainder("doc_id", 5) == 0).collect()

@@ -29,6 +29,19 @@ def test_units_give_the_library_s_ids(library):
         assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_units_of_many_texts_are_told_apart(library):
+    """Units that agree in their first bytes, long ones, zero bytes, and a table that is full and starts anew."""
+    encoder = units.UnitEncoder(JSON)
+    rng = random.Random(4)
+    odd_ones = ["a\0", "a", "a\0\0", " \0", "", None, "x" * 17, "x" * 16, "x" * 15, "字" * 6, "\u3000 a", "a \u3000", "  a", "end  ", " a b", "\n", "\n\n a"]
+    many = odd_ones + ["".join(rng.choice("ab \n") for _ in range(40)) for _ in range(300)] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    want = [library.encode(text or "", add_special_tokens=False).ids for text in many]
+    for limit in (1 << 24, 1):
+        units.MOST_VALUES, kept = limit, units.MOST_VALUES
+        assert [ids.tolist() for ids in encoder.encode_many(many)] == want == [ids.tolist() for ids in encoder.encode_many(many)]
+        units.MOST_VALUES = kept
+
+
 def test_every_prefix_is_counted_exactly(library):
     counter = prefix_counts.PrefixCounter(JSON)
     for text in texts(150, 2):
@@ -86,6 +99,65 @@ def test_repair_round_trip_and_random_access():
     assert (shard.decode_document(7) == documents[7]).all()
 
 
+def brute_repair(documents, least):
+    """Re-Pair one rule at a time: the size of symbols and rules in numbers."""
+    documents = [list(map(int, d)) for d in documents]
+    rules = 0
+    while True:
+        counts = {}
+        for d in documents:
+            i = 0
+            while i + 1 < len(d):
+                counts[d[i], d[i + 1]] = counts.get((d[i], d[i + 1]), 0) + 1
+                i += 2 if i + 2 < len(d) and d[i] == d[i + 1] == d[i + 2] else 1
+        pair = max(counts, key=lambda p: (counts[p], p), default=None)
+        if pair is None or counts[pair] < least:
+            return sum(map(len, documents)) + 2 * rules
+        rules += 1
+        for k, d in enumerate(documents):
+            out, i = [], 0
+            while i < len(d):
+                if i + 1 < len(d) and (d[i], d[i + 1]) == pair:
+                    out.append(("rule", rules))
+                    i += 2
+                else:
+                    out.append(d[i])
+                    i += 1
+            documents[k] = [hash(x) if isinstance(x, tuple) else x for x in out]
+
+
+def test_repair_compresses_about_as_well_as_one_rule_at_a_time():
+    rng = np.random.default_rng(2)
+    phrases = [rng.integers(1, 200, rng.integers(2, 9)) for _ in range(60)]
+    documents = [np.append(np.concatenate([phrases[min(int(k), 59)] for k in rng.geometric(0.08, 40)]), 0).astype(np.uint32) for _ in range(30)]
+    symbols, _, rules = repair_shards.compress(np.concatenate(documents), np.cumsum(list(map(len, documents))), 50_257)
+    assert len(symbols) + 2 * len(rules) <= 1.15 * brute_repair(documents, repair_shards.LEAST_COUNT)
+
+
+def test_repair_shortens_runs_of_one_id():
+    """Runs shrink by half a round; one that ends a document does not reach into the next."""
+    symbols, _, rules = repair_shards.compress(np.full(1000, 7, np.uint32), np.array([1000]), 50_257)
+    assert len(symbols) + 2 * len(rules) <= 3 * 10
+    documents = [np.full(n, 7, np.uint32) for n in (1, 2, 3, 501, 64, 1)] + [np.array([7, 7, 8, 7, 7, 7, 8], np.uint32)] * 9
+    shard = repair_shards.Shard(repair_shards.write_shard(list(range(len(documents))), documents, 50_257))
+    assert all((a == b).all() for a, b in zip(shard.documents(), documents, strict=True)) and len(shard.symbols) < 120
+
+
+def test_repair_with_symbols_of_four_bytes():
+    documents = [np.tile(np.array([5, 6, 70_000], np.uint32), 30)] * 3
+    shard = repair_shards.Shard(repair_shards.write_shard([1, 2, 3], documents, 80_000))
+    assert shard.symbols.dtype.itemsize == 4 and len(shard.rules[0]) and all((a == b).all() for a, b in zip(shard.documents(), documents, strict=True))
+
+
+def test_op7_takes_long_runs_without_white_space(library):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    counter = prefix_counts.PrefixCounter(JSON)
+    changes = counter.changes(text)
+    for end in (1, 1000, 200_000):
+        assert prefix_counts.count_at(changes, end) == len(library.encode(text[:end], add_special_tokens=False).ids)
+
+
 def test_op3_on_odd_rows(odd, empty, library):
     rows = sorted(repair_shards.encode_and_read(odd).collect(), key=lambda r: r.start)
     source = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
