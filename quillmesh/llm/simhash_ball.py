@@ -23,6 +23,8 @@ are read. Long texts are hashed in blocks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,9 @@ from quillmesh.llm.components import components
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
 WIDE, SIMILAR, BANDS, BAND_ROWS, LAGS = 5, 0.8, 32, 5, 4
+TEXTS_PER_SALT = 2000
+#: For the order of shingles, the rarest first: of one in so many texts, so many of the most frequent are told apart.
+ORDER_SAMPLE, ORDER_ENTRIES = 16, 100_000
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,9 +152,12 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     texts = keyed.where("size(__bands) > 0").groupBy(F.col("__key").alias("key")).agg(F.min("__row").alias("row"))
     chosen = keyed.join(texts.select(F.col("row").alias("__row")), "__row", "left_semi")
     chosen = materialise(chosen.select(F.col("__key").alias("key"), F.col("__fp").alias("fp"), F.col(text_column).alias("text"), F.col("__bands").alias("bands")), "distinct-texts")
-    band = Window.partitionBy("value").orderBy(F.xxhash64("key", "value"), "key")
-    met = chosen.select("key", F.explode("bands").alias("value")).select("key", *[F.lag("key", n).over(band).alias(f"k{n}") for n in range(1, LAGS + 1)])
-    paired = met.select("key", F.explode(F.array(*[F.col(f"k{n}") for n in range(1, LAGS + 1)])).alias("other")).where("other IS NOT NULL")
+    bands = chosen.select("key", F.explode("bands").alias("value"))
+    met = materialise(bands.join(bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value"), "bands")
+    salt = F.pmod(F.xxhash64("value", "key"), F.ceil(F.col("n") / TEXTS_PER_SALT))
+    order = Window.partitionBy("value", "salt").orderBy(F.xxhash64("key", "value"), "key")
+    lagged = met.withColumn("salt", salt).select("key", *[F.lag("key", n).over(order).alias(f"k{n}") for n in range(1, LAGS + 1)])
+    paired = lagged.select("key", F.explode(F.array(*[F.col(f"k{n}") for n in range(1, LAGS + 1)])).alias("other")).where("other IS NOT NULL")
     pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n")), "candidates")
     ends = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     closest = ends.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
@@ -157,12 +165,59 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     roots = components(first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = pairs.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
-    links = first.unionAll(_verified(apart, chosen))
+    links = materialise(first.unionAll(_verified(apart, chosen)), "links")
+    links = links.unionAll(_verified(_remaining_pairs(met, links, chosen), chosen))
     prints = chosen.select("key", "fp")
     named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
     return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
+def _remaining_pairs(met: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(a, b): pairs that may be similar of texts in different groups, among those whose band more than LAGS + 1 texts share."""
+    none = met.sparkSession.createDataFrame([], "a bigint, b bigint")
+    large = met.where(F.col("n") > LAGS + 1)
+    if large.isEmpty():
+        return none
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    rooted = large.join(roots, "key", "left").select("value", "key", F.coalesce("root", "key").alias("root"))
+    several = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    left = materialise(rooted.join(several, "value", "left_semi").select("key", "root").distinct(), "remaining")
+    if left.isEmpty():
+        return none
+    texts = chosen.select("key", "text").join(left, "key")
+    spark = met.sparkSession
+
+    def every(source):
+        for (text,) in source:
+            yield from ((h,) for h in shingle_set(text)[1].view(np.int64).tolist())
+
+    sampled = map_rows(texts.where(F.pmod(F.xxhash64("key"), F.lit(ORDER_SAMPLE)) == 0).select("text"), every, "h bigint", flush=50_000)
+    frequent = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(ORDER_ENTRIES).toArrow()
+    hashes, counts = frequent["h"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
+    by_hash = np.argsort(hashes)
+    shared = spark.sparkContext.broadcast((hashes[by_hash], counts[by_hash]))
+
+    def rarest(source):
+        known, times = shared.value
+        for key, root, text in source:
+            found = shingle_set(text)[1]
+            rank = np.zeros(len(found), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                rank = np.where(known[place] == found, times[place], 0)
+            size = len(found)
+            prefix = found[np.lexsort((found, rank))][: size - math.ceil(SIMILAR * size) + 1]
+            yield from ((h, key, root, size) for h in prefix.view(np.int64).tolist())
+
+    heads = materialise(map_rows(texts.select("key", "root", "text"), rarest, "h bigint, key bigint, root bigint, size bigint", flush=50_000), "rarest")
+    shared_heads = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    heads = heads.join(shared_heads, "h", "left_semi")
+    one = heads.select("h", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    other = heads.select("h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    both = one.join(other, "h").where(f"a < b AND root_a <> root_b AND least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b)")
+    return both.select("a", "b").distinct()
+
+
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of linked rows: least by id (null last), then the longest text, then its place.
 

@@ -7,6 +7,19 @@ from quillmesh.llm.common import table
 SMALL = "/root/testdata/sf0.001"
 
 
+def linked(pairs, nodes):
+    """Smallest member of each node's component, by brute force."""
+    name = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(name[a], name[b])
+            changed |= name[a] != least or name[b] != least
+            name[a] = name[b] = least
+    return name
+
+
 def test_stages_keep_columns_and_take_effect(spark):
     """Each stage against the operator's decisions taken row by row."""
     docs = table(spark, SMALL, "documents")
@@ -28,8 +41,11 @@ def test_stages_keep_columns_and_take_effect(spark):
             want = {i for (i, lang, score) in language_id.predict_rows(model, iter(before.items())) if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE}
         elif name == "near_dedup":
             prints = {i: simhash_ball.fingerprint(t) for i, t in before.items()}
-            name_of = {i: min(j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
+            sets = {i: set(simhash_ball.shingle_set(t)[1].tolist()) for i, t in before.items()}
+            alike = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2 or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            name_of = linked([(i, j) for i in before for j in before if i < j and alike(i, j)], before)
             want = {i for i, n in name_of.items() if n == i}
+            assert any((prints[i] ^ prints[j]).bit_count() > 2 for i, j in name_of.items())
         else:
             block = next(lsa_decontaminate.blocks(frame, table(spark, SMALL, "benchmark")))
             want = {i for i, t in before.items() if not block.matches(t)}
@@ -89,3 +105,20 @@ def test_near_dedup_finds_copies_with_small_edits(spark):
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
     assert {r.doc_id for r in out.collect()} == {i for i in texts if i % 3 != 1}
     assert simhash_ball.similarity(texts[0], texts[1]) >= 0.8 > simhash_ball.similarity(texts[0], texts[2])
+
+
+def test_near_dedup_finds_pairs_in_bands_that_many_texts_share(spark, monkeypatch):
+    """Texts of one common passage and words of their own share bands but no group; among them are three similar pairs."""
+    monkeypatch.setattr(simhash_ball, "LAGS", 1)
+    monkeypatch.setattr(simhash_ball, "TEXTS_PER_SALT", 7)
+    rng = np.random.default_rng(12)
+    common = " ".join(f"common{j}" for j in range(150))
+    rows = [(i, f"{common} " + " ".join(f"own{j}" for j in rng.integers(0, 100_000, 60))) for i in range(80)]
+    rows += [(100 + i, rows[20 * i][1].replace("common75 ", "changed ") + " more") for i in range(3)]
+    texts = dict(rows)
+    pairs = {(i, j) for i in texts for j in texts if i < j and simhash_ball.similarity(texts[i], texts[j]) >= 0.8}
+    assert pairs == {(20 * i, 100 + i) for i in range(3)}
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
+    close = {(i, j) for i in texts for j in texts if i < j and (simhash_ball.fingerprint(texts[i]) ^ simhash_ball.fingerprint(texts[j])).bit_count() <= 2}
+    name = linked([*pairs, *close], texts)
+    assert {r.doc_id for r in out.collect()} == {i for i, n in name.items() if i == n}
