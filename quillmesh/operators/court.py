@@ -10,6 +10,7 @@ from quillmesh.functions import text as T
 # Headings of the parts of a decision, roles, codes and kinds of penalty, in the order they are tried.
 SECTIONS = [("circumstances", ["aniqladi", "topdi", "установил", "aniqlandi"]), ("reasoning", ["asoslar", "sud xulosalari", "мотивировочная", "sud fikricha"]), ("conclusion", ["hukm qildi", "qaror qildi", "ajrim qildi", "hal qildi", "приговорил", "решил", "определил"])]
 HEADING = r"^\s*[A-ZЎҚҒҲА-Я][A-ZЎҚҒҲА-Я'ʻʼ\s]{3,40}?\s*:?\s*$"
+HEADING_LINE = r"(?m)^(?=[^\S\n]*[A-ZЎҚҒҲА-Я][A-ZЎҚҒҲА-Я'ʻʼ \t]{3,40}?[^\S\n]*:?[^\S\n]*$)[^\S\n]*"
 NAME = r"[A-ZЎҚҒҲ][a-zʻʼ']+(?:[^\S\n]+[A-ZЎҚҒҲ]\.[^\S\n]*[A-ZЎҚҒҲ]\.|[^\S\n]+[A-ZЎҚҒҲ][a-zʻʼ']+){0,2}"
 ROLES = [("sudlanuvchi", "sudlanuvchi"), ("ayblanuvchi", "ayblanuvchi"), ("jabrlanuvchi", "jabrlanuvchi"), ("davogar", "da[ʼ'`]?vogar|истец"), ("javobgar", "javobgar|ответчик"), ("prokuror", "prokuror|прокурор"), ("himoyachi", "himoyachi|advokat|защитник"), ("tarjimon", "tarjimon|переводчик"), ("guvoh", "guvoh")]
 CASE_NUMBER = r"(?iu)(?:ish\w*\s*(?:raqami|№|N)|№|дело\s*№)\s*[:\-]?\s*([0-9][0-9A-Za-z\-/№.]{2,30})"
@@ -20,6 +21,9 @@ LAW_REFERENCE = r"(?iu)([A-Za-zʻʼ'\-\s]{3,60}?kodeks\w*|\bJK\b|\bFK\b|\bJPK\b|
 EVIDENCE = r"(?iU)\b(guvoh\w*\s+ko[ʻ']?rsatuv\w*|ko[ʻ']?rsatuv\w*|ekspert\w*\s+xulosa\w*|xulosa\w*|protokol\w*|hujjat\w*|dalil\w*|videoyozuv\w*|audioyozuv\w*|tekshiruv\s+bayonnoma\w*|surishtiruv\s+materiallar\w*)\b"
 PENALTIES = [("prison", r"ozodlikdan\s+mahrum\s+qil\w*"), ("restriction", r"ozodlikni\s+cheklash"), ("correction", r"axloq\s+tuzatish\s+ishlar\w*"), ("community", r"majburiy\s+jamoat\s+ishlar\w*"), ("fine", "jarima"), ("recovery", r"undiril\w*|undirib\s+beril\w*")]
 TERM = r"(?iu)(\d+(?:[.,]\d+)?)\s*(yil|oy|kun|foiz|%|baravar|barobar|BHM|bazaviy\s+hisoblash\s+miqdor\w*|so[ʻ']?m)"
+COURT = r"(?iu)([A-ZЎҚҒҲA-Za-zʻʼ'\-\s]{4,60}?(?:tumanlararo|tuman|shahar|viloyat|respublika)[A-Za-zʻʼ'\-\s]{0,40}?sudi)"
+APPEAL = r"(?iu)[^.\n]{0,160}(?:apellyatsiya|kassatsiya|shikoyat)[^.\n]{0,160}\."
+HEARING = r"(?iu)[^.\n]{0,120}(?:majlis\w*|yig[ʻ']?ilish\w*)[^.\n]{0,120}"
 SUSPENDED = r"(?iu)shartli\s+ravishda|shartli\s+hukm|jazoni\s+o[ʻ']?tashdan\s+ozod"
 
 
@@ -35,23 +39,55 @@ def split_sections(decisions: DataFrame, key: str = "case_id", text: str = "text
     return placed.where("any > 0").groupBy(key, "section").agg(T.strip(body).alias("body"))
 
 
-def header_fields(text: Column) -> list[Column]:
+def header_fields(text: Column, intro: Column | None = None) -> list[Column]:
+    """Case number, court, judge, dates of decision and hearing, and kind; all but number and kind from the intro."""
+    intro = text if intro is None else intro
     nul = lambda c: F.nullif(c, F.lit(""))
-    low = F.lower(text)
+    low = F.lower(F.left(text, F.lit(400)))
     kind = F.when(low.rlike(r"(?U)\bhukm\b|приговор"), "hukm").when(low.rlike(r"(?U)\bqaror\b|решение"), "qaror").when(low.rlike(r"(?U)\bajrim\b|определение"), "ajrim")
-    return [nul(F.regexp_extract(text, CASE_NUMBER, 1)).alias("case_number"), nul(F.regexp_extract(text, JUDGE, 1)).alias("judge"), T.extract_date(text).alias("decided_at"), kind.alias("kind")]
+    court = nul(F.trim(F.regexp_replace(F.regexp_extract(intro, COURT, 1), r"\s+", " ")))
+    hearing = F.regexp_extract(intro, HEARING, 0)
+    return [nul(F.regexp_extract(text, CASE_NUMBER, 1)).alias("case_number"), court.alias("court"), nul(F.regexp_extract(intro, JUDGE, 1)).alias("judge"), T.extract_date(intro).alias("decided_at"), T.extract_date(hearing).alias("hearing_at"), kind.alias("kind")]
 
 
-def parties(decisions: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
-    """(key, role, name), each person once a role."""
+def with_sections(decisions: DataFrame, text: str = "text") -> DataFrame:
+    """Decisions with the columns intro, circumstances, reasoning and conclusion; of repeated headings the last counts.
+
+    Lines that are headings become marks, between which the parts are cut out. Without headings all is intro, up to 1500
+    characters, and the other parts are empty.
+    """
+    marked = F.col(text)
+    for section, variants in SECTIONS:
+        marked = F.regexp_replace(marked, HEADING_LINE + f"(?iu:{'|'.join(variants)}).*$", f"\x01{section}\x02")
+    trim = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    m = F.col("__marked")
+    intro = F.when(F.instr(m, "\x01") > 0, trim(F.substring_index(m, "\x01", 1))).otherwise(F.left(m, F.lit(1500)))
+    parts = [trim(F.substring_index(F.when(F.instr(m, f"\x01{name}\x02") > 0, F.substring_index(m, f"\x01{name}\x02", -1)).otherwise(""), "\x01", 1)).alias(name) for name, _ in SECTIONS]
+    return decisions.withColumn("__marked", marked).select(*decisions.columns, intro.alias("intro"), *parts)
+
+
+def party_array(text: Column) -> Column:
+    """Array of (role, name), each person once a role."""
 
     def of_role(role: str, pattern: str) -> Column:
         names = F.regexp_extract_all(text, F.lit(rf"(?i:{pattern})[^\S\n]*[:\-—]?[^\S\n]*({NAME})"), F.lit(1))
-        return F.transform(names, lambda n: F.struct(F.lit(role).alias("role"), n.alias("name")))
+        first = lambda found: F.filter(found, lambda n, i: F.array_position(F.transform(found, F.lower), F.lower(n)) == i + 1)
+        return F.transform(T.bound(names, first), lambda n: F.struct(F.lit(role).alias("role"), n.alias("name")))
+
+    return F.concat(*[of_role(role, pattern) for role, pattern in ROLES])
+
 
-    arrays = [of_role(role, pattern) for role, pattern in ROLES]
-    spread = decisions.select(key, F.posexplode(F.concat(*arrays)).alias("pos", "p")).select(key, "pos", "p.*")
-    return spread.withColumn("n", F.row_number().over(Window.partitionBy(key, "role", F.lower("name")).orderBy("pos"))).where("n = 1").select(key, "role", "name")
+def reference_array(text: Column) -> Column:
+    """Array of distinct (code, article, part), runs of articles spread out."""
+    group = lambda m, i: F.regexp_extract(m, LAW_REFERENCE, i)
+    zipped = F.transform(F.regexp_extract_all(text, F.lit(LAW_REFERENCE), F.lit(0)), lambda m: F.struct(group(m, 1).alias("a"), group(m, 2).alias("b"), group(m, 3).alias("c")))
+    spread = lambda r: T.bound(resolve_code(r["a"]), lambda code: F.transform(T.expand_articles(r["b"]), lambda n: F.struct(code.alias("code"), n.alias("article"), F.nullif(r["c"], F.lit("")).alias("part"))))
+    return F.array_distinct(F.filter(F.flatten(F.transform(zipped, spread)), lambda x: x["code"].isNotNull()))
+
+
+def parties(decisions: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
+    """(key, role, name), each person once a role."""
+    return decisions.select(key, F.explode(party_array(F.col(text))).alias("p")).select(key, "p.*")
 
 
 def resolve_code(raw: Column) -> Column:
@@ -61,10 +97,7 @@ def resolve_code(raw: Column) -> Column:
 
 def law_references(decisions: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
     """(key, code, article, part), runs of articles spread out, each once."""
-    found = [F.regexp_extract_all(text, F.lit(LAW_REFERENCE), F.lit(i)) for i in (1, 2, 3)]
-    rows = decisions.select(key, F.explode(F.arrays_zip(found[0].alias("a"), found[1].alias("b"), found[2].alias("c"))).alias("r"))
-    read = rows.select(key, resolve_code(F.col("r.a")).alias("code"), F.explode(T.expand_articles(F.col("r.b"))).alias("article"), F.nullif(F.col("r.c"), F.lit("")).alias("part"))
-    return read.where("code IS NOT NULL").distinct()
+    return decisions.select(key, F.explode(reference_array(F.col(text))).alias("r")).select(key, "r.*")
 
 
 def evidence(text: Column) -> Column:
@@ -79,43 +112,166 @@ def penalty(text: Column) -> Column:
     return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), amount.alias("amount"), F.nullif(F.lower(F.regexp_extract(text, TERM, 2)), F.lit("")).alias("unit"), text.rlike(SUSPENDED).alias("suspended")))
 
 
-# Finding codes with their check, severity and weight.
-CHECKS = [
-    ("PROC-001", "case number missing", "high", 0.25, "case_number IS NULL"),
-    ("PROC-002", "judge missing", "high", 0.25, "judge IS NULL"),
-    ("PROC-003", "date missing", "medium", 0.15, "decided_at IS NULL"),
-    ("EVID-001", "no evidence named", "high", 0.25, "n_evidence = 0"),
-    ("EVID-002", "one piece of evidence only", "medium", 0.15, "n_evidence = 1"),
-    ("LAW-001", "no law named", "high", 0.25, "n_laws = 0"),
-    ("PROP-001", "no penalty in the conclusion", "medium", 0.15, "penalty IS NULL"),
-    ("RIGHT-001", "no defender in a criminal case", "high", 0.25, "kind = 'hukm' AND n_defenders = 0"),
-    ("TIME-001", "no reasoning part", "low", 0.05, "NOT has_reasoning"),
-]
+# What the rules look for in folded texts, limits, and weights of severities.
+GUILT = r"aybdor\s+deb\s+top|aybi\s+isbotlan|jinoyat\s+sodir\s+etgan"
+MITIGATING = r"yengillashtiruvchi|birinchi\s+marta|voyaga\s+yetmagan|zararni\s+qopla\w*|chin\s+ko[ʻ']?ngildan\s+pushaymon|homilador|nogiron"
+AGGRAVATING = r"og[ʻ']?irlashtiruvchi|takroran|bir\s+necha\s+marta|uyushgan\s+guruh|sudlanganlik\s+holati|retsidiv"
+LAST_WORD = r"oxirgi\s+so[ʻ']?z"
+INTERPRETER_NEED = r"tilini\s+bilmay\w*|tarjima\s+qilin\w*|rus\s+tilida\s+so[ʻ']?ragan"
+PRECEDENT = r"plenum|oliy\s+sud|sud\s+amaliyot\w*|yuqori\s+turuvchi\s+sud|umumlashtir\w*\s+amaliyot"
+PRIOR_CONVICTION = r"sudlanganlik|ilgari\s+sudlangan|oldingi\s+hukm|takroran\s+sodir"
+PRIOR_ADDRESSED = r"sudlanganlik\w*\s+(?:olib\s+tashlan|bekor\s+qilin|hisobga\s+olin)|retsidiv\s+deb\s+top|og[ʻ']?irlashtiruvchi\s+holat"
+FAST_TRIAL = r"qisqartirilgan\s+tartib|maxsus\s+tartib|kelishuv\s+shartnoma\w*|soddalashtirilgan"
+PLEA_DEAL = r"aybni\s+tan\s+ol\w*|kelishuv|yarashuv"
+RECANTED = r"ko[ʻ']rsatma\w*\s+(?:o[ʻ']zgart|rad\s+et|bekor\s+qil|qaytarib\s+ol)"
+ONE_SIDED, OTHER_SIDE = r"yengillashtiruvchi|birinchi\s+marta|pushaymon|zararni\s+qopla", r"og[ʻ']irlashtiruvchi|takroran|uyushgan\s+guruh|retsidiv"
+HIGHEST_ARTICLE, MOST_YEARS, APPEAL_DAYS, MOST_DELIBERATION = 1600, 25, (10, 20), 30
+PROSPECT_WEIGHTS = {"critical": 0.30, "major": 0.12, "minor": 0.03, "info": 0.0}
+PROSPECT_LABELS = [(0.60, "yuqori — bir nechta jiddiy shakl kamchiligi"), (0.30, "o'rtacha — asos bo'lishi mumkin bo'lgan kamchiliklar bor"), (0.10, "past — sezilarli shakl kamchiligi topilmadi"), (0.0, "kamchilik topilmadi")]
+TYPICAL_YEARS = [("o'g'irlik", 1, 5), ("talonchilik", 3, 10), ("firibgarlik", 2, 7), ("o'ldirish", 8, 20), ("bosqinchilik", 5, 15), ("giyohvand", 3, 10), ("pora", 3, 10), ("zorlash", 5, 15), ("o'zlashtirish", 3, 10)]
+LENIENT, HARSH, VERY_FAST_DAYS, FAST_DAYS = 0.4, 1.5, 3, 7
 
 
 def read_decisions(decisions: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
-    """One row a decision with all that the checks look at."""
-    base = decisions.select(key, *header_fields(F.col(text)), F.size(evidence(F.col(text))).alias("n_evidence"), penalty(F.col(text)).alias("penalty"))
-    laws = law_references(decisions, key, text).groupBy(key).agg(F.count("*").alias("n_laws"))
-    people = parties(decisions, key, text).groupBy(key).agg(F.count_if(F.col("role") == "himoyachi").alias("n_defenders"))
-    parts = split_sections(decisions, key, text).groupBy(key).agg(F.max(F.col("section") == "reasoning").alias("has_reasoning"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    joined = base.join(laws, key, "left").join(people, key, "left").join(parts, key, "left")
-    return joined.select(*base.columns, zero("n_laws"), zero("n_defenders"), F.coalesce("has_reasoning", F.lit(False)).alias("has_reasoning"))
+    """One row a decision with all that the rules look at: array expressions over the row, nothing is shuffled."""
+    cut = with_sections(decisions.select(key, T.canonical(text).alias("raw")), "raw")
+    raw, part = F.col("raw"), F.col
+    narrated = F.concat_ws("\n", part("circumstances"), part("reasoning"))
+    appeal = F.regexp_extract(F.when(part("conclusion") != "", part("conclusion")).otherwise(raw), APPEAL, 0)
+    read = cut.select(
+        key,
+        *header_fields(raw, part("intro")),
+        F.array_distinct(F.transform(party_array(F.concat_ws("\n", part("intro"), part("circumstances"))), lambda p: p["role"])).alias("roles"),
+        evidence(narrated).alias("evidence"),
+        reference_array(raw).alias("laws"),
+        penalty(part("conclusion")).alias("penalty"),
+        F.trim(appeal).alias("appeal_note"),
+        (part("reasoning") != "").alias("has_reasoning"),
+        (part("conclusion") != "").alias("has_conclusion"),
+        T.fold(raw, False).alias("body"),
+        T.fold(F.concat_ws(" ", part("reasoning"), part("circumstances")), False).alias("narrative"),
+        T.fold(F.concat_ws(" ", part("circumstances"), part("conclusion")), False).alias("deed"),
+        T.fold(part("conclusion"), False).alias("verdict"),
+    )
+    criminal = F.coalesce(F.col("kind") == "hukm", F.lit(False)) | F.exists("laws", lambda c: c["code"].contains("jinoyat kodeksi"))
+    return read.withColumn("criminal", criminal).withColumn("convicting", F.concat_ws(" ", "verdict", "narrative").rlike(GUILT))
+
+
+def _rules(read: DataFrame, key: str, rules: list[tuple[str, str, Column, Column | str]], value: str) -> DataFrame:
+    """(key, code, check, value) for every rule (code, check, condition, value) that holds."""
+    made = [F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(check).alias("check"), (worth if isinstance(worth, Column) else F.lit(worth)).alias(value))) for code, check, condition, worth in rules]
+    return read.select(key, F.explode(F.filter(F.array(*made), lambda r: r.isNotNull())).alias("f")).select(key, "f.*")
 
 
 def findings(read: DataFrame, key: str = "case_id") -> DataFrame:
-    rules = F.array(*[F.when(F.expr(condition), F.struct(F.lit(code).alias("code"), F.lit(what).alias("check"), F.lit(severity).alias("severity"), F.lit(weight).alias("weight"))) for code, what, severity, weight, condition in CHECKS])
-    return read.select(key, F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("f")).select(key, "f.*")
+    """(key, code, check, severity): seven checks with 24 codes; PROC-001 once for each field that is missing."""
+    col, size = F.col, F.size
+    criminal, years = col("criminal"), (col("penalty.kind") == "prison") & (col("penalty.unit") == "yil")
+    role = lambda name: F.array_contains("roles", name)
+    material = F.exists("laws", lambda c: ~c["code"].rlike("protsessual|ijroiya"))
+    punished = col("penalty").isNotNull()
+    decided, heard = col("decided_at").try_cast("date"), col("hearing_at").try_cast("date")
+    days = F.regexp_extract("appeal_note", r"(?i)(\d{1,3})\s*kun", 1).try_cast("int")
+    number = lambda c: F.split_part(c["article"], F.lit("-"), F.lit(1)).try_cast("int")
+    rules = [("PROC-001", "protsessual", col(field).isNull(), "major") for field in ("case_number", "court", "judge", "decided_at")] + [
+        ("PROC-002", "protsessual", ~col("has_conclusion"), "critical"),
+        ("PROC-003", "protsessual", size("roles") == 0, "major"),
+        ("PROC-004", "protsessual", criminal & ~role("prokuror"), "minor"),
+        ("EVID-001", "dalillar", size("evidence") == 0, F.when(col("convicting"), "critical").otherwise("major")),
+        ("EVID-002", "dalillar", col("convicting") & (size("evidence") == 1), "major"),
+        ("EVID-003", "dalillar", (size("evidence") > 0) & ~col("has_reasoning"), "major"),
+        ("LAW-001", "qonun", size("laws") == 0, "critical"),
+        ("LAW-002", "qonun", (size("laws") > 0) & punished & ~material, "critical"),
+        ("LAW-003", "qonun", (size("laws") > 0) & criminal & ~F.exists("laws", lambda c: c["code"].contains("jinoyat kodeksi")), "critical"),
+        ("LAW-004", "qonun", F.exists("laws", lambda c: number(c) > HIGHEST_ARTICLE), "major"),
+        ("PROP-001", "mutanosiblik", years & (col("penalty.amount") > MOST_YEARS), "critical"),
+        ("PROP-002", "mutanosiblik", (col("penalty.kind") == "prison") & col("narrative").rlike(MITIGATING) & ~col("narrative").rlike(AGGRAVATING), "major"),
+        ("PROP-003", "mutanosiblik", punished & ~col("has_reasoning"), "major"),
+        ("RIGHT-001", "huquqlar", criminal & ~role("himoyachi"), "critical"),
+        ("RIGHT-002", "huquqlar", criminal & ~col("body").rlike(LAST_WORD), "major"),
+        ("RIGHT-003", "huquqlar", col("body").rlike(INTERPRETER_NEED) & ~role("tarjimon"), "critical"),
+        ("RIGHT-004", "huquqlar", col("appeal_note") == "", "minor"),
+        ("TIME-001", "muddat", decided < heard, "critical"),
+        ("TIME-002", "muddat", F.datediff(decided, heard) > MOST_DELIBERATION, "minor"),
+        ("TIME-003", "muddat", ~days.between(*APPEAL_DAYS), "major"),
+        ("TIME-004", "muddat", decided.isNull(), "minor"),
+        ("PREC-001", "amaliyot", col("body").rlike(PRIOR_CONVICTION) & ~col("body").rlike(PRIOR_ADDRESSED), "major"),
+        ("PREC-002", "amaliyot", ~col("body").rlike(PRECEDENT) & col("has_reasoning"), "info"),
+    ]
+    return _rules(read, key, rules, "severity")
 
 
 def prospect(found: DataFrame, key: str = "case_id") -> DataFrame:
-    """(key, score, label, n): weights capped at 1, and what an appeal may hope for."""
-    total = F.least(F.lit(1.0), F.round(F.sum("weight"), 9))
-    label = F.when(total >= 0.7, "strong").when(total >= 0.4, "fair").when(total > 0, "weak").otherwise("none")
+    """(key, score, label, n): weights of the severities added up to 1 at most, and what an appeal may hope for."""
+    weight = F.coalesce(*[F.when(F.col("severity") == severity, weight) for severity, weight in PROSPECT_WEIGHTS.items()])
+    total = F.least(F.lit(1.0), F.round(F.sum(weight), 9))
+    label = F.coalesce(*[F.when(total >= least, name) for least, name in PROSPECT_LABELS])
     return found.groupBy(key).agg(F.round(total, 2).alias("score"), label.alias("label"), F.count("*").alias("n"))
 
 
+def integrity_flags(read: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, code, check, weight): five groups of rules with 15 codes. Patterns take both apostrophes a folded text may hold."""
+    col, criminal = F.col, F.col("criminal")
+    role = lambda name: F.array_contains("roles", name)
+    years = F.when((col("penalty.kind") == "prison") & (col("penalty.unit") == "yil"), col("penalty.amount"))
+    typical = F.coalesce(*[F.when(col("deed").contains(crime), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))) for crime, low, high in TYPICAL_YEARS])
+    lenient = years / typical["low"] < LENIENT
+    suspended, punished = F.coalesce(col("penalty.suspended"), F.lit(False)), col("penalty").isNotNull()
+    gap = F.datediff(col("decided_at").try_cast("date"), col("hearing_at").try_cast("date"))
+    guilty = col("verdict").contains("aybdor")
+    unfit = F.exists("evidence", lambda e: T.fold(e, False).rlike("qabul qilinmaydigan|noqonuniy"))
+    rules = [
+        ("SENT-001", "sentencing", lenient, 0.35),
+        ("SENT-002", "sentencing", ~lenient & (years / typical["high"] > HARSH), 0.20),
+        ("SENT-003", "sentencing", years.isNotNull() & suspended, 0.10),
+        ("PROC-001", "procedural", criminal & col("body").rlike(FAST_TRIAL), 0.05),
+        ("PROC-002", "procedural", criminal & ~role("himoyachi"), 0.30),
+        ("PROC-003", "procedural", col("body").rlike(PLEA_DEAL) & suspended, 0.15),
+        ("EVID-001", "evidence", unfit & guilty, 0.30),
+        ("EVID-002", "evidence", col("body").rlike(RECANTED), 0.15),
+        ("EVID-003", "evidence", (F.size("evidence") <= 1) & guilty, 0.25),
+        ("TIME-001", "timing", criminal & gap.between(0, VERY_FAST_DAYS), 0.15),
+        ("TIME-002", "timing", criminal & gap.between(VERY_FAST_DAYS + 1, FAST_DAYS), 0.05),
+        ("STRUC-001", "structural", ~col("has_reasoning"), 0.25),
+        ("STRUC-002", "structural", (F.size("laws") == 0) & punished, 0.30),
+        ("STRUC-003", "structural", criminal & punished & ~role("jabrlanuvchi"), 0.05),
+        ("STRUC-004", "structural", col("narrative").rlike(ONE_SIDED) & ~col("narrative").rlike(OTHER_SIDE) & suspended, 0.15),
+    ]
+    return _rules(read, key, rules, "weight")
+
+
+def integrity_scores(flags: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, score, n): weights added up to 1 at most."""
+    return flags.groupBy(key).agg(F.round(F.least(F.lit(1.0), F.round(F.sum("weight"), 9)), 2).alias("score"), F.count("*").alias("n"))
+
+
+# Days to appeal by kind of case and stage, and the stages in order.
+APPEAL_DEADLINES = {("civil", "first_instance"): 30, ("civil", "appeal"): 30, ("criminal", "first_instance"): 20, ("criminal", "appeal"): 30, ("administrative", "first_instance"): 15, ("economic", "first_instance"): 30, ("economic", "appeal"): 30}
+
+
+def appeal_deadline_days(case_type: Column, stage: Column) -> Column:
+    """Days to appeal, null where there is no appeal."""
+    return F.coalesce(*[F.when((case_type == kind) & (stage == at), days) for (kind, at), days in APPEAL_DEADLINES.items()])
+
+
+def evidence_by_strength(items: Column, strong: bool) -> Column:
+    """Of an array of (strength, admissible): strong and admissible ones, or weak or inadmissible ones."""
+    keep = (lambda e: (e["strength"] == "strong") & e["admissible"]) if strong else (lambda e: (e["strength"] == "weak") | ~e["admissible"])
+    return F.filter(items, keep)
+
+
+def flags_in_order(found: DataFrame, categories: list[str], key: str = "case_id", category: str = "check") -> DataFrame:
+    """(key, lines): findings of a case grouped by a fixed order of categories, one line each with its mark and code."""
+    place = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(category))
+    line = F.concat(F.lit("- ["), F.col(category), F.lit("] "), F.col("code"))
+    return found.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col("code").alias("code"), line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def judge_matches(read: DataFrame, needle: str) -> DataFrame:
+    """Decisions of judges whose folded name holds the folded needle."""
+    return read.where(T.fold("judge", False).contains(needle.lower()))
+
+
 def judge_profiles(read: DataFrame, scores: DataFrame, key: str = "case_id") -> DataFrame:
     joined = read.join(scores.select(key, "score"), key, "left").where("judge IS NOT NULL")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))

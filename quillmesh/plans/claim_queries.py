@@ -84,55 +84,156 @@ def disagreement(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
-    """Court decisions written from orders: number, date, judge, evidence, law and penalty."""
+    """Court decisions written from orders; what each holds follows from remainders of its key, as the SQL below says.
+
+    The narrow keys are spread first, so that one small file of orders is not one task of long texts.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).repartition(spark.sparkContext.defaultParallelism)
     key = F.col("o_orderkey")
-    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    when = lambda condition, line: F.when(F.expr(condition.replace("k", "o_orderkey")), line if not isinstance(line, str) else F.lit(line))
     judge = F.concat(F.lit("Sudya: Karimov A."), F.element_at(F.array(*[F.lit(c) for c in "ABDEG"]), (key % 5 + 1).cast("int")), F.lit("."))
-    text = F.concat_ws("\n", F.when(key % 7 != 0, F.concat(F.lit("Ish raqami: 1-"), key.cast("string"), F.lit("/24"))), judge, day, F.when(key % 3 == 0, F.lit("Himoyachi Yusupov B.B.")), F.lit("ANIQLADI:"), F.when(key % 4 != 0, F.lit("Guvoh koʻrsatuvlari va ekspert xulosasi oʻrganildi.")), F.when(key % 5 == 0, F.lit("ASOSLAR:")), F.lit("Jinoyat kodeksining 169-moddasi 2-qismi qoʻllanildi."), F.lit("HUKM QILDI:"), F.concat((key % 9 + 1).cast("string"), F.lit(" yil ozodlikdan mahrum qilinsin")), F.when(key % 2 == 0, F.lit("shartli ravishda")))
-    return table(spark, sf_dir, "orders").select(key.alias("case_id"), text.alias("text"))
+    text = F.concat_ws(
+        "\n",
+        F.when(key % 16 == 7, "QAROR.").otherwise("HUKM."),
+        when("k % 7 <> 0", F.concat(F.lit("Ish raqami: 1-"), key.cast("string"), F.lit("/24"))),
+        when("k % 11 <> 0", "Toshkent shahar sudi."),
+        when("k % 13 <> 0", judge),
+        when("k % 17 <> 0", F.date_format("day", "dd.MM.yyyy")),
+        when("k % 5 <> 1", F.concat(F.lit("Sud majlisi "), F.date_format(F.date_sub("day", (key % 45 - 3).cast("int")), "yyyy-MM-dd"), F.lit(" kuni."))),
+        when("k % 3 <> 1", "Sudlanuvchi Aliyev B.B."),
+        when("k % 3 = 0", "Himoyachi Yusupov B.B."),
+        when("k % 4 = 0", "Prokuror Rahimov C.C."),
+        when("k % 6 < 4", "Jabrlanuvchi Olimov D.D."),
+        F.lit("ANIQLADI:"),
+        when("k % 4 <> 0", "Guvoh koʻrsatuvlari va ekspert xulosasi oʻrganildi."),
+        when("k % 4 = 2", "Protokol va hujjatlar koʻrib chiqildi."),
+        when("k % 24 = 10", "Dalil noqonuniy deb topilgan."),
+        when("k % 10 < 5", "Oʻgʻirlik holati."),
+        when("k % 10 BETWEEN 5 AND 7", "Bosqinchilik holati."),
+        when("k % 9 = 0", "Yengillashtiruvchi holat bor."),
+        when("k % 18 = 0", "Uyushgan guruh bor."),
+        when("k % 8 = 3", "Ilgari sudlangan shaxs."),
+        when("k % 12 = 5", "Sud tilini bilmaydi."),
+        when("k % 14 = 6", "Guvoh koʻrsatmasini oʻzgartirgan."),
+        when("k % 21 = 2", "Ish soddalashtirilgan tarzda koʻrildi."),
+        when("k % 22 = 4", "Yarashuv tuzildi."),
+        when("k % 4 = 1", "Sudlanuvchiga oxirgi soʻz berildi."),
+        when("k % 10 <> 9", "Jinoyat kodeksining 169-moddasi 2-qismi qoʻllanildi."),
+        when("k % 20 = 9", "Jinoyat-protsessual kodeksining 455-moddasi qoʻllanildi."),
+        when("k % 15 = 4", "Fuqarolik kodeksining 1700 va 1702-moddalari qoʻllanildi."),
+        when("k % 5 = 0", "ASOSLAR:"),
+        when("k % 5 = 0", "Sud fikri shunday."),
+        when("k % 10 = 0", "Oliy sud Plenumi hisobga olindi."),
+        when("k % 19 <> 0", F.when(key % 16 == 7, "QAROR QILDI:").otherwise("HUKM QILDI:")),
+        when("k % 19 <> 0", F.concat((key % 30 + 1).cast("string"), F.lit(" yil ozodlikdan mahrum qilinsin."))),
+        when("k % 19 <> 0 AND k % 2 = 0", "Jazo shartli ravishda."),
+        when("k % 19 <> 0 AND k % 3 = 2", "Shaxs aybdor deb topilsin."),
+        when("k % 19 <> 0 AND k % 6 <> 5", F.concat(F.lit("Shikoyat "), (key % 20 + 5).cast("string"), F.lit(" kun ichida beriladi."))),
+    )
+    return orders.select(key.alias("case_id"), text.alias("text"))
+
+
+COURT_SQL = """
+WITH d AS (
+  SELECT o_orderkey AS k, o_orderkey AS case_id, CASE WHEN o_orderkey % 13 <> 0 THEN 'Karimov A.' || substr('ABDEG', CAST(o_orderkey % 5 + 1 AS INT), 1) || '.' END AS judge, CAST(o_orderdate AS DATE) AS day,
+    CASE WHEN o_orderkey % 5 <> 1 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 45 - 3 AS INT) END AS heard,
+    CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 5 <> 1 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 45 - 3 AS INT) END AS decided,
+    CAST(o_orderkey % 4 <> 0 AS INT) + CAST(o_orderkey % 4 = 2 AS INT) + CAST(o_orderkey % 24 = 10 AS INT) AS ev,
+    o_orderkey % 10 <> 9 AS jk, o_orderkey % 20 = 9 AS jpk, o_orderkey % 15 = 4 AS fk, o_orderkey % 5 = 0 AS reasoned, o_orderkey % 19 <> 0 AS concluded,
+    o_orderkey % 19 <> 0 AND o_orderkey % 3 = 2 AS guilty, o_orderkey % 19 <> 0 AND o_orderkey % 2 = 0 AS suspended, o_orderkey % 30 + 1 AS years, o_orderkey % 16 <> 7 OR o_orderkey % 10 <> 9 AS criminal FROM orders
+), e AS (SELECT *, jk OR jpk OR fk AS laws, date_diff('day', heard, decided) AS gap FROM d),
+"""
+FINDINGS_SQL = COURT_SQL + """
+f AS (SELECT case_id, unnest(list_filter([
+  CASE WHEN k % 7 = 0 THEN 'PROC-001|major' END, CASE WHEN k % 11 = 0 THEN 'PROC-001|major' END, CASE WHEN judge IS NULL THEN 'PROC-001|major' END, CASE WHEN decided IS NULL THEN 'PROC-001|major' END,
+  CASE WHEN NOT concluded THEN 'PROC-002|critical' END, CASE WHEN k % 3 = 1 AND k % 4 <> 0 AND k % 6 >= 4 THEN 'PROC-003|major' END, CASE WHEN criminal AND k % 4 <> 0 THEN 'PROC-004|minor' END,
+  CASE WHEN ev = 0 THEN CASE WHEN guilty THEN 'EVID-001|critical' ELSE 'EVID-001|major' END END, CASE WHEN guilty AND ev = 1 THEN 'EVID-002|major' END, CASE WHEN ev > 0 AND NOT reasoned THEN 'EVID-003|major' END,
+  CASE WHEN NOT laws THEN 'LAW-001|critical' END, CASE WHEN laws AND concluded AND NOT jk AND NOT fk THEN 'LAW-002|critical' END, CASE WHEN laws AND criminal AND NOT jk THEN 'LAW-003|critical' END, CASE WHEN fk THEN 'LAW-004|major' END,
+  CASE WHEN concluded AND years > 25 THEN 'PROP-001|critical' END, CASE WHEN concluded AND k % 9 = 0 AND k % 18 <> 0 THEN 'PROP-002|major' END, CASE WHEN concluded AND NOT reasoned THEN 'PROP-003|major' END,
+  CASE WHEN criminal AND k % 3 <> 0 THEN 'RIGHT-001|critical' END, CASE WHEN criminal AND k % 4 <> 1 THEN 'RIGHT-002|major' END, CASE WHEN k % 12 = 5 THEN 'RIGHT-003|critical' END, CASE WHEN NOT concluded OR k % 6 = 5 THEN 'RIGHT-004|minor' END,
+  CASE WHEN gap < 0 THEN 'TIME-001|critical' END, CASE WHEN gap > 30 THEN 'TIME-002|minor' END, CASE WHEN concluded AND k % 6 <> 5 AND NOT (k % 20 + 5 BETWEEN 10 AND 20) THEN 'TIME-003|major' END, CASE WHEN decided IS NULL THEN 'TIME-004|minor' END,
+  CASE WHEN k % 8 = 3 THEN 'PREC-001|major' END, CASE WHEN reasoned AND k % 10 <> 0 THEN 'PREC-002|info' END], lambda x: x IS NOT NULL)) AS m FROM e),
+g AS (SELECT case_id, split_part(m, '|', 1) AS code, split_part(m, '|', 2) AS severity FROM f)
+"""
+FLAGS_SQL = COURT_SQL + """
+f AS (SELECT case_id, judge, unnest(list_filter([
+  CASE WHEN concluded AND k % 10 BETWEEN 5 AND 7 AND years / 5 < 0.4 THEN 'SENT-001|0.35' END, CASE WHEN concluded AND (k % 10 < 5 AND years / 5 > 1.5 OR k % 10 BETWEEN 5 AND 7 AND years / 15 > 1.5) THEN 'SENT-002|0.20' END, CASE WHEN suspended THEN 'SENT-003|0.10' END,
+  CASE WHEN criminal AND k % 21 = 2 THEN 'PROC-001|0.05' END, CASE WHEN criminal AND k % 3 <> 0 THEN 'PROC-002|0.30' END, CASE WHEN suspended AND k % 22 = 4 THEN 'PROC-003|0.15' END,
+  CASE WHEN guilty AND k % 24 = 10 THEN 'EVID-001|0.30' END, CASE WHEN k % 14 = 6 THEN 'EVID-002|0.15' END, CASE WHEN guilty AND ev <= 1 THEN 'EVID-003|0.25' END,
+  CASE WHEN criminal AND gap BETWEEN 0 AND 3 THEN 'TIME-001|0.15' END, CASE WHEN criminal AND gap BETWEEN 4 AND 7 THEN 'TIME-002|0.05' END,
+  CASE WHEN NOT reasoned THEN 'STRUC-001|0.25' END, CASE WHEN NOT laws AND concluded THEN 'STRUC-002|0.30' END, CASE WHEN criminal AND concluded AND k % 6 >= 4 THEN 'STRUC-003|0.05' END, CASE WHEN suspended AND k % 9 = 0 AND k % 18 <> 0 THEN 'STRUC-004|0.15' END], lambda x: x IS NOT NULL)) AS m FROM e),
+g AS (SELECT case_id, split_part(m, '|', 1) AS code, CAST(split_part(m, '|', 2) AS DOUBLE) AS weight FROM f),
+s AS (SELECT case_id, CAST(round(least(1.0, round(sum(weight), 9)), 2) AS DOUBLE) AS score, count(*) AS n FROM g GROUP BY 1)
+"""
 
 
-@query("SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 7 <> 0 THEN '1-' || o_orderkey || '/24' END AS case_number, 'Karimov A.' || substr('ABDEG', CAST(o_orderkey % 5 + 1 AS INT), 1) || '.' AS judge, strftime(o_orderdate, '%Y-%m-%d') AS decided_at, 'hukm' AS kind FROM orders")
+@query("SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 7 <> 0 THEN '1-' || o_orderkey || '/24' END AS case_number, CASE WHEN o_orderkey % 11 <> 0 THEN 'Toshkent shahar sudi' END AS court, judge, strftime(decided, '%Y-%m-%d') AS decided_at, strftime(heard, '%Y-%m-%d') AS hearing_at, CASE WHEN o_orderkey % 16 = 7 THEN 'qaror' ELSE 'hukm' END AS kind FROM orders JOIN (" + COURT_SQL + " z AS (SELECT 1) SELECT case_id, judge, decided, heard FROM e) ON case_id = o_orderkey")
 def court_headers(spark, sf_dir):
-    return _decisions(spark, sf_dir).select("case_id", *CT.header_fields(F.col("text")))
+    return CT.with_sections(_decisions(spark, sf_dir)).select("case_id", *CT.header_fields(F.col("text"), F.col("intro")))
 
 
-@query("SELECT o_orderkey AS case_id, 'prison' AS kind, CAST(o_orderkey % 9 + 1 AS DOUBLE) AS amount, 'yil' AS unit, o_orderkey % 2 = 0 AS suspended FROM orders")
+@query("SELECT o_orderkey AS case_id, 'prison' AS kind, CAST(o_orderkey % 30 + 1 AS DOUBLE) AS amount, 'yil' AS unit, o_orderkey % 2 = 0 AS suspended FROM orders WHERE o_orderkey % 19 <> 0")
 def court_penalties(spark, sf_dir):
     sections = CT.split_sections(_decisions(spark, sf_dir)).where("section = 'conclusion'")
     return sections.select("case_id", CT.penalty(F.col("body")).alias("p")).select("case_id", "p.*")
 
 
-@query("SELECT o_orderkey AS case_id, 'jinoyat kodeksi' AS code, '169' AS article, '2' AS part FROM orders")
+@query("""
+SELECT o_orderkey AS case_id, 'jinoyat kodeksi' AS code, '169' AS article, '2' AS part FROM orders WHERE o_orderkey % 10 <> 9
+UNION ALL SELECT o_orderkey, 'jinoyat-protsessual kodeksi', '455', NULL FROM orders WHERE o_orderkey % 20 = 9
+UNION ALL SELECT o_orderkey, 'fuqarolik kodeksi', a, NULL FROM orders, (VALUES ('1700'), ('1702')) v(a) WHERE o_orderkey % 15 = 4""")
 def court_references(spark, sf_dir):
     return CT.law_references(_decisions(spark, sf_dir))
 
 
-@query("SELECT o_orderkey AS case_id, s AS section FROM orders, (VALUES ('intro'), ('circumstances'), ('reasoning'), ('conclusion')) t(s) WHERE s <> 'reasoning' OR o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS case_id, s AS section FROM orders, (VALUES ('intro'), ('circumstances'), ('reasoning'), ('conclusion')) t(s) WHERE CASE s WHEN 'reasoning' THEN o_orderkey % 5 = 0 WHEN 'conclusion' THEN o_orderkey % 19 <> 0 ELSE true END")
 def court_sections(spark, sf_dir):
     return CT.split_sections(_decisions(spark, sf_dir)).select("case_id", "section")
 
 
-@query("SELECT o_orderkey AS case_id, 'himoyachi' AS role, 'Yusupov B.B.' AS name FROM orders WHERE o_orderkey % 3 = 0")
+@query("""
+SELECT o_orderkey AS case_id, role, name FROM orders, (VALUES ('sudlanuvchi', 'Aliyev B.B.'), ('himoyachi', 'Yusupov B.B.'), ('prokuror', 'Rahimov C.C.'), ('jabrlanuvchi', 'Olimov D.D.')) t(role, name)
+WHERE CASE role WHEN 'sudlanuvchi' THEN o_orderkey % 3 <> 1 WHEN 'himoyachi' THEN o_orderkey % 3 = 0 WHEN 'prokuror' THEN o_orderkey % 4 = 0 ELSE o_orderkey % 6 < 4 END""")
 def court_parties(spark, sf_dir):
-    return CT.parties(_decisions(spark, sf_dir)).where("role = 'himoyachi'")
+    return CT.parties(_decisions(spark, sf_dir))
 
 
-COURT_SCORES = """
-WITH f AS (SELECT o_orderkey AS case_id, o_orderkey % 5 AS j, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS a, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS e0, CASE WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 0 END AS e1, CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS d, CASE WHEN o_orderkey % 5 <> 0 THEN 1 ELSE 0 END AS r FROM orders),
-s AS (SELECT case_id, j, a + e0 + e1 + d + r AS n, least(1.0, round(0.25 * a + 0.25 * e0 + 0.15 * e1 + 0.25 * d + 0.05 * r, 9)) AS score FROM f)
-"""
+@query(FINDINGS_SQL + "SELECT case_id, code, severity, count(*) AS n FROM g GROUP BY 1, 2, 3")
+def court_findings(spark, sf_dir):
+    return CT.findings(CT.read_decisions(_decisions(spark, sf_dir))).groupBy("case_id", "code", "severity").agg(F.count("*").alias("n"))
 
 
-@query(COURT_SCORES + "SELECT case_id, CAST(round(score, 2) AS DOUBLE) AS score, CASE WHEN score >= 0.7 THEN 'strong' WHEN score >= 0.4 THEN 'fair' WHEN score > 0 THEN 'weak' ELSE 'none' END AS label, CAST(n AS BIGINT) AS n FROM s WHERE n > 0")
+@query(FINDINGS_SQL + """, s AS (SELECT case_id, CAST(least(1.0, round(sum(CASE severity WHEN 'critical' THEN 0.3 WHEN 'major' THEN 0.12 WHEN 'minor' THEN 0.03 ELSE 0 END), 9)) AS DOUBLE) AS score, count(*) AS n FROM g GROUP BY 1)
+SELECT case_id, round(score, 2) AS score, CASE """ + " ".join("WHEN score >= {} THEN '{}'".format(least, name.replace("'", "''")) for least, name in CT.PROSPECT_LABELS) + " END AS label, n FROM s")
 def court_prospects(spark, sf_dir):
     return CT.prospect(CT.findings(CT.read_decisions(_decisions(spark, sf_dir))))
 
 
-@query(COURT_SCORES + "SELECT 'Karimov A.' || substr('ABDEG', CAST(j + 1 AS INT), 1) || '.' AS judge, count(*) AS n_cases, count(*) AS n_prison, count(CASE WHEN case_id % 2 = 0 THEN 1 END) AS n_suspended, CAST(0 AS BIGINT) AS n_fines, round(avg(case_id % 9 + 1), 4) AS mean_years, round(least(1.0, pow(avg(pow(CAST(round(score, 2) AS DOUBLE), 1.5)), 1 / 1.5)), 6) AS risk FROM s GROUP BY 1")
+@query(FLAGS_SQL + "SELECT case_id, code, weight FROM g")
+def integrity_flags(spark, sf_dir):
+    return CT.integrity_flags(CT.read_decisions(_decisions(spark, sf_dir))).select("case_id", "code", "weight")
+
+
+@query(FLAGS_SQL + "SELECT judge, count(*) AS n_cases, count(CASE WHEN concluded THEN 1 END) AS n_prison, count(CASE WHEN suspended THEN 1 END) AS n_suspended, CAST(0 AS BIGINT) AS n_fines, round(avg(CASE WHEN concluded THEN years END), 4) AS mean_years, round(least(1.0, pow(avg(pow(coalesce(score, 0), 1.5)), 1 / 1.5)), 6) AS risk FROM e LEFT JOIN s USING (case_id) WHERE judge IS NOT NULL GROUP BY 1")
 def judge_profiles(spark, sf_dir):
     read = CT.read_decisions(_decisions(spark, sf_dir))
-    return CT.judge_profiles(read, CT.prospect(CT.findings(read)))
+    return CT.judge_profiles(read, CT.integrity_scores(CT.integrity_flags(read)))
+
+
+CATEGORIES = ["protsessual", "dalillar", "qonun", "mutanosiblik", "huquqlar", "muddat", "amaliyot"]
+
+
+@query(FINDINGS_SQL + """, o AS (SELECT case_id, code, list_position(['PROC', 'EVID', 'LAW', 'PROP', 'RIGHT', 'TIME', 'PREC'], split_part(code, '-', 1)) AS place FROM g)
+SELECT case_id, string_agg('- [' || ['protsessual', 'dalillar', 'qonun', 'mutanosiblik', 'huquqlar', 'muddat', 'amaliyot'][place] || '] ' || code, chr(10) ORDER BY place, code) AS lines FROM o GROUP BY 1""")
+def court_report_lines(spark, sf_dir):
+    return CT.flags_in_order(CT.findings(CT.read_decisions(_decisions(spark, sf_dir))), CATEGORIES)
+
+
+@query("SELECT o_orderkey, CASE WHEN t = 0 THEN CASE WHEN a THEN 30 ELSE 30 END WHEN t = 1 THEN CASE WHEN a THEN 30 ELSE 20 END WHEN t = 2 THEN CASE WHEN a THEN NULL ELSE 15 END ELSE 30 END AS days FROM (SELECT o_orderkey, o_orderkey % 4 AS t, o_custkey % 2 = 0 AS a FROM orders)")
+def appeal_days_by_stage(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("civil", "criminal", "administrative", "economic")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    stage = F.when(F.col("o_custkey") % 2 == 0, "appeal").otherwise("first_instance")
+    return table(spark, sf_dir, "orders").select("o_orderkey", CT.appeal_deadline_days(kind, stage).alias("days"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 4 + o_orderkey % 3 = 0 THEN 0.3 ELSE round(least(0.9, greatest(0.1, (o_custkey % 4) / (o_custkey % 4 + o_orderkey % 3))), 6) END AS confidence FROM orders")
