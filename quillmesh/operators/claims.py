@@ -122,7 +122,8 @@ def complexity(question: Column, kind: Column, disputed: Column) -> Column:
 
 def confidence(base: Column, kept: Column, total: Column, roles_missing: Column) -> Column:
     share = F.when(total > 0, kept / total).otherwise(F.lit(1.0))
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * share * F.when(roles_missing, 0.8).otherwise(1.0))), 2)
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * share * F.when(roles_missing, 0.8).otherwise(1.0)))
+    return F.round(value.cast("decimal(18,9)"), 2).cast("double")  # as a decimal, so that halves go up wherever it runs
 
 
 def caveats(conditions: list[tuple[Column, str]]) -> Column:

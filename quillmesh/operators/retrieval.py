@@ -14,6 +14,7 @@ RRF_K, CONFIDENT_RANK = 3, 15
 EXACT_WEIGHT, GRAPH_FACTOR = 2.0, 0.4
 TAG_COST, CONTEXT_BUDGET = 40, 6000
 BROADCAST_ROWS = 100_000
+QUERY_BLOCK = 10_000
 
 
 def ranked(df: DataFrame, group: str, score: str, key: str, k: int | None = None) -> DataFrame:
@@ -33,15 +34,19 @@ def bm25(tokens: DataFrame, queries: DataFrame, key: str = "doc_id", k: int = 50
     """(query_id, key, score, rank) of the best k documents of each query (query_id, terms).
 
     Only postings of the queries' terms are built: terms are filtered before anything is shuffled, by a broadcast while
-    the queries are few and by a semi-join otherwise. A term repeated in a query counts as often.
+    the queries are few and by a semi-join otherwise. A term repeated in a query counts as often. Texts are tokenised and
+    shuffled once: each document also emits one row of the empty term, from which sizes are counted, and what reads the
+    postings asks for the same columns, so that one exchange serves all.
     """
     wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = wanted.select("term").distinct()
+    terms = wanted.select("term").unionAll(tokens.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast(terms) if few else terms
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average"))
-    postings = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(side, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    spread = tokens.select(key, F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    postings = spread.join(side, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    held = F.col("tf") > 0
+    stats = postings.agg(F.count_if(held & (F.col("term") == "")).alias("n"), F.avg(F.when(held & (F.col("term") == ""), F.col("dl"))).alias("average"))
+    frequency = postings.groupBy("term").agg(F.count_if(held).alias("df"))
     weighed = wanted.join(frequency, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "average", (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("average")))
     scored = postings.join(weighed, "term").groupBy("query_id", key).agg(F.sum(gain).alias("score"))
@@ -68,15 +73,23 @@ def unit(a: Column | str) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """(query_id, key, score, rank): exact cosine neighbours of a bounded block of query vectors (query_id, query_vector).
 
-    The stated query block is broadcast in chunks of rows; each task keeps its best k of every query before the shuffle.
+    The stated queries are taken in blocks of ``QUERY_BLOCK`` rows, each broadcast for one pass over the vectors, so what
+    is broadcast is bounded; each task keeps its best k of every query of the block before the shuffle.
     """
+    parts = -(-queries.count() // QUERY_BLOCK)
+    out = vectors.sparkSession.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank int")
+    for part in range(parts):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        out = out.unionByName(_knn_block(vectors, block, k, key, vector, exclude_self))
+    return out
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, exclude_self: bool) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    block = queries.toPandas()  # the stated query set
-    if not len(block):
-        return vectors.sparkSession.createDataFrame([], f"query_id bigint, {key} bigint, score double, rank int")
-    matrix = np.array(block["query_vector"].tolist(), np.float64)
+    block = queries.toPandas()  # about QUERY_BLOCK rows
+    matrix = np.array(block["query_vector"].tolist(), np.float64).reshape(len(block), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     ids = block["query_id"].to_numpy()
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -84,7 +97,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     def best(batches):
         ids, matrix = shared.value
         for frame in batches:
-            if not len(frame):
+            if not len(frame) or not len(ids):
                 continue
             rows = np.array(frame[vector].tolist(), np.float64)
             scores = matrix @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).T

@@ -27,10 +27,10 @@ def line_sections(spark, sf_dir):
     return sections.select("doc_id", F.col("section").cast("bigint").alias("section"), "title", F.md5("body").alias("body"))
 
 
-@query(f"WITH l AS ({LINES}) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(2 * len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM l WHERE length(line) >= 20")
+@query(f"WITH l AS ({LINES}) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(2 * len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM l")
 def paragraph_chunks(spark, sf_dir):
     tokens = F.size(F.filter(F.split("line", r"\s+", -1), lambda x: x != "")) * 2
-    return _lines(spark, sf_dir).where(F.length("line") >= 20).select("doc_id", F.col("pos").cast("bigint").alias("pos"), tokens.cast("bigint").alias("tokens"))
+    return _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("bigint").alias("pos"), tokens.cast("bigint").alias("tokens"))
 
 
 @query(f"""
@@ -62,9 +62,9 @@ def hierarchy_paths(spark, sf_dir):
     return C.hierarchy_paths(elements).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.array_join("path", "/").alias("path"))
 
 
-@query(f"WITH l AS ({LINES}) SELECT doc_id, CAST(pos AS BIGINT) AS pos, left(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM l WHERE length(line) >= 20")
+@query(f"WITH l AS ({LINES}) SELECT doc_id, CAST(pos AS BIGINT) AS pos, left(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM l")
 def chunk_slugs(spark, sf_dir):
-    return _lines(spark, sf_dir).where(F.length("line") >= 20).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.left(C.slug(F.col("line")), F.lit(60)).alias("slug"))
+    return _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.left(C.slug(F.col("line")), F.lit(60)).alias("slug"))
 
 
 @query()

@@ -91,9 +91,9 @@ def appeal_deadlines(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(R.next_deadline(kind, F.to_date("o_orderdate")), "yyyy-MM-dd").alias("deadline"))
 
 
-@query("SELECT p_partkey, round(p_size * 0.5 + p_size * 16 / 64 * 0.1 + 2048 / 1024 * 0.5 + 1.0, 2) AS gb FROM part WHERE p_size % 4 = 0")
+@query("SELECT p_partkey, CAST(round(CAST(p_size * 0.5 + p_size * 16 / 64 * 0.1 + 2048 / 1024 * 0.5 + 1.0 AS DECIMAL(18, 9)), 2) AS DOUBLE) AS gb FROM part")
 def memory_estimates(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size % 4 = 0").select("p_partkey", R.memory_gb(F.col("p_size"), F.lit(16), F.lit(2048)).alias("gb"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.memory_gb(F.col("p_size"), F.lit(16), F.lit(2048)).alias("gb"))
 
 
 @query("SELECT user_id, count(*) AS n, CASE WHEN count(*) * 1000 >= 1000000 THEN 'M' WHEN count(*) * 1000 >= 1000 THEN 'k' ELSE '' END AS unit FROM events GROUP BY 1")

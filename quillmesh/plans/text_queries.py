@@ -44,12 +44,11 @@ def folded_digest(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
-  '([oOgG])[''‘’ʻʼ`´′]', '\\1ʻ', 'g'), '[\\x{2010}-\\x{2015}\\x{2212}]', '-', 'g'), '[ \\t\\x{00A0}\\x{2000}-\\x{200B}\\x{FEFF}]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)),
-  x -> trim(x)), chr(10)), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents WHERE NOT regexp_matches(text, '[''‘’ʻʼ`´′]')""")
+SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+  '([oOgG])[''‘’ʻʼ`´′]', '\\1' || chr(1), 'g'), '[''‘’ʻʼ`´′]', 'ʼ', 'g'), chr(1), 'ʻ'), '[\\x{2010}-\\x{2015}\\x{2212}]', '-', 'g'), '[ \\t\\x{00A0}\\x{2000}-\\x{200B}\\x{FEFF}]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)),
+  lambda x: trim(x)), chr(10)), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents""")
 def canonical_digest(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").where(~F.col("text").rlike(T.APOSTROPHE_CLASS))
-    return plain.select("doc_id", F.md5(T.canonical("text")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.canonical("text")).alias("digest"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\b\\d{1,4}\\s*[-–]?\\s*modda') THEN 'article_lookup' WHEN regexp_matches(text, '(?i)\\b(mumkinmi|haqlimi|oqibat)') THEN 'analytical' WHEN regexp_matches(text, '(?i)\\b(muddat|tartib|ariza|shikoyat|apellyatsiya|kassatsiya|protsessual)') THEN 'procedural' ELSE 'factual' END AS kind FROM conversations")
@@ -146,12 +145,14 @@ def article_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.article_number(heading).alias("article"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(text), '\\b(modda|kodeks|qonun|norma|huquq|sud|soliq|muddat)') AS legal, CAST(0 AS BIGINT) AS n_tags FROM conversations WHERE NOT regexp_matches(text, '(?i)\\[\\s*c\\d') AND NOT regexp_matches(lower(text), '\\b(farmon|nizom|plenum|band|qism|qaror|hujjat|majburiyat|javobgar|jarima|san[kt]|da''vo|shartnoma|mulk|meros|nafaqa|ariza|shikoyat|apel|kass|belgilan|nazarda|taqiq|ruxsat|majbur|haqli|bekor|amal)')")
+LEGAL_WORDS = "modda|kodeks|qonun|farmon|nizom|plenum|band|qism|norma|qaror|hujjat|huquq|majburiyat|javobgar|jarima|sanksiya|sanktsiya|da''vo|sud|shartnoma|mulk|meros|nafaqa|soliq|muddat|ariza|shikoyat|apellyatsiya|kassatsiya|belgilan|nazarda\\s+tutil|taqiqlan|ruxsat\\s+etil|majbur|haqli|bekor\\s+qilin|amal\\s+qilad"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, translate(lower(text), '‘’ʻʼ`´′', '{"''" * 7}') AS folded, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\[\\s*(C\\d{{1,3}})\\s*\\]', 1), lambda x: upper(x)))) AS n FROM conversations)
+SELECT conv_id, turn, n > 0 OR regexp_matches(folded, '(^|[^\\p{{L}}\\p{{N}}_])({LEGAL_WORDS})') AS legal, CAST(n AS BIGINT) AS n_tags FROM t""")
 def legal_claims(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    other = r"\b(farmon|nizom|plenum|band|qism|qaror|hujjat|majburiyat|javobgar|jarima|san[kt]|da'vo|shartnoma|mulk|meros|nafaqa|ariza|shikoyat|apel|kass|belgilan|nazarda|taqiq|ruxsat|majbur|haqli|bekor|amal)"
-    kept = turns.where(~F.col("text").rlike(r"(?i)\[\s*c\d") & ~F.lower("text").rlike(other))
-    return kept.select("conv_id", "turn", T.is_legal_claim("text").alias("legal"), F.size(T.claim_tags("text")).cast("bigint").alias("n_tags"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_legal_claim("text").alias("legal"), F.size(T.claim_tags("text")).cast("bigint").alias("n_tags"))
 
 
 @query()
