@@ -16,6 +16,30 @@ ONE_LETTER_FROM = "АаБбВвГгДдЕеЖжЗзИиЙйКкҚқЛлМмНн
 ONE_LETTER_TO = "AaBbVvGgDdEeJjZzIiYyKkQqLlMmNnOoPpRrSsTtUuFfXxHhʼʼEeIi"
 LEFT_OUT = "Ьь"
 
+# Groups of Latin letters written with one Cyrillic letter, the longest first, and single letters.
+LATIN_GROUPS = [
+    ("Shch", "Щ"), ("shch", "щ"), ("Oʻ", "Ў"), ("oʻ", "ў"), ("Gʻ", "Ғ"), ("gʻ", "ғ"), ("Ch", "Ч"), ("CH", "Ч"), ("ch", "ч"), ("Sh", "Ш"), ("SH", "Ш"), ("sh", "ш"),
+    ("Yo", "Ё"), ("YO", "Ё"), ("yo", "ё"), ("Yu", "Ю"), ("YU", "Ю"), ("yu", "ю"), ("Ya", "Я"), ("YA", "Я"), ("ya", "я"), ("Ts", "Ц"), ("TS", "Ц"), ("ts", "ц"),
+]
+LATIN_LETTERS = "AaBbVvGgDdEeJjZzIiYyKkQqLlMmNnOoPpRrSsTtUuFfXxHh"
+CYRILLIC_LETTERS = "АаБбВвГгДдЕеЖжЗзИиЙйКкҚқЛлМмНнОоПпРрСсТтУуФфХхҲҳ"
+# Dictionaries that tell languages, apostrophes left out.
+UZBEK_DICTIONARY = [
+    "va", "bilan", "uchun", "boyicha", "qanday", "qanaqa", "qilish", "kerak", "mumkin", "men", "mening", "meni", "menga", "siz", "sizning", "nima", "nimaga",
+    "qachon", "qayerda", "qaysi", "necha", "qancha", "haqida", "togrisida", "yoki", "ammo", "lekin", "agar", "shartnoma", "ariza", "sud", "qonun", "huquq",
+    "hujjat", "ish", "ishdan", "javobgarlik", "majburiyat", "tolov", "muddat", "bor", "yoq", "boladi", "qildim", "qilaman", "yozing", "tushuntiring", "salom",
+    "rahmat", "iltimos", "yordam", "savol", "javob", "ҳақида", "керак", "мумкин", "шартнома", "суд", "қонун", "ҳуқуқ", "ариза",
+]
+RUSSIAN_DICTIONARY = [
+    "и", "в", "не", "на", "что", "как", "мне", "мой", "моя", "я", "вы", "ваш", "это", "для", "или", "если", "но", "также", "быть", "есть", "нет", "договор", "суд",
+    "закон", "право", "заявление", "иск", "документ", "ответственность", "обязательство", "срок", "оплата", "работник", "здравствуйте", "спасибо", "пожалуйста",
+    "помогите", "вопрос", "можно",
+]
+ENGLISH_DICTIONARY = [
+    "the", "and", "is", "are", "of", "to", "in", "for", "on", "with", "a", "an", "how", "what", "when", "where", "which", "can", "should", "must", "my", "i",
+    "contract", "law", "court", "claim", "document", "employee", "employer", "liability", "obligation", "hello", "thanks", "please", "help", "question",
+]
+
 # Words that mark Russian.
 RUSSIAN_WORDS = [
     "что", "это", "который", "которая", "также", "если", "быть", "может", "должен", "должна", "настоящего", "соответствии",

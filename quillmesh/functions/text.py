@@ -61,6 +61,42 @@ def to_latin(c: Column | str) -> Column:
     return F.translate(grouped, P.ONE_LETTER_FROM + P.LEFT_OUT, P.ONE_LETTER_TO)
 
 
+def to_cyrillic(c: Column | str) -> Column:
+    """Uzbek Latin in Cyrillic letters: groups of letters first, longest first, then single ones; any apostrophe makes a group."""
+    x = F.translate(_col(c), P.APOSTROPHES, P.TURNED_COMMA * len(P.APOSTROPHES))
+    grouped = reduce(lambda y, pair: F.replace(y, F.lit(pair[0]), F.lit(pair[1])), P.LATIN_GROUPS, x)
+    return F.translate(grouped, P.LATIN_LETTERS + P.TURNED_COMMA, P.CYRILLIC_LETTERS + "ъ")
+
+
+def language_of(c: Column | str) -> Column:
+    """Struct (lang, script) by script, letters that one language alone has, dictionary words and endings.
+
+    Blank and undecided texts are Uzbek in Latin letters.
+    """
+    c = _col(c)
+    folded = fold_without_apostrophes(c)
+    tokens = F.filter(F.split(folded, r"[^\p{L}']+", -1), lambda w: w != "")
+    hits = lambda dictionary: F.size(F.filter(tokens, lambda w: w.isin(*dictionary)))
+    signals = F.regexp_count(c, F.lit(r"[oO]['ʻ]|[gG]['ʻ]")) + F.regexp_count(c, F.lit(r"(?i)\b\w*(ning|ga|dan|da|lar|ymiz|siz)\b")) * 0.5 + F.regexp_count(c, F.lit("[qxQX]")) * 0.2
+    uz, ru, en = hits(P.UZBEK_DICTIONARY), hits(P.RUSSIAN_DICTIONARY), hits(P.ENGLISH_DICTIONARY)
+    cyrillic = F.when(c.rlike("[ЎўҚқҒғҲҳ]") | (uz > ru), "uz").otherwise("ru")
+    latin = F.when(uz + signals > en, "uz").when(en > 0, "en").otherwise("uz")
+    script = script_of(c)
+    blank = F.coalesce(F.trim(c) == "", F.lit(True))
+    return F.struct(F.when(blank, "uz").when(script == "cyrl", cyrillic).otherwise(latin).alias("lang"), F.when(blank, "latn").otherwise(script).alias("script"))
+
+
+def lint_lines(c: Column | str) -> Column:
+    """Array of (line, column, rule): words of mixed script, and apostrophes after o or g that aren't the turned comma."""
+    rules = [("mixed-script", r"(?U)\b(?=\w*[A-Za-z])(?=\w*[Ѐ-ӿ])\w+"), ("apostrophe", "[oOgG]['‘’`´′ʼ]")]
+
+    def of_line(line, n):
+        found = [F.when(F.regexp_instr(line, F.lit(pattern)) > 0, F.struct((n + 1).alias("line"), F.regexp_instr(line, F.lit(pattern)).alias("column"), F.lit(rule).alias("rule"))) for rule, pattern in rules]
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(F.split(_col(c), "\n", -1), of_line))
+
+
 def looks_russian(c: Column | str) -> Column:
     """Cyrillic text with three marking words, or over 1.5 % of letters that Uzbek lacks, in its first 4000 characters."""
     c = _col(c)
