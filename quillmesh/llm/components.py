@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
     for mapping in reversed(mappings[:-1]):
         later = roots.select(F.col("node").alias("rep"), F.col("root").alias("later"))
         roots = mapping.join(later, "rep", "left").select("node", F.coalesce("later", "rep").alias("root"))
-    return roots
+    return materialise(roots, "roots") if len(mappings) > 1 else roots  # once: callers use it several times
