@@ -149,11 +149,13 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     Pairs within an already linked group need no check, so each text's pair of most bands is checked first and the others
     only across the groups found.
     """
-    texts = keyed.where("size(__bands) > 0").groupBy(F.col("__key").alias("key")).agg(F.min("__row").alias("row"))
-    chosen = keyed.join(texts.select(F.col("row").alias("__row")), "__row", "left_semi")
-    chosen = materialise(chosen.select(F.col("__key").alias("key"), F.col("__fp").alias("fp"), F.col(text_column).alias("text"), F.col("__bands").alias("bands")), "distinct-texts")
-    bands = chosen.select("key", F.explode("bands").alias("value"))
+    one = F.min(F.struct(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__bands").alias("bands")))
+    light = materialise(keyed.where("size(__bands) > 0").groupBy(F.col("__key").alias("key")).agg(one.alias("one")).select("key", "one.*"), "distinct-keys")
+    bands = light.select("key", F.explode("bands").alias("value"))
     met = materialise(bands.join(bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value"), "bands")
+    rows = light.join(met.select("key").distinct(), "key", "left_semi").select(F.col("row").alias("__row"))
+    chosen = keyed.select("__row", F.col("__key").alias("key"), F.col(text_column).alias("text")).join(rows, "__row", "left_semi").drop("__row")
+    chosen = materialise(chosen, "distinct-texts", compression="zstd")  # of texts that meet another, once each
     salt = F.pmod(F.xxhash64("value", "key"), F.ceil(F.col("n") / TEXTS_PER_SALT))
     order = Window.partitionBy("value", "salt").orderBy(F.xxhash64("key", "value"), "key")
     lagged = met.withColumn("salt", salt).select("key", *[F.lag("key", n).over(order).alias(f"k{n}") for n in range(1, LAGS + 1)])
@@ -167,7 +169,7 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     apart = pairs.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
     links = materialise(first.unionAll(_verified(apart, chosen)), "links")
     links = links.unionAll(_verified(_remaining_pairs(met, links, chosen), chosen))
-    prints = chosen.select("key", "fp")
+    prints = light.select("key", "fp")
     named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
     return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
@@ -237,7 +239,7 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
                 added = [pa.array(prints), sizes, pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "__fp", "__size", "__key", "__bands"])
 
-    keyed = materialise(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    keyed = materialise(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "keyed", compression="zstd")
     distinct = keyed.select(F.col("__fp").alias("fp")).distinct()
     links = ball_links(distinct).unionAll(similar_links(keyed, text_column))
     roots = components(links).select(F.col("node").alias("__fp"), "root")
