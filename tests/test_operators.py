@@ -97,7 +97,7 @@ def test_redaction(spark):
     out, n, quarantine = PR.redact(text)
     assert "Baxtiyorovich" not in out and "mail" not in out and "Rahimov" in out and quarantine and n >= 4
     assert out.count("[SHAXS-1]") == 2
-    assert PR.redact("") == ("", 0, False) and PR.redact(None) == (None, 0, False)
+    assert PR.redact("") == ("", 0, []) and PR.redact(None) == (None, 0, [])
 
 
 def test_kNN_equals_brute_force(spark):
