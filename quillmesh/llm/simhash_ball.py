@@ -23,8 +23,6 @@ are read. Long texts are hashed in blocks.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,8 +36,6 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
 WIDE, SIMILAR, BANDS, BAND_ROWS, LAGS = 5, 0.8, 32, 5, 4
 TEXTS_PER_SALT = 2000
-#: For the order of shingles, the rarest first: of one in so many texts, so many of the most frequent are told apart.
-ORDER_SAMPLE, ORDER_ENTRIES = 16, 100_000
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,37 +182,24 @@ def _remaining_pairs(met: DataFrame, links: DataFrame, chosen: DataFrame) -> Dat
     left = materialise(rooted.join(several, "value", "left_semi").select("key", "root").distinct(), "remaining")
     if left.isEmpty():
         return none
-    texts = chosen.select("key", "text").join(left, "key")
-    spark = met.sparkSession
-
     def every(source):
-        for (text,) in source:
-            yield from ((h,) for h in shingle_set(text)[1].view(np.int64).tolist())
-
-    sampled = map_rows(texts.where(F.pmod(F.xxhash64("key"), F.lit(ORDER_SAMPLE)) == 0).select("text"), every, "h bigint", flush=50_000)
-    frequent = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(ORDER_ENTRIES).toArrow()
-    hashes, counts = frequent["h"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
-    by_hash = np.argsort(hashes)
-    shared = spark.sparkContext.broadcast((hashes[by_hash], counts[by_hash]))
-
-    def rarest(source):
-        known, times = shared.value
-        for key, root, text in source:
-            found = shingle_set(text)[1]
-            rank = np.zeros(len(found), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                rank = np.where(known[place] == found, times[place], 0)
-            size = len(found)
-            prefix = found[np.lexsort((found, rank))][: size - math.ceil(SIMILAR * size) + 1]
-            yield from ((h, key, root, size) for h in prefix.view(np.int64).tolist())
-
-    heads = materialise(map_rows(texts.select("key", "root", "text"), rarest, "h bigint, key bigint, root bigint, size bigint", flush=50_000), "rarest")
+        for key, text in source:
+            yield from ((h, key) for h in shingle_set(text)[1].view(np.int64).tolist())
+
+    texts = chosen.select("key", "text").join(left, "key")
+    shingles = materialise(map_rows(texts.select("key", "text"), every, "h bigint, key bigint", flush=50_000), "shingles")
+    counted = shingles.join(shingles.groupBy("h").agg(F.count("*").alias("n")), "h")
+    of_text = Window.partitionBy("key")
+    ranked = counted.select("h", "key", "n", F.row_number().over(of_text.orderBy("n", "h")).alias("rank"), F.count("*").over(of_text).alias("size"))
+    rarest = ranked.where(f"rank <= size - ceil({SIMILAR} * size) + 1 AND n > 1").select("h", "key", "rank", "size")  # similar texts share one of these
+    heads = materialise(rarest.join(left, "key"), "rarest")
     shared_heads = heads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     heads = heads.join(shared_heads, "h", "left_semi")
-    one = heads.select("h", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    other = heads.select("h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    both = one.join(other, "h").where(f"a < b AND root_a <> root_b AND least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b)")
+    one = heads.select("h", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"))
+    other = heads.select("h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
+    # Nothing before the first shingle that two texts share is common, so this one and those after it have to suffice.
+    suffices = f"1 + least(size_a - rank_a, size_b - rank_b) >= {SIMILAR} / (1 + {SIMILAR}) * (size_a + size_b) - 1e-6"
+    both = one.join(other, "h").where(f"a < b AND root_a <> root_b AND least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b) AND {suffices}")
     return both.select("a", "b").distinct()
 
 
