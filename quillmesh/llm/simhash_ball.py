@@ -143,7 +143,8 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     """(a, b): links between fingerprints of texts that share a band and have a similarity of ``SIMILAR`` or more.
 
     Pairs within an already linked group need no check, so each text's pair of most bands is checked first and the others
-    only across the groups found.
+    only across the groups found: all pairs of bands of up to LAGS + 1 texts, and of larger bands LAGS pairs a text, which
+    join most of a group; what these leave apart is found exactly by ``_remaining_pairs``.
     """
     one = F.min(F.struct(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__bands").alias("bands")))
     light = materialise(keyed.where("size(__bands) > 0").groupBy(F.col("__key").alias("key")).agg(one.alias("one")).select("key", "one.*"), "distinct-keys")
@@ -154,22 +155,31 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     chosen = materialise(chosen, "distinct-texts", compression="zstd")  # of texts that meet another, once each
     salt = F.pmod(F.xxhash64("value", "key"), F.ceil(F.col("n") / TEXTS_PER_SALT))
     order = Window.partitionBy("value", "salt").orderBy(F.xxhash64("key", "value"), "key")
-    lagged = met.withColumn("salt", salt).select("key", *[F.lag("key", n).over(order).alias(f"k{n}") for n in range(1, LAGS + 1)])
-    paired = lagged.select("key", F.explode(F.array(*[F.col(f"k{n}") for n in range(1, LAGS + 1)])).alias("other")).where("other IS NOT NULL")
-    pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n")), "candidates")
-    ends = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    lagged = met.withColumn("salt", salt).select("key", F.col("n").alias("texts"), *[F.lag("key", n).over(order).alias(f"k{n}") for n in range(1, LAGS + 1)])
+    paired = lagged.select("key", "texts", F.explode(F.array(*[F.col(f"k{n}") for n in range(1, LAGS + 1)])).alias("other")).where("other IS NOT NULL")
+    whole = (F.min("texts") <= LAGS + 1).alias("whole")  # of a band whose pairs are all here
+    pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n"), whole), "candidates")
+    ends = _both_ways(pairs)
     closest = ends.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     first = materialise(_verified(closest, chosen), "links")
     roots = components(first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
-    links = materialise(first.unionAll(_verified(apart, chosen)), "links")
+    apart = pairs.join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "n", "whole")
+    apart = materialise(apart, "apart")
+    few = Window.partitionBy("a").orderBy(F.desc("n"), F.xxhash64("a", "b"), "b")  # of one text: at most 2 * LAGS a band
+    some = _both_ways(apart.where("NOT whole")).withColumn("place", F.row_number().over(few)).where(F.col("place") <= LAGS)
+    checked = apart.where("whole").select("a", "b").unionAll(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    links = materialise(first.unionAll(_verified(checked, chosen)), "links")
     links = links.unionAll(_verified(_remaining_pairs(met, links, chosen), chosen))
     prints = light.select("key", "fp")
     named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
     return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+
+
 def _remaining_pairs(met: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
     """(a, b): pairs that may be similar of texts in different groups, among those whose band more than LAGS + 1 texts share."""
     none = met.sparkSession.createDataFrame([], "a bigint, b bigint")
