@@ -35,6 +35,8 @@ from quillmesh.llm.components import components
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
 WIDE, SIMILAR, BANDS, BAND_ROWS, LAGS = 5, 0.8, 32, 5, 4
+SKETCH = 3  # longs that hold one bit of each least hash
+UNLIKE = 33  # of 160 least hashes, whose lowest two bits differ in 24 on average (4.5 standard deviation) at 0.8
 TEXTS_PER_SALT = 2000
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,20 +92,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return known.join(named, "fp").select(id_column, "fp", "component_id")
 
 
-def min_hashes(text: str | None) -> tuple[int, list[int]]:
-    """A key of the text's words, and the hashes of ``BANDS`` bands of ``BAND_ROWS`` least hashes of its shingles."""
+def min_hashes(text: str | None) -> tuple[int, list[int], list[int]]:
+    """A key of the text's words, the hashes of ``BANDS`` bands of ``BAND_ROWS`` least hashes of its shingles, and a sketch.
+
+    The sketch is the lowest bit of each least hash, packed in ``SKETCH`` longs, and then the second lowest.
+    """
     from xxhash import xxh64_intdigest
 
     joined, shingles = shingle_set(text)
     if not len(shingles):
-        return 0, []
+        return 0, [], []
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         mixed = shingles[at : at + 1024, None] * MULTIPLIERS
         np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * MIX).min(axis=0), out=least)
     key = np.array([xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)
     bands = [xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return int(key[0]), np.array(bands, np.uint64).view(np.int64).tolist()
+    planes = np.zeros((2, 64 * SKETCH), np.uint8)
+    planes[:, : len(least)] = least & np.uint64(1), least >> np.uint64(1) & np.uint64(1)
+    return int(key[0]), np.array(bands, np.uint64).view(np.int64).tolist(), np.packbits(planes, axis=1).reshape(-1).view(np.int64).tolist()
 
 
 def shingle_set(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -143,41 +150,40 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     """(a, b): links between fingerprints of texts that share a band and have a similarity of ``SIMILAR`` or more.
 
     Pairs within an already linked group need no check, so each text's pair of most bands is checked first and the others
-    only across the groups found: all pairs of bands of up to LAGS + 1 texts, and of larger bands LAGS pairs a text, which
-    join most of a group; what these leave apart is found exactly by ``_remaining_pairs``.
+    only across the groups found. Of bands of more than LAGS + 1 texts only pairs with like sketches are checked; these are
+    not all pairs of such a band anyway, and ``_remaining_pairs`` finds exactly what they leave apart.
     """
-    one = F.min(F.struct(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__bands").alias("bands")))
+    one = F.min(F.struct(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__bands").alias("bands"), F.col("__sketch").alias("sketch")))
     light = materialise(keyed.where("size(__bands) > 0").groupBy(F.col("__key").alias("key")).agg(one.alias("one")).select("key", "one.*"), "distinct-keys")
-    bands = light.select("key", F.explode("bands").alias("value"))
+    bands = light.select("key", "sketch", F.explode("bands").alias("value"))
     met = materialise(bands.join(bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value"), "bands")
     rows = light.join(met.select("key").distinct(), "key", "left_semi").select(F.col("row").alias("__row"))
     chosen = keyed.select("__row", F.col("__key").alias("key"), F.col(text_column).alias("text")).join(rows, "__row", "left_semi").drop("__row")
     chosen = materialise(chosen, "distinct-texts", compression="zstd")  # of texts that meet another, once each
     salt = F.pmod(F.xxhash64("value", "key"), F.ceil(F.col("n") / TEXTS_PER_SALT))
     order = Window.partitionBy("value", "salt").orderBy(F.xxhash64("key", "value"), "key")
-    lagged = met.withColumn("salt", salt).select("key", F.col("n").alias("texts"), *[F.lag("key", n).over(order).alias(f"k{n}") for n in range(1, LAGS + 1)])
-    paired = lagged.select("key", "texts", F.explode(F.array(*[F.col(f"k{n}") for n in range(1, LAGS + 1)])).alias("other")).where("other IS NOT NULL")
-    whole = (F.min("texts") <= LAGS + 1).alias("whole")  # of a band whose pairs are all here
-    pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n"), whole), "candidates")
-    ends = _both_ways(pairs)
+    before = [F.lag(F.struct("key", "sketch"), n).over(order) for n in range(1, LAGS + 1)]
+    lagged = met.withColumn("salt", salt).select("key", "sketch", "n", F.array(*before).alias("before"))
+    paired = lagged.select("key", "sketch", "n", F.explode("before").alias("at")).where("at IS NOT NULL").where((F.col("n") <= LAGS + 1) | (_unlike("sketch", "at.sketch") <= UNLIKE))
+    paired = paired.select("key", F.col("at.key").alias("other"))
+    pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n")), "candidates")
+    ends = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     closest = ends.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     first = materialise(_verified(closest, chosen), "links")
     roots = components(first)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "n", "whole")
-    apart = materialise(apart, "apart")
-    few = Window.partitionBy("a").orderBy(F.desc("n"), F.xxhash64("a", "b"), "b")  # of one text: at most 2 * LAGS a band
-    some = _both_ways(apart.where("NOT whole")).withColumn("place", F.row_number().over(few)).where(F.col("place") <= LAGS)
-    checked = apart.where("whole").select("a", "b").unionAll(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    links = materialise(first.unionAll(_verified(checked, chosen)), "links")
+    apart = pairs.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
+    links = materialise(first.unionAll(_verified(apart, chosen)), "links")
     links = links.unionAll(_verified(_remaining_pairs(met, links, chosen), chosen))
     prints = light.select("key", "fp")
     named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
     return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+def _unlike(one: str, other: str):
+    """The number of least hashes that differ by their sketches."""
+    differ = lambda i: F.col(one)[i].bitwiseXOR(F.col(other)[i])
+    return sum((F.bit_count(differ(i).bitwiseOR(differ(i + SKETCH))) for i in range(SKETCH)), F.lit(0))
 
 
 def _remaining_pairs(met: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -219,7 +225,7 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Rows are linked by fingerprints within ``RADIUS`` bits, or by similar texts.
     """
     at = docs.columns.index(text_column)
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__size", LongType()), StructField("__key", LongType()), StructField("__bands", ArrayType(LongType()))])
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__size", LongType()), StructField("__key", LongType()), StructField("__bands", ArrayType(LongType())), StructField("__sketch", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -228,9 +234,9 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
                 texts = part.column(at).to_pylist()
                 prints = np.array([fingerprint(text, shingle) for text in texts], np.uint64).view(np.int64)
                 sizes = pa.array([len(text or "") for text in texts], pa.int64())
-                keys, bands = zip(*map(min_hashes, texts), strict=True)
-                added = [pa.array(prints), sizes, pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "__fp", "__size", "__key", "__bands"])
+                keys, bands, sketches = zip(*map(min_hashes, texts), strict=True)
+                added = [pa.array(prints), sizes, pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "__fp", "__size", "__key", "__bands", "__sketch"])
 
     keyed = materialise(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "keyed", compression="zstd")
     distinct = keyed.select(F.col("__fp").alias("fp")).distinct()
