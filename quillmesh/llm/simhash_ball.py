@@ -13,8 +13,9 @@ set where it is set in more than half of the hashes.
 ``one_of_each_group`` also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, most of
 which lie further off than two bits. Texts with an equal band of least hashes meet (of 32 bands of 5, so three pairs in a
 million of similarity 0.8 never do), each with the four before it in an order that changes with the band, and every link
-is verified by the sets themselves. Of bands that more than five different texts share, texts that are not in one group by
-then are joined exactly at the rare shingles they share, if enough of both sets comes after the first of these.
+is verified by the sets themselves. In bands that more than five different texts share, pairs whose sketches differ much
+are passed over, and texts that are not in one group by then are joined exactly at the rare shingles they share, if enough
+of both sets comes after the first of these.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Repeated rows stay repeated. A
 null id never names a component: that is the smallest id reachable, null only where all are. Only the id and text columns

@@ -122,3 +122,19 @@ def test_near_dedup_finds_pairs_in_bands_that_many_texts_share(spark, monkeypatc
     close = {(i, j) for i in texts for j in texts if i < j and (simhash_ball.fingerprint(texts[i]) ^ simhash_ball.fingerprint(texts[j])).bit_count() <= 2}
     name = linked([*pairs, *close], texts)
     assert {r.doc_id for r in out.collect()} == {i for i, n in name.items() if i == n}
+
+
+def test_sketches_tell_how_many_least_hashes_differ(spark):
+    """About three quarters of the share of shingles not common: two bits of different hashes are equal in a quarter."""
+    words = [f"word{i}" for i in range(400)]
+    changed = [" ".join([*words[:n], *(f"other{i}" for i in range(400 - n))]) for n in (400, 380, 300, 0)]
+    sketches = [simhash_ball.min_hashes(text)[2] for text in changed]
+    assert all(len(s) == 2 * simhash_ball.SKETCH for s in sketches) and simhash_ball.min_hashes(None)[2] == []
+    rows = spark.createDataFrame([(sketches[0], s) for s in sketches], "one array<bigint>, other array<bigint>")
+    got = [r.unlike for r in rows.select(simhash_ball._unlike("one", "other").alias("unlike")).collect()]
+    bits = [[f"{v & (1 << 64) - 1:064b}" for v in s] for s in sketches]
+    low, high = ["".join(b[: simhash_ball.SKETCH]) for b in bits], ["".join(b[simhash_ball.SKETCH :]) for b in bits]
+    assert got == [sum(a != b for a, b in zip(zip(low[0], high[0]), zip(low[i], high[i]), strict=True)) for i in range(4)]
+    n = simhash_ball.BANDS * simhash_ball.BAND_ROWS
+    for text, found in zip(changed, got, strict=True):
+        assert abs(found - 0.75 * n * (1 - simhash_ball.similarity(changed[0], text))) < 25
