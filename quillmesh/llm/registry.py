@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import ctw_lm, language_id, lsa_decontaminate, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
+from quillmesh.llm import ctw_lm, filter_audit, hard_negatives, language_id, lsa_decontaminate, pareto_mix, prefix_counts, quality_nbsvm, repair_shards, simhash_ball, tiktoken_codec, url_rules, wav_landmarks
 from quillmesh.llm.common import remainder, table
 
 
@@ -60,7 +60,21 @@ def op10_wav_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav_landmarks.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.scaled_rows(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op4_lsa_decontaminate, op5_tiktoken_round_trip, op6_context_tree_weighting, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks)
+    f.__name__: f for f in (op1_quality_nbsvm, op2_segmentation_language, op3_repair_token_shards, op4_lsa_decontaminate, op5_tiktoken_round_trip, op6_context_tree_weighting, op7_prefix_token_counts, op8_simhash_ball, op9_url_range_rules, op10_wav_landmarks, op11_ball_tree_negatives, op12_pareto_mix, op13_filter_audit)
 }
-ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op9_url_range_rules": url_rules.ORACLE_SQL, "op11_ball_tree_negatives": hard_negatives.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
