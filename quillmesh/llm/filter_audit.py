@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 HELD = 64 << 20  # bytes of texts that a reading task keeps before it routes them
+ROUTED = 32 << 20  # bytes of texts to a partition at most, as if no text came twice
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = b"#$%&*|"
 RESULT = "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint"
@@ -141,7 +142,8 @@ def _settle(records: Iterator[tuple[int, tuple]]) -> Iterator[tuple]:
 def document_masks(docs: DataFrame, part_column: str = "lang") -> DataFrame:
     """(doc_id, part, mask, n), one row each; n counts rows that are equal in all three."""
     rows: RDD = docs.select("doc_id", F.coalesce(F.col(part_column).cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text")).rdd
-    dealt = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
     routed = rows.mapPartitions(_read).repartitionAndSortWithinPartitions(dealt, lambda digest: digest)
     kind = docs.schema["doc_id"].dataType.simpleString()
     settled = docs.sparkSession.createDataFrame(routed.mapPartitions(_settle), f"doc_id {kind}, part string, n bigint, mask int", verifySchema=False)
@@ -162,8 +164,7 @@ def _counted(vector: np.ndarray, row: tuple) -> np.ndarray:
 def mask_vectors(masks: DataFrame, labels: DataFrame) -> RDD:
     """(part, counts of rows, good and toxic ones by mask)."""
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("quality <=> 1")).alias("good"), F.max(F.expr("toxic <=> 1")).alias("toxic"))
-    marked = masks.where("doc_id IS NOT NULL").join(known, "doc_id", "left").unionByName(masks.where("doc_id IS NULL"), allowMissingColumns=True)
-    rows = marked.select("part", "mask", "n", F.coalesce("good", F.lit(False)), F.coalesce("toxic", F.lit(False))).rdd.map(lambda r: (r[0], tuple(r[1:])))
+    rows = masks.join(known, "doc_id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(False)), F.coalesce("toxic", F.lit(False))).rdd.map(lambda r: (r[0], tuple(r[1:])))
     return rows.combineByKey(lambda row: _counted(np.zeros((1 << len(FILTERS), 3), np.int64), row), _counted, lambda a, b: a + b)
 
 
