@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import strip
+
 TINY_TOKENS, WHOLE_TOKENS, PARTS_TOKENS, LEAST_CHARS = 100, 800, 2000, 20
 MOST_TOKENS, MOST_CHARS, OVERLAP_CHARS = 6000, 15_000, 1500
 LEVELS = ("part", "section", "subsection", "chapter")
@@ -153,3 +155,61 @@ def document_type(title: Column) -> Column:
     """Six kinds of title, tried in order."""
     low = F.lower(title)
     return F.when(low.rlike("konstitutsiya"), "konstitutsiya").when(low.rlike("kodeks"), "kodeks").when(low.rlike("qonun"), "qonun").when(low.rlike("farmon"), "farmon").when(low.rlike("qaror"), "qaror").when(low.rlike("nizom"), "nizom").otherwise("boshqa")
+
+
+# How a line that opens an article looks (number, then heading), where a long article may be cut, sizes in characters.
+ARTICLE_LINES = [
+    r"(?iu)^[\s\u00a0]*([0-9]+(?:[¹²³⁴-][0-9]*)?)\s*-\s*modda(?!\p{L})\s*[.．:]?\s*(.*)$",
+    r"(?iu)^[\s\u00a0]*([0-9]+(?:[¹²³⁴-][0-9]*)?)\s*-\s*модда(?!\p{L})\s*[.．:]?\s*(.*)$",
+    r"(?iu)^[\s\u00a0]*статья\s+([0-9]+(?:[¹²³⁴-][0-9]*)?)\s*[.．:]?\s*(.*)$",
+    r"(?iu)^[\s\u00a0]*article\s+([0-9]+(?:[¹²³⁴-][0-9]*)?)\s*[.．:]?\s*(.*)$",
+]
+POINT = r"(?u)\n(?=\s*(?:[0-9]+[).]|[а-яa-z][)]|—|-)\s)"
+MOST_CHUNK, LEAST_CHUNK, LEAST_TEXT = 4000, 400, 20
+
+
+def packed(pieces: Column, joint: str, most: int = MOST_CHUNK, least: int = LEAST_CHUNK) -> Column:
+    """Pieces joined in order: one that would pass ``most`` characters opens a new text, if the open one has ``least``."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        size = F.length(acc["now"])
+        closed = F.struct(F.array_append(acc["done"], acc["now"]).alias("done"), piece.alias("now"))
+        open_ = F.struct(acc["done"].alias("done"), F.when(size > 0, F.concat(acc["now"], F.lit(joint), piece)).otherwise(piece).alias("now"))
+        return F.when((size + F.length(piece) > most) & (size >= least), closed).otherwise(open_)
+
+    return F.transform(F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["done"], acc["now"])), strip)
+
+
+def article_pieces(body: Column, most: int = MOST_CHUNK) -> Column:
+    """A long article's text in pieces of at most ``most`` characters, cut at its points where these are near enough."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda i: F.substr(x, i * most + 1, F.lit(most)))
+    return F.flatten(F.transform(F.filter(packed(F.split(body, POINT, -1), "\n", most), lambda x: x != ""), cut))
+
+
+def article_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_CHUNK) -> DataFrame:
+    """(key, pos, article, heading, text): a document cut at the lines that open articles, long articles at their points;
+    one without such lines by paragraphs. Texts of less than 20 characters are left out. All within a row, in the JVM.
+    """
+    lines = F.split(F.translate(F.regexp_replace(text, r"\r\n?", "\n"), "\u00a0", " "), "\n", -1)
+    number = lambda line: F.coalesce(*(F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in ARTICLE_LINES))
+    heading = lambda line: F.coalesce(*(F.when(F.regexp_extract(line, p, 1) != "", strip(F.regexp_extract(line, p, 2))) for p in ARTICLE_LINES))
+    read = docs.select(key, lines.alias("lines")).where(F.col("lines").isNotNull())
+    # of each line that opens an article: its place and what it says; a first, empty one stands for the text before
+    opened = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("at"), number(line).alias("article"), line.alias("line"))), lambda x: x["article"].isNotNull())
+    opened = F.transform(opened, lambda x: F.struct(x["at"], x["article"], F.nullif(heading(x["line"]), F.lit("")).alias("heading")))
+    before = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("string").alias("heading")))
+    read = read.withColumn("opened", opened)
+    plain = read.where(F.size("opened") == 0).select(key, F.posexplode(F.filter(packed(F.split(F.array_join("lines", "\n"), r"\n{2,}", -1), "\n\n", most), lambda x: F.length(x) >= LEAST_TEXT)).alias("pos", "text"))
+    heads = F.concat(before, F.col("opened"))
+    section = lambda x, i: F.struct(x["article"], x["heading"], (x["at"] + 2).alias("first"), (F.coalesce(F.get("heads", i + 1)["at"], F.size("lines")) - x["at"] - 1).alias("n"))
+    sections = read.where(F.size("opened") > 0).withColumn("heads", heads).select(key, "lines", F.posexplode(F.transform("heads", section)).alias("section", "s"))
+    sections = sections.select(key, "section", "s.article", "s.heading", strip(F.array_join(F.slice("lines", F.col("s.first"), F.col("s.n")), "\n")).alias("body"))
+    sections = sections.where((F.col("body") != "") | F.col("heading").isNotNull())
+    title = F.concat_ws(" ", F.concat("article", F.lit("-modda.")), "heading")
+    whole = F.concat_ws(" ", F.concat("article", F.lit("-modda.")), "heading", F.nullif("body", F.lit("")))
+    parts = F.transform(article_pieces(F.col("body"), most), lambda part, i: strip(F.concat(title, F.lit(" ("), (i + 1).cast("string"), F.lit("-qism)\n"), part)))
+    cut = sections.select(key, "section", "article", "heading", F.posexplode(F.when(F.length(whole) <= most, F.array(whole)).otherwise(parts)).alias("part", "text")).where(F.length("text") >= LEAST_TEXT)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("section", "part")) - 1
+    nothing = F.lit(None).cast("string")
+    return cut.select(key, place.cast("int").alias("pos"), "article", "heading", "text").unionByName(plain.select(key, "pos", nothing.alias("article"), nothing.alias("heading"), "text"))

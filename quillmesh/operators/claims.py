@@ -137,6 +137,68 @@ def json_of(text: Column, schema: str) -> Column:
     return F.from_json(F.when(fenced != "", fenced).otherwise(braces), schema)
 
 
+MOST_OBJECTS = 8  # a fixed value: candidates after which no more braces are looked at
+TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"?|[{}]|[^"{}]++'
+FENCE = r"(?s)```(?:json)?\s*(.+?)```"
+SECTION_NAME = r"^[A-ZЎҚҒҲ' ʻʼ\-]{3,40}$"
+
+
+def balanced(text: Column) -> Column:
+    """The start of text, which begins with a brace, up to the brace that closes it; null if none does. Strings, with what
+    they escape, are passed over whole."""
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("depth"), F.lit(False).alias("closed"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        return F.when(acc["closed"], acc).otherwise(F.struct((acc["size"] + F.length(token)).alias("size"), depth.alias("depth"), (depth == 0).alias("closed")))
+
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), start, step)
+    return T.bound(end, lambda e: F.when(e["closed"], F.left(text, e["size"])))
+
+
+def json_object(text: Column) -> Column:
+    """The first JSON object of a model's answer, as a variant: what stands in fences is tried first, then what is balanced
+    from each brace on, in order, until more than eight have been found; null if none can be read."""
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)), T.strip)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)) == "{")
+
+    def step(found: Column, at: Column) -> Column:
+        one = balanced(F.substr(text, at, F.length(text)))
+        return F.when(F.size(found) > MOST_OBJECTS, found).otherwise(T.bound(one, lambda o: F.when(o.isNull(), found).otherwise(F.array_append(found, o))))
+
+    candidates = F.when(text.contains("{"), F.aggregate(places, fenced, step)).otherwise(fenced)
+    read = F.filter(candidates, lambda c: c.startswith("{") & F.coalesce(balanced(c) == c, F.lit(False)) & F.try_parse_json(c).isNotNull())
+    return F.try_parse_json(F.get(read, F.lit(0)))
+
+
+def answer_sections(answers: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:
+    """(key, pos, section, line): an answer's lines under its headings in capitals, a heading's own value first; lines
+    before the first heading, and blank ones, are left out, bullets are taken off."""
+    lines = answers.select(key, F.posexplode(F.split(text, r"\r\n?|\n", -1)).alias("pos", "line")).withColumn("line", T.strip("line")).where("line <> ''")
+    head = T.strip(F.regexp_replace("line", ":+$", ""))
+    before, after = T.strip(F.substring_index("line", ":", 1)), T.strip(F.substr("line", F.instr("line", ":") + 1, F.length("line")))
+    alone = head.rlike(SECTION_NAME)
+    valued = ~alone & F.col("line").contains(":") & before.rlike(SECTION_NAME) & (after != "")
+    marked = lines.withColumn("name", F.when(alone, F.upper(head)).when(valued, F.upper(before)))
+    bare = T.strip(F.regexp_replace("line", r"^\s*(?:[-*•–—]|[0-9]{1,2}[.)])\s+", ""))
+    marked = marked.withColumn("line", F.when(valued, after).when(~alone, bare))
+    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    carried = marked.withColumn("section", F.last("name", ignorenulls=True).over(upto))
+    return carried.where("section IS NOT NULL AND line IS NOT NULL").select(key, "pos", "section", "line")
+
+
+def stated_confidence(values: Column) -> Column:
+    """The first number of a section's lines, between 0 and 1: percentages and numbers over 1 are divided by 100; else 0.5."""
+    number = r"([0-9]+(?:[.,][0-9]+)?)\s*%?"
+    said = F.get(F.filter(values, lambda v: v.rlike(number)), F.lit(0))
+
+    def read(v: Column) -> Column:
+        n = F.replace(F.regexp_extract(v, number, 1), F.lit(","), F.lit(".")).cast("double")
+        return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v.contains("%") | (n > 1), n / 100).otherwise(n))))
+
+    return F.coalesce(T.bound(said, read), F.lit(0.5))
+
+
 def argument_lines(text: Column) -> Column:
     """Array of (strength, claim, tags) from lines ``[strength] claim. Asos: [C1]``."""
     p = r"(?im)^\s*[-*]?\s*\[(kuchli|o['ʻ]rta|zaif)\]\s*(.+?)\s*(?:asos\s*:\s*(.*))?$"

@@ -14,6 +14,7 @@ RRF_K, CONFIDENT_RANK = 3, 15
 EXACT_WEIGHT, GRAPH_FACTOR = 2.0, 0.4
 TAG_COST, CONTEXT_BUDGET = 40, 6000
 BROADCAST_ROWS = 100_000
+PHRASES = 10_000
 QUERY_BLOCK = 10_000
 
 
@@ -46,8 +47,13 @@ def bm25(tokens: DataFrame, queries: DataFrame, key: str = "doc_id", k: int = 50
     postings = spread.join(side, "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     held = F.col("tf") > 0
     stats = postings.agg(F.count_if(held & (F.col("term") == "")).alias("n"), F.avg(F.when(held & (F.col("term") == ""), F.col("dl"))).alias("average"))
-    frequency = postings.groupBy("term").agg(F.count_if(held).alias("df"))
-    weighed = wanted.join(frequency, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "average", (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    return score_postings(postings, wanted.crossJoin(F.broadcast(stats)), key, k, k1, b)
+
+
+def score_postings(postings: DataFrame, wanted: DataFrame, key: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The best k documents from postings (term, key, tf, dl) of all terms of queries (query_id, term, times, n, average)."""
+    frequency = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    weighed = wanted.join(frequency, "term").select("query_id", "term", "times", "average", (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("average")))
     scored = postings.join(weighed, "term").groupBy("query_id", key).agg(F.sum(gain).alias("score"))
     return ranked(scored, "query_id", "score", key, k)
@@ -144,12 +150,23 @@ def article_channel(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataF
     return ranked(hits.withColumn("some", any_hint).where("hinted OR NOT some").drop("hinted", "some"), "query_id", "score", "chunk_id", k)
 
 
+def phrases_held(queries: DataFrame, phrases: DataFrame, phrase: str) -> DataFrame:
+    """queries with each row of phrases whose phrase their folded text holds: by a broadcast of phrases while they are few,
+    else by an equi-join on runs of letters."""
+    if phrases.limit(PHRASES + 1).count() <= PHRASES:
+        return queries.join(F.broadcast(phrases), F.col("folded").contains(F.col(phrase)))
+    from quillmesh.operators.graph import substring_pairs
+
+    pairs = substring_pairs(phrases.select(F.col(phrase).alias("needle")).distinct(), queries.select(F.col("folded").alias("hay")).distinct())
+    return queries.join(pairs.select(F.col("hay").alias("folded"), F.col("needle").alias(phrase)), "folded").join(phrases, phrase)
+
+
 def route(queries: DataFrame, triggers: DataFrame, least_share: float = 0.6, min_score: float = 1.0) -> DataFrame:
     """(query_id, domain, score, confidence): domains whose triggers (domain, trigger, weight, phrase_bonus) a folded query holds.
 
     The domains of at least 0.6 of the best score win; confidence is the best score's share of the total.
     """
-    hit = queries.join(F.broadcast(triggers), F.col("folded").contains(F.col("trigger"))).groupBy("query_id", "domain").agg(F.sum("weight").alias("score"))
+    hit = phrases_held(queries, triggers, "trigger").groupBy("query_id", "domain").agg(F.sum("weight").alias("score"))
     every = Window.partitionBy("query_id")
     hit = hit.withColumn("best", F.max("score").over(every)).withColumn("total", F.sum("score").over(every))
     return hit.where((F.col("best") >= min_score) & (F.col("score") >= least_share * F.col("best"))).select("query_id", "domain", "score", (F.col("best") / F.col("total")).alias("confidence"))
@@ -163,7 +180,7 @@ def expand_query(queries: DataFrame, thesaurus: DataFrame) -> DataFrame:
     """(query_id, query, added): thesaurus (phrase, term) terms of the phrases a folded query holds, then stems of its long words."""
     from quillmesh.functions import text
 
-    added = queries.join(F.broadcast(thesaurus), F.col("folded").contains(F.col("phrase"))).where(~F.col("folded").contains(F.lower("term")))
+    added = phrases_held(queries, thesaurus, "phrase").where(~F.col("folded").contains(F.lower("term")))
     first = added.groupBy("query_id", "term").agg(F.min(F.struct((-F.length("phrase")).alias("size"), "phrase")).alias("at"))
     terms = first.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
     own = F.split("folded", " ", -1)

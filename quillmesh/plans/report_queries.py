@@ -60,12 +60,6 @@ def curriculum_coverage(spark, sf_dir):
     return joined.groupBy("p_brand").agg(F.count("*").alias("topics"), F.count("hit").alias("covered"), F.round(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)), 6).alias("share"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS place, topic FROM (VALUES (1, 'constitution'), (2, 'theory'), (3, 'civil'), (4, 'contracts'), (5, 'labour')) t(n, topic)")
-def learning_path(spark, sf_dir):
-    topics = spark.createDataFrame([("labour", "contracts"), ("labour", "theory"), ("contracts", "civil"), ("civil", "theory"), ("civil", "constitution"), ("theory", "constitution"), ("constitution", None), ("theory", "labour")], "topic string, needs string")
-    return spark.createDataFrame(list(enumerate(R.learning_order(topics, "labour"), 1)), "place bigint, topic string")
-
-
 @query("SELECT p_brand, p_partkey, p_name FROM (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part WHERE p_size > 10) WHERE n = 1 ORDER BY p_brand, p_name, p_partkey LIMIT 50 OFFSET 25")
 def article_sample(spark, sf_dir):
     first = table(spark, sf_dir, "part").where("p_size > 10").withColumn("n", F.row_number().over(Window.partitionBy("p_brand", "p_name").orderBy("p_partkey"))).where("n = 1")

@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,6 +43,71 @@ def failure_window(times: list[float], state: tuple[int, float], most: int, seco
     return out, (count, ends)
 
 
+def attempt_window(attempts: list[tuple[float, bool]], state: tuple[int, float], most: int, seconds: float) -> tuple[list[tuple[bool, int]], tuple[int, float]]:
+    """(let through, failures so far) for each attempt (time, failed), and the state (failures, end of the window).
+
+    A window opens at the first failure and holds up to and including its end; a success closes it. With ``most``
+    failures in it an attempt is refused, and refused ones change nothing.
+    """
+    count, ends = state
+    out = []
+    for now, failed in attempts:
+        if now > ends:
+            count = 0
+        allowed = count < most
+        if allowed and failed:
+            ends = ends if count else now + seconds
+            count += 1
+        elif allowed:
+            count = 0
+        out.append((allowed, count))
+    return out, (count, ends)
+
+
+GUARDED = "user_id bigint, event_id bigint, allowed boolean, failures int"
+
+
+def _guard(rows: pd.DataFrame, key: str, state: tuple[int, float], most: int, seconds: float) -> tuple[pd.DataFrame, tuple[int, float]]:
+    rows = rows.sort_values(["at", "event_id"])
+    decided, state = attempt_window(list(zip(rows["at"].tolist(), rows["failed"].tolist(), strict=True)), state, most, seconds)
+    return pd.DataFrame({"user_id": rows[key], "event_id": rows["event_id"], "allowed": [a for a, _ in decided], "failures": [n for _, n in decided]}), state
+
+
+def guard_attempts(attempts: DataFrame, most: int, seconds: float, key: str = "user_id") -> DataFrame:
+    """Each attempt (key, event_id, ts, failed) with whether failures before it let it through. A key's rows meet in one
+    task, as each decision needs the ones before; null keys are one key."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return _guard(frame, key, (0, 0.0), most, seconds)[0]
+
+    return attempts.select(key, "event_id", seconds_of("ts").alias("at"), F.coalesce("failed", F.lit(False)).alias("failed")).groupBy(key).applyInPandas(run, GUARDED)
+
+
+def guard_attempts_stream(attempts: DataFrame, most: int, seconds: float, late: str = "10 seconds", key: str = "user_id") -> DataFrame:
+    """The same over a stream. A key's state ends when the watermark passes its window, or at a success, so keys without
+    open windows hold none."""
+
+    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out, held = _guard(pd.concat(list(frames)), key, state.get if state.exists else (0, 0.0), most, seconds)
+        ends = int(held[1] * 1000) + 1
+        if held[0] and ends > state.getCurrentWatermarkMs():
+            state.update(held)
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield out
+
+    rows = attempts.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts"), seconds_of("ts").alias("at"), F.coalesce("failed", F.lit(False)).alias("failed")).withWatermark("ts", late)
+    return rows.groupBy(key).applyInPandasWithState(run, GUARDED, "failures int, ends double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def seconds_of(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+
+
 LIMITED = "user_id bigint, event_id bigint, allowed boolean, wait double"
 
 
@@ -50,11 +115,11 @@ def limit_rate(events: DataFrame, per_window: int, key: str = "user_id", ts: str
     """Each event of a key with whether a sliding window of hits lets it through. A key's rows meet in one task, as each decision needs the ones before."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ts, "event_id"])
-        decided, _ = sliding_limiter((frame[ts].astype("int64") / 1e6).tolist(), [], per_window)
+        frame = frame.sort_values(["at", "event_id"])
+        decided, _ = sliding_limiter(frame["at"].tolist(), [], per_window)
         return pd.DataFrame({"user_id": frame[key], "event_id": frame["event_id"], "allowed": [a for a, _ in decided], "wait": [round(w, 6) for _, w in decided]})
 
-    return events.select(F.col(key), "event_id", F.col(ts).cast("timestamp").alias(ts)).groupBy(key).applyInPandas(run, LIMITED)
+    return events.select(F.col(key), "event_id", seconds_of(ts).alias("at")).groupBy(key).applyInPandas(run, LIMITED)
 
 
 def limit_rate_stream(events: DataFrame, per_window: int, key: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -62,12 +127,12 @@ def limit_rate_stream(events: DataFrame, per_window: int, key: str = "user_id",
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values([ts, "event_id"])
-        decided, held = sliding_limiter((rows[ts].astype("int64") / 1e6).tolist(), held, per_window)
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        decided, held = sliding_limiter(rows["at"].tolist(), held, per_window)
         state.update((held,))
         yield pd.DataFrame({"user_id": rows[key], "event_id": rows["event_id"], "allowed": [a for a, _ in decided], "wait": [round(w, 6) for _, w in decided]})
 
-    return events.select(F.col(key), "event_id", F.col(ts).cast("timestamp").alias(ts)).groupBy(key).applyInPandasWithState(run, LIMITED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.select(F.col(key), "event_id", seconds_of(ts).alias("at")).groupBy(key).applyInPandasWithState(run, LIMITED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def record_hash(body: dict, previous: str) -> str:
