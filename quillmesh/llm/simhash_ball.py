@@ -37,6 +37,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
 WIDE, SIMILAR, BANDS, BAND_ROWS, LAGS = 5, 0.8, 32, 5, 4
 SKETCH = 3  # longs that hold one bit of each least hash
+CLOSEST_ROUNDS = 3
 UNLIKE = 33  # of 160 least hashes, whose lowest two bits differ in 24 on average (4.5 standard deviation) at 0.8
 TEXTS_PER_SALT = 2000
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,8 +151,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     """(a, b): links between fingerprints of texts that share a band and have a similarity of ``SIMILAR`` or more.
 
-    Pairs within an already linked group need no check, so each text's pair of most bands is checked first and the others
-    only across the groups found. Of bands of more than LAGS + 1 texts only pairs with like sketches are checked; these are
+    Pairs within an already linked group need no check, so each text's pair of most bands is checked first, in rounds, and
+    the others only across the groups found. Of bands of more than LAGS + 1 texts only pairs with like sketches are checked; these are
     not all pairs of such a band anyway, and ``_remaining_pairs`` finds exactly what they leave apart.
     """
     one = F.min(F.struct(F.col("__row").alias("row"), F.col("__fp").alias("fp"), F.col("__bands").alias("bands"), F.col("__sketch").alias("sketch")))
@@ -168,19 +169,37 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     paired = lagged.select("key", "sketch", "n", F.explode("before").alias("at")).where("at IS NOT NULL").where((F.col("n") <= LAGS + 1) | (_unlike("sketch", "at.sketch") <= UNLIKE))
     paired = paired.select("key", F.col("at.key").alias("other"))
     pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n")), "candidates")
-    ends = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    closest = ends.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-    first = materialise(_verified(closest, chosen), "links")
-    roots = components(first)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = pairs.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
-    links = materialise(first.unionAll(_verified(apart, chosen)), "links")
+    found: list[DataFrame] = []
+    open_pairs = pairs
+    for _ in range(CLOSEST_ROUNDS):
+        closest = _closest(open_pairs)
+        found.append(materialise(_verified(closest, chosen), "links"))
+        roots = components(_all(found))
+        of = lambda c, roots=roots: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        apart = open_pairs.join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        open_pairs = materialise(apart.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "n"), "open-pairs")
+    found.append(materialise(_verified(open_pairs.select("a", "b"), chosen), "links"))
+    links = _all(found)
     links = links.unionAll(_verified(_remaining_pairs(met, links, chosen), chosen))
     prints = light.select("key", "fp")
     named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
     return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of each text's pairs (a, b, n) the one of most bands, either way."""
+    ends = pairs.select("a", "b", "n").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = ends.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("best"))
+    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+
+
 def _unlike(one: str, other: str):
     """The number of least hashes that differ by their sketches."""
     differ = lambda i: F.col(one)[i].bitwiseXOR(F.col(other)[i])
@@ -225,7 +244,10 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     Rows are linked by fingerprints within ``RADIUS`` bits, or by similar texts.
     """
-    at = docs.columns.index(text_column)
+    names = docs.columns
+    at, id_at = names.index(text_column), names.index(id_column)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # so that no name clashes with those added here
+    id_column, text_column = f"c{id_at}", f"c{at}"
     schema = StructType([*docs.schema.fields, StructField("__fp", LongType()), StructField("__size", LongType()), StructField("__key", LongType()), StructField("__bands", ArrayType(LongType())), StructField("__sketch", ArrayType(LongType()))])
 
     def run(batches):
@@ -246,7 +268,7 @@ def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: s
     order = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), (-F.col("__size")).alias("size"), F.col("__row").alias("row"))
     of_print = keyed.groupBy("__fp").agg(F.min(order).alias("least"))
     kept = of_print.join(roots, "__fp", "left").groupBy(F.coalesce("root", "__fp").alias("root")).agg(F.min("least")["row"].alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns).toDF(*names)
 
 
 def hex_digits(fp: str):
