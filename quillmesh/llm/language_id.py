@@ -34,6 +34,7 @@ UNKNOWN_LANGUAGE = "und"
 ROUNDS, SMOOTHING, LEAST_CHANCE = 2, 0.1, 1e-15
 SCALE, RESCALE = 1e3, 6
 CELLS = 120_000
+FEW, STRETCH = 4, 4096  # words of a lattice whose pieces are summed together, and characters at a time
 WORDS = re.compile(r"[^\W\d_]+")
 BEGIN = "▁"
 FLUSH_TYPES = 200_000
@@ -122,12 +123,11 @@ def lattices(words: list[str], table: PieceTable):
         letters = codes.astype(np.uint64) + np.uint64(1)
         width = min(table.longest, n)
         ids = np.full((n, width, len(part)), -1, np.int32)
-        for i in range(n):  # pieces that begin at i
-            value = np.zeros(len(part), np.uint64)
-            for k in range(min(width, n - i)):
-                value = value * table.BASE + letters[i + k]
-                found = table.find(value)
-                ids[i + k, k] = np.maximum(found, 0) if not k else found  # any single letter is a piece, if an unknown one
+        value = np.zeros_like(letters)
+        for k in range(width):  # pieces of k + 1 characters, from every place
+            value = value[: n - k] * table.BASE + letters[k:]
+            found = table.find(value.reshape(-1)).reshape(value.shape)
+            ids[k:, k] = np.maximum(found, 0) if not k else found  # any single letter is a piece, if an unknown one
         ids[:, 0][codes == 0] = len(table.hashes)
         yield part, ids
 
@@ -142,8 +142,62 @@ def filled(chances: np.ndarray) -> np.ndarray:
     return np.vstack([np.maximum(chances, LEAST_CHANCE), np.full((1, chances.shape[1]), 1 / SCALE), np.zeros((1, chances.shape[1]))])
 
 
+def _weighed(ids: np.ndarray, chances) -> np.ndarray:
+    """Scaled probabilities of the pieces of a stretch, the longest first."""
+    found = chances(ids)
+    powers = SCALE ** np.arange(1.0, ids.shape[1] + 1)
+    return (found * powers.reshape(1, -1, *(1,) * (found.ndim - 2)))[:, ::-1]
+
+
+def _forward_few(ids: np.ndarray, chances, keep: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``forward`` for few words: all pieces that end at a character at once, in stretches of ``STRETCH`` characters."""
+    n, width = ids.shape[:2]
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    held = scale = None
+    for first in range(0, n, STRETCH):
+        terms = _weighed(ids[first : first + STRETCH], chances)
+        sums = np.zeros((width + len(terms), *terms.shape[2:]))
+        if held is None:
+            sums[width - 1], scale = 1.0, np.zeros(terms.shape[2:])
+        else:
+            sums[:width] = held
+        for at, term in enumerate(terms):
+            j = first + at
+            total = sums[width + at] = (term * sums[at : at + width]).sum(axis=0)
+            if keep or j == n - 1:
+                kept.append((total.copy(), scale))
+            if j % RESCALE == RESCALE - 1:
+                scale = scale + np.log(total)
+                sums[at + 1 : at + width + 1] /= total.copy()
+        held = sums[len(terms) :].copy()
+    return kept
+
+
+def _backward_few(ids: np.ndarray, chances) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``backward`` for few words, likewise."""
+    n, width = ids.shape[:2]
+    sums = np.zeros((n + width, *chances(ids[0, 0]).shape))
+    sums[n - 1], scale = 1.0, np.zeros(sums.shape[1:])
+    kept = [(sums[n - 1].copy(), scale)]
+    lengths = np.arange(width)
+    for last in range(n - 2, -1, -STRETCH):
+        first = max(last - STRETCH + 1, 0)
+        ends = np.arange(first, last + 1)[:, None] + 1 + lengths
+        begun = np.where((ends < n)[:, :, None], ids[np.minimum(ends, n - 1), lengths], -1)
+        terms = _weighed(begun, chances)[:, ::-1]
+        for j in range(last, first - 1, -1):
+            total = sums[j] = (terms[j - first] * sums[j + 1 : j + 1 + width]).sum(axis=0)
+            kept.append((total.copy(), scale))
+            if j % RESCALE == 0:
+                scale = scale + np.log(total)
+                sums[j : j + width] /= total.copy()
+    return kept[::-1]
+
+
 def forward(ids: np.ndarray, chances, used: np.ndarray, keep: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
     """(sum, logarithm of its scale) up to each character, or up to the last only; chances(ids) gives probabilities, 0 for -1."""
+    if ids.shape[2] <= FEW:
+        return _forward_few(ids, chances, keep)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     window: list[np.ndarray] = []  # the last sums, latest first, in one scale
     scale = 0.0
@@ -164,6 +218,8 @@ def forward(ids: np.ndarray, chances, used: np.ndarray, keep: bool = True) -> li
 
 def backward(ids: np.ndarray, chances, used: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(sum, logarithm of its scale) over the segmentations of what follows each character."""
+    if ids.shape[2] <= FEW:
+        return _backward_few(ids, chances)
     n = len(ids)
     one = np.ones_like(chances(ids[0, 0]))
     kept, window, scale = [(one, np.zeros_like(one))], [one], np.zeros_like(one)
