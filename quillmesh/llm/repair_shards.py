@@ -106,6 +106,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
     rules: list[np.ndarray] = []
     made = 0
     while len(symbols) > 1:
+        if small and first + made == 1 << 16:  # no 16-bit symbol is left
+            small, shift, kind = False, 32, np.uint64
         room = (1 << 16 if small else 1 << 31) - first - made
         left, right, joined = symbols[:-1], symbols[1:], ~last[:-1]
         pairs = (left.astype(kind) << kind(shift) | right)[joined]
@@ -121,7 +123,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
         symbols, last = symbols[keep], last[keep]
         rules.append(np.stack([np.array(lefts, np.uint32), np.array(rights, np.uint32)], axis=1))
         made += len(lefts)
-        if before - len(symbols) < LEAST_GAIN * before:
+        if before - len(symbols) < LEAST_GAIN * before and not (small and first + made == 1 << 16):
             break
     offsets = np.flatnonzero(last) + 1
     return symbols, offsets, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
@@ -224,7 +226,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         if held:
             yield part, number, inside, len(held), size, write_shard(keys, held, first)
 
-    ordered = docs.select(F.col(id_column).cast("bigint").alias("key"), F.col(text_column).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    # A hash of the text, and one of the row's place for equal rows, split an id that many rows bear.
+    keyed = docs.select(F.col(id_column).cast("bigint").alias("key"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("n"))
+    ordered = keyed.repartitionByRange("key", "h", "n").sortWithinPartitions("key", "h").select("key", "text")
     map_rows(ordered, rows, "part int, number int, inside bigint, documents int, tokens bigint, shard binary", flush=16).write.parquet(path)
 
 
