@@ -10,8 +10,8 @@ too little weight for the cosine. A candidate is checked in the document's words
 answer words (its ``ANSWER_SHARE`` of highest weight) that stand there. A common subsequence of ``COPY`` of the passage is
 a copy; one of ``PARAPHRASE`` with ``ANSWER`` of the answer words is a paraphrase.
 
-The passages are the stated query set: they are taken in blocks of ``BLOCK`` items, each block one pass over the corpus,
-so what is broadcast is bounded. Within a block the rank is ``RANK`` at most; a block of fewer passages loses nothing.
+The passages are the stated query set: they are taken in blocks of about ``BLOCK`` items and ``BLOCK_WORDS`` words, each
+block one pass over the corpus, so what is broadcast is bounded. Within a block the rank is ``RANK`` at most; a block of fewer passages loses nothing.
 
 Defined cases: null or empty texts match nothing, and neither do passages without words. Passages of fewer than
 ``SHORT`` words must stand in one piece. Passages with one text match alike under each id; repeated documents are reported
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import map_rows
 
-BLOCK, RANK, OVERSAMPLE, SEED = 1000, 256, 16, 7
+BLOCK, BLOCK_WORDS, RANK, OVERSAMPLE, SEED = 1000, 200_000, 256, 16, 7
 COSINE, COPY, PARAPHRASE, ANSWER = 0.35, 0.8, 0.5, 0.8
 ANSWER_SHARE, SHORT, LEAST_SCALE = 0.25, 8, 16
 WORDS = re.compile(r"\w+")
@@ -162,10 +163,12 @@ class Block:
         self.scale_of = np.zeros(len(self.keys), np.int64)
         for scale, at in self.scales.items():
             self.scale_of[at] = scale
-        self.holds = np.zeros((len(vocabulary), 2 * len(self.keys)), np.uint16)
-        for at, (words, answers) in enumerate(zip(self.words, self.answers, strict=True)):
-            np.add.at(self.holds[:, at], [vocabulary[w] for w in words], 1)
-            self.holds[[vocabulary[w] for w in answers], len(self.keys) + at] = 1
+        # of each word the passages that hold it, how often, and whether it is one of their answer words
+        self.own = [np.unique([vocabulary[w] for w in words]) for words in self.words]
+        held = [(i, at, n, int(w in answers)) for at, (words, answers) in enumerate(zip(self.words, self.answers, strict=True)) for w, n in Counter(words).items() for i in (vocabulary[w],)]
+        table = np.array(sorted(held), np.int64).reshape(len(held), 4)
+        self.first = np.searchsorted(table[:, 0], np.arange(len(vocabulary) + 1))
+        self.passages, self.counts, self.is_answer = table[:, 1].astype(np.int32), table[:, 2].astype(np.int32), table[:, 3].astype(np.int8)
         sizes = np.array([len(words) for words in self.words], float)
         self.copy_words, self.paraphrase_words = COPY * sizes - 1e-9, PARAPHRASE * sizes - 1e-9
         self.answer_words = np.array([ANSWER * len(answers) for answers in self.answers]) - 1e-9
@@ -173,8 +176,11 @@ class Block:
     def _possible(self, ids: np.ndarray) -> np.ndarray:
         """Passages that the words around could hold: enough of their words for a copy, or for a paraphrase with its answer words."""
         present = np.unique(ids)
-        found = self.holds[present[np.searchsorted(present, 0) :]].sum(axis=0, dtype=np.int32)
-        common, answers = found[: len(self.keys)], found[len(self.keys) :]
+        present = present[np.searchsorted(present, 0) :]
+        sizes = self.first[present + 1] - self.first[present]
+        at = np.repeat(self.first[present] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        common = np.bincount(self.passages[at], self.counts[at], len(self.keys))
+        answers = np.bincount(self.passages[at], self.is_answer[at], len(self.keys))
         return np.flatnonzero((common >= self.copy_words) | (common >= self.paraphrase_words) & (answers >= self.answer_words))
 
     def candidates(self, words: list[str]):
@@ -214,7 +220,8 @@ class Block:
         """How many words around each window stand in the passage, which no common subsequence exceeds."""
         size = len(self.words[passage])
         begin, end = max(0, int(starts.min()) - size), int(ends.max()) + size
-        inside = np.append(self.holds[:, passage] > 0, False)[ids[begin:end]]  # the last is for words outside
+        own, near = self.own[passage], ids[begin:end]
+        inside = own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near
         sums = np.concatenate([[0], np.cumsum(inside)])
         return sums[np.minimum(ends + size, begin + len(inside)) - begin] - sums[np.maximum(starts - size, 0) - begin]
 
@@ -244,9 +251,10 @@ class Block:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", size: int = BLOCK):
-    """The benchmark's passages in blocks of about ``size``."""
+    """The benchmark's passages in blocks of about ``size``, or fewer where they are long."""
     items = benchmark.select(F.col(id_column).alias("item"), F.col(text_column).alias("text")).where("text IS NOT NULL")
-    parts = -(-items.count() // size)
+    n, words = items.agg(F.count("*"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+"))), F.lit(0))).first()
+    parts = max(-(-n // size), -(-words // BLOCK_WORDS))
     for part in range(parts):
         chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         listed = sorted(((row["item"], row["text"]) for row in chosen.collect()), key=lambda x: (x[0] is not None, x))
