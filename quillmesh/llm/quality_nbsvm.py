@@ -11,7 +11,8 @@ id; the sample's ids are broadcast, so texts are not shuffled. The classes' shar
 Every text is scored whole.
 
 Defined cases: null and empty texts have no n-grams and get the score of the model's bias. Labels other than 0 and 1 and
-null ids are left out of training; an id with several labels counts once, as 1 if any is. Without labelled rows of both
+null ids are left out of training; an id with several labels counts once, as 1 if any is, and one with several rows is
+learned from one of them, the first in order of a hash of the text. Without labelled rows of both
 classes the score is the smoothed share of class 1 (0.5 where there are none). Repeated rows are scored alike. Only id
 and text are read when scoring.
 """
@@ -157,17 +158,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, totals: tuple[int, int]) ->
         kept = out = order
     pick = lambda where, xs: [xs[i] for i in where]
     weights, bias = descend(pick(kept, rows), pick(kept, values), signs[kept], costs[kept])
-    weights = mixed_weights(weights)
+    weights = mixed_weights(weights, holds[0] + holds[1] > 2 * SMOOTHING)
     margins = np.array([weights[rows[i]] @ values[i] + bias for i in out])
     shares = np.where(labels[out] == 1, totals[1] / counts[1], totals[0] / counts[0])
     slope, offset = logistic(margins, labels[out], shares / shares.mean())
     return Model(weights.astype(np.float32), ratios.astype(np.float32), bias, slope, offset, constant)
 
 
-def mixed_weights(weights: np.ndarray) -> np.ndarray:
-    """Interpolates between the mean size of the weights, which is Naive Bayes on scaled indicators, and the weights."""
-    used = weights != 0
-    return np.where(used, (1 - NAIVE_SHARE) * weights + NAIVE_SHARE * np.abs(weights[used]).mean() if used.any() else 0.0, 0.0)
+def mixed_weights(weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Interpolates between the mean size of the weights, which is Naive Bayes on scaled indicators, and the weights, for
+    all n-grams seen in training, in a support vector or not."""
+    mean = np.abs(weights[seen]).mean() if seen.any() else 0.0
+    return np.where(seen, (1 - NAIVE_SHARE) * weights + NAIVE_SHARE * mean, 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -177,15 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     order = ("xxhash64(key)", "key")
     picked = [known.where(F.col("label") == c).orderBy(F.expr(order[0]), order[1]).limit(per_class) for c in (0, 1)]
     sample = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * per_class rows
-    rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(sample, "key").select("key", "label", "text")
+    rows = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(sample, "key").select("key", "label", F.xxhash64("text").alias("place"), "text")
 
     def extract(source):
         features = features_here()
-        for key, label, text in source:
-            yield key, label, features(text).tolist()
+        for key, label, place, text in source:
+            yield key, label, place, features(text).tolist()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    found = map_rows(rows, extract, f"key {kind}, label int, features array<int>", flush=100).toArrow()
+    found = map_rows(rows, extract, f"key {kind}, label int, place bigint, features array<int>", flush=100)
+    found = found.groupBy("key", "label").agg(F.min(F.struct("place", "features"))["features"].alias("features")).toArrow()  # one row an id
     order = np.argsort(found["key"].to_numpy(), kind="stable")
     lists = found["features"].combine_chunks() if found.num_rows else []
     features = [lists[int(i)].values.to_numpy() for i in order]
