@@ -92,16 +92,14 @@ def media_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def media_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The contract's digests of each document's media and fingerprint."""
+    """The contract's digests of each document's media column and of its fingerprints."""
+    media = media_table(docs, id_column, text_column)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def rows(source):
-        for key, text in source:
-            size, data = payload(text)
-            media = to_wav(data)
-            back = from_wav(media)
-            marks = landmarks(back)
-            feature = f"{len(marks)}:{hashlib.sha256(marks.astype('<i8').tobytes()).hexdigest()[:32]}"
-            yield key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        for key, size, stored, marks in source:
+            back = from_wav(stored)
+            feature = f"{len(marks)}:{hashlib.sha256(np.array(marks, '<i8').tobytes()).hexdigest()[:32]}"
+            yield key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
-    return map_rows(docs.select(id_column, text_column), rows, f"{id_column} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_rows(media, rows, f"{id_column} {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
