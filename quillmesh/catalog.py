@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quillmesh.plans.base import Query
 
-MODULES = ("text_queries", "ranking_queries", "record_queries", "document_queries", "claim_queries", "stream_queries", "report_queries", "page_queries", "gate_queries", "store_queries")
+MODULES = ("text_queries", "ranking_queries", "record_queries", "document_queries", "claim_queries", "stream_queries", "report_queries", "page_queries", "gate_queries", "store_queries", "draft_queries")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import patterns as P
@@ -97,6 +97,42 @@ def lint_lines(c: Column | str) -> Column:
     return F.flatten(F.transform(F.split(_col(c), "\n", -1), of_line))
 
 
+def blanked_code(line: Column) -> Column:
+    """A line of Markdown with what stands between backticks as blanks, so that columns stay; a last, open one stays."""
+    parts = F.split(line, "`", -1)
+    inside = lambda i: (i % 2 == 1) & (i < F.size(parts) - 1)
+    shown = F.transform(parts, lambda part, i: F.when(inside(i), F.concat(F.lit(" "), F.repeat(F.lit(" "), F.length(part)), F.lit(" "))).otherwise(part))
+    joined = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), F.lit(""), lambda acc, i: F.concat(acc, F.when((i > 0) & ~inside(i) & ~inside(i - 1), F.lit("`")).otherwise(F.lit("")), F.get(shown, i)))
+    return F.when(F.contains(line, F.lit("`")), joined).otherwise(line)
+
+
+# Rules of the linter with what they look for, lines that it passes over, and the mark that excuses a line.
+LINT_RULES = {"aralash-yozuv": r"(?=[\p{L}ʻʼ'’]*[A-Za-z])(?=[\p{L}ʻʼ'’]*[Ѐ-ӿ])[\p{L}ʻʼ'’]+", "apostrof-o-g": "[oOgG]['‘’`´]"}
+LINT_NOISE, LINT_EXCUSE = r"^\s*(?:import |export \* |from )|https?://", "lint-uz-ignore"
+
+
+def lint_places(docs: DataFrame, key: str = "doc_id", text: str = "text", markdown: bool = False) -> DataFrame:
+    """(key, line, column, rule, word) of every word of mixed script and every apostrophe after o or g that isn't the turned
+    comma; in Markdown code is passed over, and everywhere lines that bear the excuse, or follow one that does."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "raw"))
+    by_line = Window.partitionBy(key).orderBy("n")
+    lines = lines.withColumn("before", F.lag("raw").over(by_line)).withColumn("line", F.col("raw"))
+    if markdown:
+        fence = F.col("raw").rlike(r"^\s*```")
+        fences = F.sum(fence.cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, 0))
+        lines = lines.withColumn("line", F.when(fence | (fences % 2 == 1), "").otherwise(blanked_code(F.col("raw"))))
+    excused = F.col("raw").contains(LINT_EXCUSE) | F.coalesce(F.col("before").contains(LINT_EXCUSE), F.lit(False))
+    lines = lines.where(~excused & ~F.col("line").rlike(LINT_NOISE))
+    at = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<column:int,word:string>>").alias("found"))
+
+    found = []
+    for rule, pattern in LINT_RULES.items():
+        words = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
+        places = F.aggregate(words, at, lambda acc, word: bound(F.call_function("locate", word, F.col("line"), acc["next"]), lambda p: F.struct((p + F.length(word)).alias("next"), F.array_append(acc["found"], F.struct(p.alias("column"), word.alias("word"))).alias("found"))), lambda acc: acc["found"])
+        found.append(F.transform(places, lambda x, rule=rule: F.struct(x["column"].alias("column"), F.lit(rule).alias("rule"), x["word"].alias("word"))))
+    return lines.select(key, (F.col("n") + 1).alias("line"), F.explode(F.concat(*found)).alias("f")).select(key, "line", "f.*")
+
+
 def looks_russian(c: Column | str) -> Column:
     """Cyrillic text with three marking words, or over 1.5 % of letters that Uzbek lacks, in its first 4000 characters."""
     c = _col(c)

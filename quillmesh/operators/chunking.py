@@ -151,12 +151,6 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def document_type(title: Column) -> Column:
-    """Six kinds of title, tried in order."""
-    low = F.lower(title)
-    return F.when(low.rlike("konstitutsiya"), "konstitutsiya").when(low.rlike("kodeks"), "kodeks").when(low.rlike("qonun"), "qonun").when(low.rlike("farmon"), "farmon").when(low.rlike("qaror"), "qaror").when(low.rlike("nizom"), "nizom").otherwise("boshqa")
-
-
 # How a line that opens an article looks (number, then heading), where a long article may be cut, sizes in characters.
 ARTICLE_LINES = [
     r"(?iu)^[\s\u00a0]*([0-9]+(?:[¹²³⁴-][0-9]*)?)\s*-\s*modda(?!\p{L})\s*[.．:]?\s*(.*)$",

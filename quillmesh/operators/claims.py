@@ -103,6 +103,18 @@ def gate_report(checked: DataFrame, key: str = "answer_id") -> DataFrame:
     return report.withColumn("refused", F.col("kept_legal") == 0)
 
 
+def gate_reasons(checked: DataFrame, citations: DataFrame, key: str = "answer_id") -> DataFrame:
+    """(key, reasons, used): why claims were dropped or flagged, each reason once, and the tags of known citations that what
+    is kept bears, both in the order in which they first occur."""
+    in_order = lambda values: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(values)), lambda x: x["v"])))
+    seen = checked.withColumn("why", F.filter(F.array("reason"), lambda r: r.isNotNull()))
+    reasons = seen.groupBy(key).agg(in_order(F.struct("pos", F.col("why").alias("v"))).alias("reasons"))
+    borne = checked.where("status <> 'dropped'").select(key, "pos", F.posexplode("tags").alias("n", "tag"))
+    known = borne.join(citations.select(key, F.upper("tag").alias("tag")).distinct(), [key, "tag"])
+    used = known.groupBy(key).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "n", "tag"))), lambda x: x["tag"])).alias("used"))
+    return reasons.join(used, key, "left").select(key, "reasons", F.coalesce("used", F.array().cast("array<string>")).alias("used"))
+
+
 def reassemble(claims: DataFrame, checked: DataFrame, key: str = "answer_id") -> DataFrame:
     """(key, answer): what is kept in order; a heading goes when nothing up to the next one is left."""
     joined = claims.join(checked.select(key, "pos", "status"), [key, "pos"], "left").withColumn("stays", F.when(F.col("is_claim"), F.col("status") != "dropped").otherwise(F.col("text") != ""))

@@ -173,6 +173,7 @@ def findings(read: DataFrame, key: str = "case_id") -> DataFrame:
     decided, heard = col("decided_at").try_cast("date"), col("hearing_at").try_cast("date")
     days = F.regexp_extract("appeal_note", r"(?i)(\d{1,3})\s*kun", 1).try_cast("int")
     number = lambda c: F.split_part(c["article"], F.lit("-"), F.lit(1)).try_cast("int")
+    # Codes, checks and severities, in the order of the checks.
     rules = [("PROC-001", "protsessual", col(field).isNull(), "major") for field in ("case_number", "court", "judge", "decided_at")] + [
         ("PROC-002", "protsessual", ~col("has_conclusion"), "critical"),
         ("PROC-003", "protsessual", size("roles") == 0, "major"),
@@ -220,6 +221,7 @@ def integrity_flags(read: DataFrame, key: str = "case_id") -> DataFrame:
     gap = F.datediff(col("decided_at").try_cast("date"), col("hearing_at").try_cast("date"))
     guilty = col("verdict").contains("aybdor")
     unfit = F.exists("evidence", lambda e: T.fold(e, False).rlike("qabul qilinmaydigan|noqonuniy"))
+    # Codes, groups and weights.
     rules = [
         ("SENT-001", "sentencing", lenient, 0.35),
         ("SENT-002", "sentencing", ~lenient & (years / typical["high"] > HARSH), 0.20),
@@ -254,6 +256,32 @@ def appeal_deadline_days(case_type: Column, stage: Column) -> Column:
     return F.coalesce(*[F.when((case_type == kind) & (stage == at), days) for (kind, at), days in APPEAL_DEADLINES.items()])
 
 
+STAGES = ("pretrial", "first_instance", "appeal", "cassation", "supervisory", "execution")
+
+
+def next_stage(stage: Column) -> Column:
+    """The stage after one, null after the last and for others."""
+    return F.coalesce(*[F.when(stage == now, after) for now, after in zip(STAGES, STAGES[1:], strict=False)])
+
+
+def expired_deadlines(deadlines: Column, today: Column) -> Column:
+    """Of an array of (action, due) those that were due before today."""
+    return F.filter(deadlines, lambda d: d["due"] < today)
+
+
+# Severities from the gravest on; those of the last kind ask for no correction.
+SEVERITIES = ("critical", "major", "minor", "info")
+
+
+def corrections(found: DataFrame, recommendations: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, corrections): what the findings (key, code, severity, pos) recommend by code (code, recommendation), the
+    gravest first, then in the order in which they were found, each once."""
+    place = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    said = found.where(F.col("severity") != SEVERITIES[-1]).join(recommendations, "code").groupBy(key, "recommendation").agg(F.min(F.struct(place.alias("place"), "pos", "code")).alias("first"))
+    in_order = F.sort_array(F.collect_list(F.struct("first", "recommendation")))
+    return said.groupBy(key).agg(F.transform(in_order, lambda x: x["recommendation"]).alias("corrections"))
+
+
 def evidence_by_strength(items: Column, strong: bool) -> Column:
     """Of an array of (strength, admissible): strong and admissible ones, or weak or inadmissible ones."""
     keep = (lambda e: (e["strength"] == "strong") & e["admissible"]) if strong else (lambda e: (e["strength"] == "weak") | ~e["admissible"])
@@ -272,6 +300,17 @@ def judge_matches(read: DataFrame, needle: str) -> DataFrame:
     return read.where(T.fold("judge", False).contains(needle.lower()))
 
 
+def judge_notice(read: DataFrame) -> DataFrame:
+    """One row: cases and distinct judges, and whether a profile of them would mix several."""
+    return read.agg(F.count("*").alias("n_cases"), F.countDistinct("judge").alias("n_judges")).withColumn("mixed", F.col("n_judges") > 1)
+
+
+def clipped(text: Column, most: int = 120) -> Column:
+    """Evidence as it is shown: on one line, cut with an ellipsis."""
+    line = T.strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(line) > most, F.concat(T.strip(F.left(line, F.lit(most - 1))), F.lit("…"))).otherwise(line)
+
+
 def judge_profiles(read: DataFrame, scores: DataFrame, key: str = "case_id") -> DataFrame:
     joined = read.join(scores.select(key, "score"), key, "left").where("judge IS NOT NULL")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))

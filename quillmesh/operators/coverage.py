@@ -83,6 +83,13 @@ def article_variants(chunks: DataFrame) -> DataFrame:
     return chunks.where("article <> ''").groupBy("doc_id", "article").agg(F.countDistinct("element_id").alias("n"))
 
 
+def article_hierarchies(chunks: DataFrame) -> DataFrame:
+    """(doc_id, article, hierarchies): the distinct paths, joined, under which a document has one article number, sorted;
+    more than one mean that the number alone doesn't name an article."""
+    path = F.concat_ws(" > ", "path")
+    return chunks.where("article <> ''").groupBy("doc_id", "article").agg(F.sort_array(F.collect_set(path)).alias("hierarchies"))
+
+
 def ambiguous_articles(chunks: DataFrame) -> DataFrame:
     """(doc_id, n): numbers of a document that more than one element carries."""
     return article_variants(chunks).where("n > 1").groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -85,6 +85,19 @@ def page_of(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
+def own_history(turns: DataFrame, user: Column, session: Column, offset: int, limit: int, order: list) -> DataFrame:
+    """A page of the turns (user_id, session_id) of either identity, in order, each with the number of all of them."""
+    mine = F.coalesce(F.col("user_id") == user, F.lit(False)) | F.coalesce(F.col("session_id") == session, F.lit(False))
+    return page_of(turns.where(mine), order, offset, limit)
+
+
+def gate_counts(answers: DataFrame, trace: DataFrame, key: str = "answer_id") -> DataFrame:
+    """answers with what the gate kept and dropped, read from their trace (key, step, node, kept, dropped): the last gate step
+    counts, and an answer without one has zeros."""
+    gates = trace.where("node = 'gate'").groupBy(key).agg(F.max_by(F.struct("kept", "dropped"), "step").alias("g"))
+    return answers.join(gates, key, "left").withColumn("gate_kept", F.coalesce("g.kept", F.lit(0))).withColumn("gate_dropped", F.coalesce("g.dropped", F.lit(0))).drop("g")
+
+
 def disagreement(confidence_a: Column, confidence_b: Column, tags_a: Column, tags_b: Column, conclusions: Column) -> Column:
     """0.4 of the difference of confidence, 0.4 of the tags' distance and 0.2 of the conclusions'."""
     from quillmesh.functions.text import jaccard

@@ -16,6 +16,7 @@ TAG_COST, CONTEXT_BUDGET = 40, 6000
 BROADCAST_ROWS = 100_000
 PHRASES = 10_000
 QUERY_BLOCK = 10_000
+QUERY_STRIDE = 1000
 
 
 def ranked(df: DataFrame, group: str, score: str, key: str, k: int | None = None) -> DataFrame:
@@ -101,16 +102,32 @@ def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def best(batches):
+        """The task's best k + 1 vectors of each query, over all its batches; ties at the last place go to smaller keys."""
         ids, matrix = shared.value
+        most = k + 1
+        kept = np.full((len(ids), most), -np.inf), np.full((len(ids), most), np.iinfo(np.int64).max), np.zeros((len(ids), most))
         for frame in batches:
             if not len(frame) or not len(ids):
                 continue
             rows = np.array(frame[vector].tolist(), np.float64)
-            scores = matrix @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).T
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
             keys = frame[key].to_numpy()
-            for at, query in enumerate(ids):
-                order = np.lexsort((keys, -np.round(scores[at], 9)))[: k + 1]
-                yield pd.DataFrame({"query_id": query, key: keys[order], "score": scores[at][order]})
+            for first in range(0, len(ids), QUERY_STRIDE):
+                scores = matrix[first : first + QUERY_STRIDE] @ rows.T
+                rounded = np.round(scores, 9)
+                at, row = np.nonzero(rounded >= kept[0][first : first + QUERY_STRIDE, -1:])
+                touched = np.unique(at)
+                owner = np.concatenate([at, np.repeat(touched, most)])
+                value = np.concatenate([rounded[at, row], kept[0][first + touched].ravel()])
+                named = np.concatenate([keys[row], kept[1][first + touched].ravel()])
+                exact = np.concatenate([scores[at, row], kept[2][first + touched].ravel()])
+                order = np.lexsort((named, -value, owner))
+                place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+                order, place = order[place < most], place[place < most]
+                for held, new in zip(kept, (value, named, exact), strict=True):
+                    held[first + owner[order], place] = new[order]
+        at, place = np.nonzero(np.isfinite(kept[0]))
+        yield pd.DataFrame({"query_id": ids[at], key: kept[1][at, place], "score": kept[2][at, place]})
 
     found = vectors.select(key, vector).mapInPandas(best, f"query_id bigint, {key} bigint, score double")
     if exclude_self:
@@ -190,10 +207,28 @@ def expand_query(queries: DataFrame, thesaurus: DataFrame) -> DataFrame:
 
 
 def pack_context(results: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
-    """Results (query_id, rank, tokens) while their tokens and tags fit, stopping at the first that doesn't; tag C1, C2 ..."""
+    """Results (query_id, rank, tokens) while their tokens and tags fit, stopping at the first that doesn't; tag C1, C2 ...
+
+    No more than budget / TAG_COST results can fit, so others are left out before they meet in a task.
+    """
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     running = F.sum(F.col("tokens") + TAG_COST).over(order)
-    return results.withColumn("used", running).where(F.col("used") <= budget).withColumn("tag", F.concat(F.lit("C"), F.col("rank").cast("string")))
+    some = results.where(F.col("rank") <= budget // TAG_COST)
+    return some.withColumn("used", running).where(F.col("used") <= budget).withColumn("tag", F.concat(F.lit("C"), F.col("rank").cast("string")))
+
+
+def numbered(df: DataFrame, group: str, order: str, parts: int = 200) -> DataFrame:
+    """Adds rank, the place of a row within its group in order of a number that doesn't repeat there, without bringing a
+    group into one task: rows are numbered within ranges of the number, and ranges begin after those before them."""
+    bounds = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    dealt = df.withColumn("__part", part)
+    sizes = dealt.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(group).alias("__group"), F.col("__part").alias("__at"), F.coalesce(before, F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order))
+    joined = dealt.withColumn("__own", own).join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__at")))
+    return joined.withColumn("rank", F.col("__start") + F.col("__own")).drop("__part", "__own", "__group", "__at", "__start")
 
 
 def keyword_coverage(stems: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -209,11 +244,13 @@ def keyword_coverage(stems: DataFrame, queries: DataFrame, key: str = "doc_id")
 
 
 def rerank_head(results: DataFrame, scorer: Column, k: int) -> DataFrame:
-    """The first max(3 k, 20) results in order of scorer, the rest after them as they were."""
-    head = F.greatest(F.lit(3 * k), F.lit(20))
-    marked = results.withColumn("tail", F.col("rank") > head).withColumn("rescored", F.when(F.col("rank") <= head, scorer))
-    order = Window.partitionBy("query_id").orderBy("tail", F.round("rescored", 9).desc_nulls_last(), "rank")
-    return marked.withColumn("new_rank", F.row_number().over(order)).drop("tail")
+    """The first max(3 k, 20) results in order of scorer, the rest after them as they were; only the first ones are ordered."""
+    head = max(3 * k, 20)
+    first = results.where(F.col("rank") <= head).withColumn("rescored", scorer)
+    order = Window.partitionBy("query_id").orderBy(F.round("rescored", 9).desc_nulls_last(), "rank")
+    first = first.withColumn("new_rank", F.row_number().over(order).cast("bigint"))
+    rest = results.where(F.col("rank") > head).withColumn("rescored", F.lit(None).cast(first.schema["rescored"].dataType))
+    return first.unionByName(rest.withColumn("new_rank", F.col("rank").cast("bigint")))
 
 
 def graph_neighbours(results: DataFrame, edges: DataFrame, limit: int = 3, key: str = "node") -> DataFrame:

@@ -81,7 +81,7 @@ def apply_versions(elements: DataFrame, versions: DataFrame, keys: list[str]) ->
 
 
 def repealed_absent(versions: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
-    return versions.where(F.col("valid_to").isNotNull()).join(elements.select(*keys), keys, "left_anti").orderBy(*keys)
+    return versions.where(F.col("valid_to").isNotNull()).join(elements.select(*keys), keys, "left_anti")
 
 
 def valid_from_or_adopted(valid_from: Column, adopted: Column, today: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import chunking as C
+from quillmesh.operators import parsing as PA
 from quillmesh.operators import privacy as PR
 from quillmesh.operators import quality as Q
 from quillmesh.operators import versions as V
@@ -156,7 +157,7 @@ def valid_from_backfill(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN p_name LIKE '%kodeks%' THEN 'kodeks' ELSE 'boshqa' END AS kind, '[' || p_name || ' > ' || p_brand || ' > ' || p_size || '-modda]' AS heading FROM part")
 def chunk_headings(spark, sf_dir):
     label = C.heading(F.col("p_name"), F.array("p_brand"), F.concat(F.col("p_size").cast("string"), F.lit("-modda")), F.lit(""))
-    return table(spark, sf_dir, "part").select("p_partkey", C.document_type(F.col("p_name")).alias("kind"), label.alias("heading"))
+    return table(spark, sf_dir, "part").select("p_partkey", PA.first_matching(F.col("p_name"), PA.DOCUMENT_TYPES, "boshqa").alias("kind"), label.alias("heading"))
 
 
 @query()

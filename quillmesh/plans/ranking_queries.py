@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
@@ -89,7 +88,7 @@ y AS (SELECT *, sum(tokens + 40) OVER (PARTITION BY source ORDER BY rank) AS use
 SELECT source, doc_id, CAST(used AS BIGINT) AS used, 'C' || rank AS tag FROM y WHERE used <= 6000""")
 def context_budget(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.size(F.filter(F.split("text", r"\s+", -1), lambda x: x != "")).cast("bigint").alias("w"))
-    placed = docs.withColumn("tokens", F.col("w") * 2).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    placed = R.ranked(docs.withColumn("tokens", F.col("w") * 2).withColumn("even", F.lit(0)), "query_id", "even", "doc_id", R.CONTEXT_BUDGET // R.TAG_COST)
     return R.pack_context(placed).select(F.col("query_id").alias("source"), "doc_id", F.col("used").cast("bigint").alias("used"), "tag")
 
 
@@ -146,7 +145,7 @@ WITH r AS (SELECT source AS query_id, doc_id, n_chars, row_number() OVER (PARTIT
 h AS (SELECT *, rank > 20 AS tail, CASE WHEN rank <= 20 THEN n_chars % 97 END AS s FROM r)
 SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY tail, s DESC NULLS LAST, rank) AS new_rank FROM h""")
 def rerank_head(spark, sf_dir):
-    placed = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    placed = R.numbered(table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", "n_chars"), "query_id", "doc_id")
     again = R.rerank_head(placed, (F.col("n_chars") % 97).cast("double"), 5)
     return again.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.col("new_rank").cast("bigint").alias("new_rank"))
 

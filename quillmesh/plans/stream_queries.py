@@ -76,11 +76,12 @@ def result_links(spark, sf_dir):
     return A.result_links(table(spark, sf_dir, "pages")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("SELECT lang, status, word, lang || '-' || status || '-' || word AS key FROM (VALUES ('uz'), ('ru')) l(lang), (VALUES ('active'), ('repealed')) s(status) JOIN (VALUES ('uz', 'qonun'), ('uz', 'kodeks'), ('ru', 'закон')) v(vl, word) ON vl = lang")
+@query("SELECT lang, status, word, lang || '-' || status || '-' || word AS key FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l, (SELECT DISTINCT o_orderstatus AS status FROM orders) s JOIN (SELECT DISTINCT lang AS vl, source AS word FROM documents) v ON vl = lang")
 def discovery_plan(spark, sf_dir):
-    langs, statuses = spark.createDataFrame([("uz",), ("ru",)], "lang string"), spark.createDataFrame([("active",), ("repealed",)], "status string")
-    words = spark.createDataFrame([("uz", "qonun"), ("uz", "kodeks"), ("ru", "закон")], "lang string, word string")
-    return A.query_plan([langs, statuses], words).select("lang", "status", "word", F.concat_ws("-", "lang", "status", "word").alias("key"))
+    docs = table(spark, sf_dir, "documents")
+    statuses = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")).distinct()
+    words = docs.select("lang", F.col("source").alias("word")).distinct()
+    return A.query_plan([docs.select("lang").distinct(), statuses], words).select("lang", "status", "word", F.concat_ws("-", "lang", "status", "word").alias("key"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM documents")

@@ -104,6 +104,15 @@ def write_index(tokens: DataFrame, folder: str, key: str = "doc_id") -> None:
     terms.write.mode("overwrite").parquet(f"{folder}/terms")
 
 
+def append_log(rows: DataFrame, folder: str) -> bool:
+    """Appends to a log; what fails is told by the result alone, as a log must not stop what it is of."""
+    try:
+        rows.write.mode("append").parquet(folder)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
 def upsert(store: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """store with fresh rows in place of those of the same key."""
     return store.join(fresh.select(key), key, "left_anti").unionByName(fresh)
