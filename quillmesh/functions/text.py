@@ -106,8 +106,9 @@ def blanked_code(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("`")), joined).otherwise(line)
 
 
-# Rules of the linter with what they look for, lines that it passes over, and the mark that excuses a line.
-LINT_RULES = {"aralash-yozuv": r"(?=[\p{L}ʻʼ'’]*[A-Za-z])(?=[\p{L}ʻʼ'’]*[Ѐ-ӿ])[\p{L}ʻʼ'’]+", "apostrof-o-g": "[oOgG]['‘’`´]"}
+# The linter's rules: how they cut a line, and what a line and a piece that they tell of hold; lines that it
+# passes over, and the mark that excuses a line.
+LINT_RULES = {"aralash-yozuv": (r"[\p{L}ʻʼ'’]++|[^\p{L}ʻʼ'’]++", "[Ѐ-ӿ]", r"[A-Za-z].*[Ѐ-ӿ]|[Ѐ-ӿ].*[A-Za-z]"), "apostrof-o-g": (r"[oOgG]['‘’`´]|[oOgG]|[^oOgG]++", "[oOgG]['‘’`´]", "^[oOgG]['‘’`´]$")}
 LINT_NOISE, LINT_EXCUSE = r"^\s*(?:import |export \* |from )|https?://", "lint-uz-ignore"
 
 
@@ -123,14 +124,15 @@ def lint_places(docs: DataFrame, key: str = "doc_id", text: str = "text", markdo
         lines = lines.withColumn("line", F.when(fence | (fences % 2 == 1), "").otherwise(blanked_code(F.col("raw"))))
     excused = F.col("raw").contains(LINT_EXCUSE) | F.coalesce(F.col("before").contains(LINT_EXCUSE), F.lit(False))
     lines = lines.where(~excused & ~F.col("line").rlike(LINT_NOISE))
-    at = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<column:int,word:string>>").alias("found"))
-
-    found = []
-    for rule, pattern in LINT_RULES.items():
-        words = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
-        places = F.aggregate(words, at, lambda acc, word: bound(F.call_function("locate", word, F.col("line"), acc["next"]), lambda p: F.struct((p + F.length(word)).alias("next"), F.array_append(acc["found"], F.struct(p.alias("column"), word.alias("word"))).alias("found"))), lambda acc: acc["found"])
-        found.append(F.transform(places, lambda x, rule=rule: F.struct(x["column"].alias("column"), F.lit(rule).alias("rule"), x["word"].alias("word"))))
-    return lines.select(key, (F.col("n") + 1).alias("line"), F.explode(F.concat(*found)).alias("f")).select(key, "line", "f.*")
+    lines = lines.select(key, "n", "line")
+    out = None
+    for rule, (pieces, inside, told) in LINT_RULES.items():
+        cut = lines.where(F.col("line").rlike(inside)).select(key, "n", F.posexplode(F.regexp_extract_all("line", F.lit(pieces), F.lit(0))).alias("i", "word"))
+        before = F.sum(F.length("word")).over(Window.partitionBy(key, "n").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+        placed = cut.withColumn("column", (F.coalesce(before, F.lit(0)) + 1).cast("int")).where(F.col("word").rlike(told))
+        found = placed.select(key, (F.col("n") + 1).alias("line"), "column", F.lit(rule).alias("rule"), "word")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def looks_russian(c: Column | str) -> Column:

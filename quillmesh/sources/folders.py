@@ -1,6 +1,6 @@
 """Folders of files: corpora to be cut and indexed, court decisions, and configuration with defaults where it is absent.
 
-Spark itself passes over files whose names begin with a dot or an underscore; files in folders that begin with a dot are
+Spark itself passes over files of no bytes and those whose names begin with a dot or an underscore; files in folders that begin with a dot are
 left out here. Folders are listed by Spark's readers, so any store that these reach will do.
 """
 

@@ -14,10 +14,10 @@ from quillmesh.sources import graph_cache as GC
 @pytest.fixture()
 def folder(tmp_path):
     files = {
-        "Mehnat kodeksi__https:--x.org__2024-05-01.txt": "1-modda. Umumiy\nBu moddaning matni yetarlicha uzun.\n2-modda\nIkkinchi moddaning matni ham uzun.",
+        "Mehnat kodeksi__x.org__2024-05-01.txt": "1-modda. Umumiy\nBu moddaning matni yetarlicha uzun.\n2-modda\nIkkinchi moddaning matni ham uzun.",
         "deep/er/Oila kodeksi.md": "Birinchi xatboshi yetarlicha uzun.\n\nIkkinchi xat-\nboshi ham shunday uzun.",
         "page.HTML": "<p>Sahifa matni yetarlicha uzun <b>boʻldi</b></p><script>x</script>",
-        "empty.txt": "", "scan.pdf": "%PDF", "noending": "x", ".hidden.txt": "yashirin matn, koʻrinmaydi", ".git/config.txt": "yashirin papka, koʻrinmaydi",
+        "empty.txt": "\n", "nothing.txt": "", "scan.pdf": "%PDF", "noending": "x", ".hidden.txt": "yashirin matn, koʻrinmaydi", ".git/config.txt": "yashirin papka, koʻrinmaydi",
     }
     for name, text in files.items():
         path = tmp_path / "corpus" / name
@@ -28,7 +28,7 @@ def folder(tmp_path):
 
 def test_folder_is_walked_and_summed_up(spark, folder):
     files = {r.name: (r.kind, r.readable) for r in FO.folder_files(spark, folder).collect()}
-    assert files == {"Mehnat kodeksi__https:--x.org__2024-05-01.txt": ("txt", True), "Oila kodeksi.md": ("md", True), "page.HTML": ("html", True), "empty.txt": ("txt", True), "scan.pdf": ("pdf", False), "noending": ("", False)}
+    assert files == {"Mehnat kodeksi__x.org__2024-05-01.txt": ("txt", True), "Oila kodeksi.md": ("md", True), "page.HTML": ("html", True), "empty.txt": ("txt", True), "scan.pdf": ("pdf", False), "noending": ("", False)}
     chunks, summary = FO.ingest_folder(spark, folder)
     rows = sorted((r.document, r.pos, r.article, r.text) for r in chunks.collect())
     assert rows == [
