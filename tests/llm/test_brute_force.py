@@ -167,13 +167,13 @@ def test_paraphrases_are_found_in_a_truncated_space(spark):
     share = 1 / np.arange(1, 6001) ** 0.8
     share /= share.sum()
     draw = lambda n: [vocabulary[i] for i in rng.choice(6000, n, p=share)]
-    passages = {i: draw(int(rng.integers(20, 60))) for i in range(600)}
+    passages = {i: draw(int(rng.integers(20, 60))) for i in range(300)}
     docs, planted = {}, set()
-    for d in range(150):
-        words = draw(int(rng.integers(50, 300)))
-        if d < 100:  # a paraphrase: some words replaced, some left out, some added, order kept
-            p = int(rng.integers(0, 600))
-            changed = [w if rng.random() < 0.68 else str(rng.choice(vocabulary)) for w in passages[p] if rng.random() < 0.95]
+    for d in range(60):
+        words = draw(int(rng.integers(40, 120)))
+        if d < 50:  # a paraphrase: rare words stay, most of the others are replaced
+            p = int(rng.integers(0, 300))
+            changed = [w if int(w[1:]) > 900 or rng.random() < 0.4 else vocabulary[int(rng.integers(0, 6000))] for w in passages[p]]
             words[20:20] = changed
         docs[d] = words
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
@@ -184,9 +184,9 @@ def test_paraphrases_are_found_in_a_truncated_space(spark):
     for d, words in docs.items():
         for p in range(len(block.keys)):
             size = len(block.words[p])
-            for start in range(0, max(1, len(words) - size + 1), 4):
+            for start in range(0, max(1, len(words) - size + 1), max(4, size // 4)):
                 common, answers = block.check(p, words, start, min(start + size, len(words)))
                 if common >= lsa_decontaminate.COPY or common >= lsa_decontaminate.PARAPHRASE and answers >= lsa_decontaminate.ANSWER:
                     planted.add((d, block.keys[p]))
                     break
-    assert len(planted) > 40 and len(found & planted) >= 0.9 * len(planted), (len(found & planted), len(planted))
+    assert len(planted) > 15 and len(found & planted) >= 0.9 * len(planted), (len(found & planted), len(planted))
