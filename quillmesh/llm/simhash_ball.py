@@ -37,7 +37,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
 WIDE, SIMILAR, BANDS, BAND_ROWS, LAGS = 5, 0.8, 32, 5, 4
 SKETCH = 3  # longs that hold one bit of each least hash
-CLOSEST_ROUNDS = 3
+CLOSEST_ROUNDS = 2
 UNLIKE = 33  # of 160 least hashes, whose lowest two bits differ in 24 on average (4.5 standard deviation) at 0.8
 TEXTS_PER_SALT = 2000
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
