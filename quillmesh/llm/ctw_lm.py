@@ -2,13 +2,14 @@
 
 A text is lower-cased (A-Z), its words joined by single spaces, and an end byte 255 added. Every byte is eight binary
 decisions; each decision has a tree of the byte contexts of 0 to ``DEPTH`` bytes before, with Krichevsky-Trofimov (KT)
-estimates at its nodes, weighted half and half with the product of the children at every depth. The trained tree gives
-each context a table of the predictive probabilities of the next byte, so a text is scored by one walk per byte, and its
-code length per byte is what the tables sum to.
+estimates at its nodes, weighted half and half with the product of the children at every depth. The tree has every
+context of the training texts, however rare, so a byte's probability follows from its (DEPTH + 1)-gram alone.
 
-Counts of all (DEPTH + 1)-grams of the training texts are gathered by a shuffle. The tree keeps each context of at least
-``SHARE`` of the training bytes, so 1 / SHARE contexts a depth at most; what follows contexts left out is coded by one
-further KT child of the context kept above them. The tables broadcast are so bounded whatever the corpus.
+Counts of all (DEPTH + 1)-grams of the training texts are gathered by a shuffle. The trees below contexts of two bytes
+don't depend on each other, so they are dealt by these two bytes to ``SLICES`` slices, and each task builds those of one
+slice at a time. What they weigh at two bytes is summed to the 256 contexts of one byte, and these and the root, a bounded
+table, are weighted on the driver and broadcast. The texts are packed in chunks of ``CHUNK_BYTES``; each chunk asks every
+slice once for the grams that it holds, whatever their number in it, and gets their logarithms back by a shuffle.
 
 The base score is a unigram model of words with one added to each count. Words of at least ``WORD_SHARE`` of the training
 tokens, a bounded number, are broadcast; only the other words of texts are shuffled to their counts. Words are counted by
@@ -20,6 +21,7 @@ repeated ids are kept; rows have a key of their own. Only id and text are read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,15 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_rows, materialise
+from quillmesh.llm.common import grouped_batches, map_rows, materialise
 
 DEPTH = 5
-SHARE = 2.0**-17
 WORD_SHARE = 2.0**-20
 END = 255
 PAD = bytes([END]) * DEPTH
 END_WORD = b" end"  # no word holds a space
+SLICES = 1024
+SLICE_KEYS = (np.arange(1 << 16, dtype=np.int64) * 40503 & 0xFFFF) >> 6 << 48  # by the last two bytes, over a gram's 48 bits
+GRAM = (1 << 48) - 1
 BLOCK_BYTES = 1_500_000
+CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 1 << 15
+ASKED_BYTES = 4_000_000
 MERGE_ROWS = 3_000_000
 FLUSH_WORDS = 300_000
 
@@ -154,6 +160,22 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
+SMALL = 1 << 16
+GAMMAS = {shift: log_gamma(np.arange(SMALL) + shift) for shift in (0.5, 1.0)}
+
+
+def log_kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """log_kt of whole numbers, by tables where they are small."""
+
+    def gamma(counts: np.ndarray, shift: float) -> np.ndarray:
+        found = GAMMAS[shift][np.minimum(counts, SMALL - 1)]
+        large = counts >= SMALL
+        found[large] = log_gamma(counts[large] + shift)
+        return found
+
+    return gamma(zeros, 0.5) + gamma(ones, 0.5) - gamma(zeros + ones, 1.0) - math.log(math.pi)
+
+
 def bit_counts(counts: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts (contexts, 2^level nodes) of a 0 and a 1 at the decisions of one bit, highest first."""
     split = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(axis=3, dtype=np.float64)
@@ -178,7 +200,7 @@ def byte_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Contexts kept, their children and the log10 probabilities of the next byte at each as the deepest known context."""
+    """A tree that is held whole, for small corpora: contexts, their children and the log10 probabilities of the next byte at each as the deepest known context."""
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
         """orders[d]: sorted contexts of d bytes (last byte highest) and their counts (contexts, 256)."""
@@ -253,33 +275,159 @@ class Tree:
         return np.add.reduceat(values.astype(np.float64), coded.starts)
 
 
-def build_tree(grams: DataFrame, total: int, share: float = SHARE) -> Tree:
-    """The tree from a table (code, n) of byte grams that sum to total."""
-    orders = []
-    for d in range(DEPTH + 1):
-        shift = 8 * (DEPTH + 1 - d)
-        context = F.shiftright("code", shift)
-        keyed = grams.groupBy(context.alias("context"), F.col("code").bitwiseAND(255).alias("byte")).agg(F.sum("n").alias("n"))
-        if d:
-            kept = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(share * total)).select("context")
-            keyed = keyed.join(F.broadcast(kept), "context", "left_semi")  # 1 / share contexts at most
-        found = keyed.toArrow()
-        context_of, place = np.unique(found["context"].to_numpy(), return_inverse=True)
-        counts = np.zeros((max(len(context_of), int(d == 0)), 256))
-        if found.num_rows:
-            counts[place, found["byte"].to_numpy()] = found["n"].to_numpy()
-        orders.append((context_of if len(context_of) or d else np.zeros(1, np.int64), counts))
-    return Tree(orders)
+def _nodes(codes: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context and the bits before, count of a 0, of a 1) of the decisions of one bit; codes are sorted."""
+    keys = codes >> (8 - bit)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    both, ones = np.add.reduceat(counts, first), np.add.reduceat(counts * (codes >> (7 - bit) & 1), first)
+    return keys[first], both - ones, ones
+
+
+class Subtrees:
+    """The trees below some contexts of ``TOP`` bytes, with all their contexts."""
+
+    TOP = 2
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        """codes: sorted byte grams and their counts."""
+        self.depths = [(codes, counts)] if len(codes) else []
+        while 0 < len(self.depths) <= DEPTH - self.TOP:
+            longer, n = self.depths[0]
+            self.depths.insert(0, _merged([(longer >> 16 << 8 | longer & 255, n)]))
+        self.bits = [self._weigh(bit) for bit in range(8)]
+
+    def _weigh(self, bit: int):
+        """By depth: nodes, places of parents, weights of the nodes' own estimates; and the weighted logarithms at the top."""
+        half = math.log(0.5)
+        nodes = [_nodes(codes, counts, bit) for codes, counts in self.depths]
+        parents = [np.searchsorted(above[0], below[0] >> (8 + bit) << bit | below[0] & ((1 << bit) - 1)) for above, below in zip(nodes, nodes[1:], strict=False)]
+        keep, weighted = [None] * len(nodes), np.zeros(0)
+        for d in reversed(range(len(nodes))):
+            own = log_kt_of(*nodes[d][1:])
+            if d == len(nodes) - 1:
+                keep[d], weighted = np.ones_like(own), own
+            else:
+                weighted = half + np.logaddexp(own, np.bincount(parents[d], weighted, len(own)))
+                keep[d] = np.exp(half + own - weighted)
+        return nodes, parents, keep, weighted
+
+    def tops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts of TOP bytes, their counts of the next byte and weighted logarithms of the 255 decisions."""
+        codes, n = self.depths[0] if self.depths else (np.zeros(0, np.int64),) * 2
+        contexts = np.unique(codes >> 8)
+        counts, logs = np.zeros((len(contexts), 256), np.int64), np.zeros((len(contexts), 255))
+        counts[np.searchsorted(contexts, codes >> 8), codes & 255] = n
+        for bit, (nodes, _, _, weighted) in enumerate(self.bits if self.depths else ()):
+            keys = nodes[0][0]
+            logs[np.searchsorted(contexts, keys >> bit), (1 << bit) - 1 + (keys & ((1 << bit) - 1))] = weighted
+        return contexts, counts, logs
+
+    def log10_of(self, codes: np.ndarray, upper: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """log10 probability of the last byte of grams; upper: what contexts above TOP say, and the weight that they leave."""
+        total = np.zeros(len(codes))
+        for bit, (nodes, parents, keep, _) in enumerate(self.bits):
+            before = (codes & 255) >> (8 - bit)
+            base, rest = (side[codes >> 40, (1 << bit) - 1 + before] for side in upper)
+            states = []
+            for d, (keys, zeros, ones) in enumerate(nodes):
+                if d:
+                    above = [side[parents[d - 1]] for side in states[-1]]
+                else:
+                    above = [side[keys >> (8 + bit), (1 << bit) - 1 + (keys & ((1 << bit) - 1))] for side in upper]
+                own = (ones + 0.5) / (zeros + ones + 1)
+                states.append((above[0] + above[1] * keep[d] * own, above[1] * (1 - keep[d])))
+            left = np.arange(len(codes))
+            for d in reversed(range(len(nodes))):  # the deepest node that is known
+                wanted = codes[left] >> (8 * (DEPTH + 1 - self.TOP - d)) << bit | before[left]
+                keys = nodes[d][0]
+                place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[place] == wanted
+                base[left[hit]], rest[left[hit]] = (side[place[hit]] for side in states[d])
+                left = left[~hit]
+            one = base + rest * 0.5
+            total += np.where(codes >> (7 - bit) & 1, np.log(one), np.log1p(-one))
+        return total / math.log(10)
+
+
+SLICED = "slice int, chunk bigint, codes binary, counts binary"
+
+
+def _sliced(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each slice in sorted keys, and where it is."""
+    cuts = [0, *(np.flatnonzero(np.diff(keys >> 48)) + 1).tolist(), len(keys)]
+    return ((int(keys[at] >> 48), slice(at, end)) for at, end in zip(cuts, cuts[1:], strict=False) if at < end)
+
+
+def _trained_rows(grams: DataFrame) -> DataFrame:
+    """Training grams (code, n) by slice; their chunk is -1, before all others."""
+
+    def rows(source):
+        for held in grouped_batches(((code, n, "") for code, n in source), MERGE_ROWS // 6, 2, 1):
+            codes, counts = (np.array(side, np.int64) for side in list(zip(*held, strict=True))[:2])
+            keys = codes | SLICE_KEYS[codes >> 32]
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            for number, at in _sliced(keys):
+                yield number, -1, (keys[at] & GRAM).tobytes(), counts[at].tobytes()
+
+    return map_rows(grams.select("code", "n"), rows, SLICED)
+
+
+def _each_slice(source) -> Iterator[tuple[int, Subtrees, Iterator[tuple[int, bytes]]]]:
+    """(slice, its trees, the (chunk, grams) asked of it); source is sorted by slice and chunk."""
+    for number, of_slice in itertools.groupby(source, lambda row: row[0]):
+        parts, first = [(np.zeros(0, np.int64),) * 2], None
+        for row in of_slice:
+            if row[1] >= 0:
+                first = row
+                break
+            parts.append((np.frombuffer(row[2], np.int64), np.frombuffer(row[3], np.int64)))
+        asked = itertools.chain([first] if first else [], of_slice)
+        yield number, Subtrees(*_merged(parts)), ((chunk, codes) for _, chunk, codes, _ in asked)
+
+
+def upper_table(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """By last byte and decision: what contexts of no and one byte say of a 1, and the weight left to longer ones."""
+
+    def rows(source):
+        for _, trees, _ in _each_slice(source):
+            for context, counts, logs in zip(*trees.tops(), strict=True):
+                yield int(context) >> 8, int(context), counts.tobytes(), logs.tobytes()
+
+    def fold(tops: pa.Table) -> pa.Table:
+        tops = tops.sort_by("context")  # sums of one order, so that reruns agree
+        counts = sum(np.frombuffer(x, np.int64) for x in tops["counts"].to_pylist())
+        logs = sum(np.frombuffer(x, np.float64) for x in tops["logs"].to_pylist())
+        return pa.table({"last": tops["last"][:1], "counts": pa.array([counts.tobytes()]), "logs": pa.array([logs.tobytes()])})
+
+    tops = map_rows(_trained_rows(grams).repartition("slice").sortWithinPartitions("slice"), rows, "last int, context int, counts binary, logs binary")
+    counts, inner = np.zeros((256, 256), np.int64), np.zeros((256, 255))
+    for last, n, logs in tops.groupBy("last").applyInArrow(fold, "last int, counts binary, logs binary").collect():  # 256 rows at most
+        counts[last], inner[last] = np.frombuffer(n, np.int64), np.frombuffer(logs, np.float64)
+    half = math.log(0.5)
+    base, rest = np.zeros((256, 255)), np.zeros((256, 255))
+    for bit in range(8):
+        at = slice((1 << bit) - 1, (2 << bit) - 1)
+        zeros, ones = bit_counts(counts, bit)
+        own = log_kt(zeros, ones)
+        weighted = half + np.logaddexp(own, inner[:, at])
+        zeros0, ones0 = zeros.sum(axis=0), ones.sum(axis=0)
+        own0 = log_kt(zeros0, ones0)
+        keep0 = np.exp(own0 - np.logaddexp(own0, weighted.sum(axis=0)))
+        keep = np.exp(half + own - weighted)
+        base[:, at] = keep0 * (ones0 + 0.5) / (zeros0 + ones0 + 1) + (1 - keep0) * keep * (ones + 0.5) / (zeros + ones + 1)
+        rest[:, at] = (1 - keep0) * (1 - keep)
+    return base, rest
 
 
 class Model:
-    def __init__(self, tree: Tree, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int):
-        """hashes, counts: the frequent words, by hash."""
-        self.tree, self.hashes, self.counts, self.tokens, self.types = tree, hashes, counts, tokens, types
+    def __init__(self, upper: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int):
+        """upper: as of upper_table; hashes, counts: the frequent words, by hash."""
+        self.upper, self.hashes, self.counts, self.tokens, self.types = upper, hashes, counts, tokens, types
 
 
-def train(docs: DataFrame, text_column: str = "text") -> tuple[Model, DataFrame]:
-    """The bounded model, and the table (code, n) of the words left out of it."""
+def train(docs: DataFrame, text_column: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """The bounded part of the model, and the tables (code, n) of all byte grams and of the words left out of it."""
     counted = materialise(gather_counts(docs, text_column), "ctw-counts")
     sums = {row["kind"]: (row["total"], row["types"]) for row in counted.groupBy("kind").agg(F.sum("n").alias("total"), F.count("*").alias("types")).collect()}
     grams, words = counted.where("kind = 0").select("code", "n"), counted.where("kind = 1").select("code", "n")
@@ -287,8 +435,73 @@ def train(docs: DataFrame, text_column: str = "text") -> tuple[Model, DataFrame]
     least = F.lit(WORD_SHARE * tokens)
     frequent = words.where(F.col("n") >= least).toArrow()  # 1 / WORD_SHARE words at most
     order = np.argsort(frequent["code"].to_numpy())
-    tree = build_tree(grams, sums.get(0, (0, 0))[0])
-    return Model(tree, frequent["code"].to_numpy()[order], frequent["n"].to_numpy()[order], tokens, types), words.where(F.col("n") < least)
+    return Model(upper_table(grams), frequent["code"].to_numpy()[order], frequent["n"].to_numpy()[order], tokens, types), grams, words.where(F.col("n") < least)
+
+
+def chunks(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(chunk, slice, data): ids and normalised texts of a chunk as a compressed Arrow stream; slice is after all others."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(docs.schema[id_column].dataType)
+
+    def rows(source):
+        held_in = TaskContext.get().partitionId() << 20
+        for number, held in enumerate(grouped_batches(source, CHUNK_ROWS, 1, CHUNK_BYTES)):
+            ids, texts = zip(*held, strict=True)
+            batch = pa.record_batch({"id": pa.array(ids, kind), "text": pa.array([b" ".join(words_of(text)) for text in texts], pa.large_binary())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch)
+            yield held_in + number, SLICES, sink.getvalue().to_pybytes()
+
+    return map_rows(docs.select(id_column, text_column), rows, "chunk bigint, slice int, data binary")
+
+
+def _unpacked(data: bytes) -> tuple[list, list[bytes]]:
+    table = pa.ipc.open_stream(data).read_all()
+    return table["id"].to_pylist(), table["text"].to_pylist()
+
+
+def _keyed(texts: list[bytes]) -> Iterator[tuple[Bytes, np.ndarray]]:
+    """Blocks of texts, and each coded byte's gram with its slice."""
+    for held in grouped_batches(((text,) for text in texts), 2000, 0, BLOCK_BYTES):
+        block = Bytes([text for (text,) in held])
+        codes = block.grams()
+        yield block, codes | SLICE_KEYS[codes >> 32]
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _keys_of(texts: list[bytes]) -> np.ndarray:
+    """The distinct grams of texts, by slice."""
+    return _distinct(np.concatenate([_distinct(keys) for _, keys in _keyed(texts)]))
+
+
+def gram_logs(placed: DataFrame, grams: DataFrame, model) -> DataFrame:
+    """(chunk, slice, data): log10 probabilities, as 32-bit floats, of the distinct grams of each chunk, in order."""
+
+    def ask(source):
+        for chunk, data in source:
+            keys = _keys_of(_unpacked(data)[1])
+            for number, at in _sliced(keys):
+                yield number, chunk, (keys[at] & GRAM).tobytes(), None
+
+    def answer(source):
+        for number, trees, asked in _each_slice(source):
+            for held in grouped_batches(asked, 1 << 20, 1, ASKED_BYTES):
+                codes, place = np.unique(np.frombuffer(b"".join([codes for _, codes in held]), np.int64), return_inverse=True)
+                logs = trees.log10_of(codes, model.value.upper).astype(np.float32)[place]
+                at = 0
+                for chunk, codes in held:
+                    yield chunk, number, logs[at : at + len(codes) // 8].tobytes()
+                    at += len(codes) // 8
+
+    asked = map_rows(placed.select("chunk", "data"), ask, SLICED)
+    together = _trained_rows(grams).unionAll(asked).repartition("slice").sortWithinPartitions("slice", "chunk")
+    return map_rows(together, answer, "chunk bigint, slice int, data binary")
 
 
 PARTIAL = "row bigint, {id} {kind}, n_bytes bigint, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>"
@@ -312,11 +525,13 @@ class Scorer:
             values[hit] = np.log10(self.model.counts[place[hit]] + 1)
         self.logs.update(zip(fresh, values.tolist(), strict=True))
 
-    def rows(self, texts: list[list[bytes]]):
-        """(bytes, tokens, frequent tokens, sum of their logs, score, hashes of the others) of each text."""
-        scores = self.model.tree.log10_of([b" ".join(words) for words in texts])
-        for words, score in zip(texts, scores.tolist(), strict=True):
-            words = [*words, END_WORD]
+    def rows(self, texts: list[bytes], logs: np.ndarray):
+        """(bytes, tokens, frequent tokens, sum of their logs, score, hashes of the others) of each text; logs of _keys_of(texts)."""
+        known, scores = _keys_of(texts), []
+        for block, keys in _keyed(texts):
+            scores += np.add.reduceat(logs[np.searchsorted(known, keys)].astype(np.float64), block.starts).tolist()
+        for text, score in zip(texts, scores, strict=True):
+            words = [*text.split(), END_WORD]
             fresh = list(set(words).difference(self.logs))
             if len(self.logs) + len(fresh) > self.ROOM:
                 self.logs.clear()
@@ -330,34 +545,28 @@ class Scorer:
                 self.logs.clear()
 
 
-def score(docs: DataFrame, trained: tuple[Model, DataFrame], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, trained: tuple[Model, DataFrame, DataFrame], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every text."""
-    model, others = trained
+    model, grams, others = trained
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
     schema = PARTIAL.format(id=id_column, kind=kind)
+    placed = materialise(chunks(docs, id_column, text_column), "ctw-chunks")
 
     def rows(source):
         scorer = Scorer(shared.value)
-        row = TaskContext.get().partitionId() << 36
-        held, size = [], 0
-
-        def scored():
-            nonlocal row
-            for key, found in zip([k for k, _ in held], scorer.rows([w for _, w in held]), strict=True):
-                yield row, key, *found
-                row += 1
-
-        for key, text in source:
-            held.append((key, words_of(text)))
-            size += len(text or "")
-            if size >= BLOCK_BYTES or len(held) >= 2000:
-                yield from scored()
-                held, size = [], 0
-        if held:
-            yield from scored()
-
-    partial = materialise(map_rows(docs.select(id_column, text_column), rows, schema, flush=500), "ctw-scores")
+        logs: list[np.ndarray] = []
+        for chunk, number, data in source:  # a chunk's logarithms by slice, then its texts
+            if number < SLICES:
+                logs.append(np.frombuffer(data, np.float32))
+                continue
+            ids, texts = _unpacked(data)
+            for i, (key, found) in enumerate(zip(ids, scorer.rows(texts, np.concatenate(logs)), strict=True)):
+                yield chunk * CHUNK_ROWS + i, key, *found
+            logs = []
+
+    together = gram_logs(placed, grams, shared).unionAll(placed).repartition("chunk").sortWithinPartitions("chunk", "slice")
+    partial = materialise(map_rows(together, rows, schema, flush=500), "ctw-scores")
     found = partial.select("row", F.explode("rare").alias("code")).join(others, "code").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
     joined = partial.drop("rare").join(found, "row", "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)

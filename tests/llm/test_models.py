@@ -184,6 +184,27 @@ def test_op6_base_is_exact_and_the_model_learns(spark, docs):
     assert sum(r.score for r in rows.values()) > -sum(r.n_bytes for r in rows.values()) * math.log10(2) * 3.5
 
 
+def test_op6_keeps_contexts_however_rare(spark):
+    """Contexts that are rarer than one in 2^17 bytes count as much as in a tree that is held whole."""
+    random = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in random.integers(0, 26, n)) for n in random.integers(2, 9, 800)]
+    texts = [" ".join(words[w] for w in random.integers(0, len(words), 300)) for _ in range(130)]
+    train, others = texts[:120], [*texts[115:], "", "unseen Zebra \u00fc\u4e2d", words[0]]
+    grams = ctw_lm.Bytes([t.encode() for t in train]).grams()
+    assert len(grams) > 2**17
+    orders = []
+    for d in range(ctw_lm.DEPTH + 1):
+        contexts, place = np.unique(grams >> 8 * (ctw_lm.DEPTH + 1 - d), return_inverse=True)
+        counts = np.zeros((len(contexts), 256), np.float32)
+        np.add.at(counts, (place, grams & 255), 1)
+        orders.append((contexts, counts))
+    frame = lambda some: spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").repartition(3)
+    rows = {r.doc_id: r.score for r in ctw_lm.score(frame(others), ctw_lm.train(frame(train))).collect()}
+    # The tree's columns are of bytes seen in training or alike, so it knows every byte's probability.
+    want = ctw_lm.Tree(orders).log10_of([t.lower().encode() for t in others])
+    assert np.allclose([rows[i] for i in range(len(others))], want, rtol=1e-5)
+
+
 def test_op6_on_odd_rows(odd, empty):
     rows = ctw_lm.score(odd, ctw_lm.train(odd)).collect()
     assert len(rows) == odd.count() and all(r.score < 0 and r.n_tokens >= 1 for r in rows)
