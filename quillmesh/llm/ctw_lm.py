@@ -24,7 +24,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ SLICES = 1024
 SLICE_KEYS = (np.arange(1 << 16, dtype=np.int64) * 40503 & 0xFFFF) >> 6 << 48  # by the last two bytes, over a gram's 48 bits
 GRAM = (1 << 48) - 1
 BLOCK_BYTES = 1_500_000
-CHUNK_BYTES, CHUNK_ROWS = 8_000_000, 1 << 15
+CHUNK_BYTES, CHUNK_ROWS = 4_000_000, 1 << 15
 ASKED_BYTES = 4_000_000
 MERGE_ROWS = 3_000_000
 FLUSH_WORDS = 300_000
@@ -76,10 +76,11 @@ class Bytes:
 
     def grams(self) -> np.ndarray:
         """Codes of context and symbol: the last byte highest, the symbol lowest."""
-        code = self.data[self.at].astype(np.int64)
+        code = np.zeros((len(self.data), 8), np.uint8)  # of little-endian numbers
+        code[:, 0] = self.data
         for d in range(1, DEPTH + 1):
-            code |= self.data[self.at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
-        return code
+            code[d:, DEPTH + 1 - d] = self.data[:-d]
+        return code.view("<i8")[:, 0][self.at]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -475,9 +476,32 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def _keys_of(texts: list[bytes]) -> np.ndarray:
-    """The distinct grams of texts, by slice."""
-    return _distinct(np.concatenate([_distinct(keys) for _, keys in _keyed(texts)]))
+def _all_distinct(blocks: Iterable[tuple[Bytes, np.ndarray]]) -> np.ndarray:
+    """The distinct grams of blocks of texts, by slice."""
+    return _distinct(np.concatenate([_distinct(keys) for _, keys in blocks]))
+
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Places:
+    """Where keys stand in a sorted array that has them all: by a table of hashes, and by search for those that clash."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        bits = max((8 * len(known)).bit_length(), 10)
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, np.int32)
+        self.table[self._slots(known)] = np.arange(len(known), dtype=np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * MIX >> self.shift).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        place = self.table[self._slots(keys)]
+        other = np.flatnonzero(self.known[place] != keys)
+        place[other] = np.searchsorted(self.known, keys[other])
+        return place
 
 
 def gram_logs(placed: DataFrame, grams: DataFrame, model) -> DataFrame:
@@ -485,7 +509,7 @@ def gram_logs(placed: DataFrame, grams: DataFrame, model) -> DataFrame:
 
     def ask(source):
         for chunk, data in source:
-            keys = _keys_of(_unpacked(data)[1])
+            keys = _all_distinct(_keyed(_unpacked(data)[1]))
             for number, at in _sliced(keys):
                 yield number, chunk, (keys[at] & GRAM).tobytes(), None
 
@@ -526,10 +550,12 @@ class Scorer:
         self.logs.update(zip(fresh, values.tolist(), strict=True))
 
     def rows(self, texts: list[bytes], logs: np.ndarray):
-        """(bytes, tokens, frequent tokens, sum of their logs, score, hashes of the others) of each text; logs of _keys_of(texts)."""
-        known, scores = _keys_of(texts), []
-        for block, keys in _keyed(texts):
-            scores += np.add.reduceat(logs[np.searchsorted(known, keys)].astype(np.float64), block.starts).tolist()
+        """(bytes, tokens, frequent tokens, sum of their logs, score, hashes of the others) of each text; logs of their distinct grams."""
+        blocks = list(_keyed(texts))
+        places = Places(_all_distinct(blocks))
+        scores: list[float] = []
+        for block, keys in blocks:
+            scores += np.add.reduceat(logs[places.of(keys)].astype(np.float64), block.starts).tolist()
         for text, score in zip(texts, scores, strict=True):
             words = [*text.split(), END_WORD]
             fresh = list(set(words).difference(self.logs))
