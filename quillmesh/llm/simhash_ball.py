@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillmesh.llm.common import map_rows, materialise
-from quillmesh.llm.components import components
+from quillmesh.llm.components import components, merged
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCK = 16_384
@@ -170,17 +170,16 @@ def similar_links(keyed: DataFrame, text_column: str) -> DataFrame:
     paired = paired.select("key", F.col("at.key").alias("other"))
     pairs = materialise(paired.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.count("*").alias("n")), "candidates")
     found: list[DataFrame] = []
-    open_pairs = pairs
+    open_pairs, roots = pairs, None
     for _ in range(CLOSEST_ROUNDS):
         closest = _closest(open_pairs)
         found.append(materialise(_verified(closest, chosen), "links"))
-        roots = components(_all(found))
+        roots = components(found[-1]) if roots is None else merged(roots, found[-1])
         of = lambda c, roots=roots: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         apart = open_pairs.join(closest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         open_pairs = materialise(apart.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b", "n"), "open-pairs")
     found.append(materialise(_verified(open_pairs.select("a", "b"), chosen), "links"))
-    links = _all(found)
-    links = links.unionAll(_verified(_remaining_pairs(met, links, chosen), chosen))
+    links = _all(found).unionAll(_verified(_remaining_pairs(met, roots, found[-1], chosen), chosen))
     prints = light.select("key", "fp")
     named = links.join(prints.toDF("a", "fp_a"), "a").join(prints.toDF("b", "fp_b"), "b")
     return named.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
@@ -206,13 +205,16 @@ def _unlike(one: str, other: str):
     return sum((F.bit_count(differ(i).bitwiseOR(differ(i + SKETCH))) for i in range(SKETCH)), F.lit(0))
 
 
-def _remaining_pairs(met: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(a, b): pairs that may be similar of texts in different groups, among those whose band more than LAGS + 1 texts share."""
+def _remaining_pairs(met: DataFrame, roots: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(a, b): pairs that may be similar of texts in different groups, among those whose band more than LAGS + 1 texts share.
+
+    Groups are those of roots, joined by links.
+    """
     none = met.sparkSession.createDataFrame([], "a bigint, b bigint")
     large = met.where(F.col("n") > LAGS + 1)
     if large.isEmpty():
         return none
-    roots = components(links).select(F.col("node").alias("key"), "root")
+    roots = merged(roots, links).select(F.col("node").alias("key"), "root")
     rooted = large.join(roots, "key", "left").select("value", "key", F.coalesce("root", "key").alias("root"))
     several = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
     left = materialise(rooted.join(several, "value", "left_semi").select("key", "root").distinct(), "remaining")

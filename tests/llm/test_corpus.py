@@ -35,6 +35,36 @@ def test_components_of_paths_stars_and_pairs(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_further_links(spark):
+    first, further = [(1, 2), (3, 4), (5, 6), (20, 21)], [(2, 3), (7, 8), (8, 6), (9, 10), (4, 1)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    for some, others in ((first, further), (first, []), ([], further)):
+        rows = components.merged(components.components(frame(some)), frame(others)).collect()
+        name = linked(some + others, {n for p in some + others for n in p})
+        assert sorted(r.node for r in rows) == sorted(name)
+        assert len({(r.root, name[r.node]) for r in rows}) == len(set(name.values())) == len({r.root for r in rows})
+
+
+def test_components_take_few_tasks(spark):
+    """The driver remembers every task, so rounds of few edges must not take one for each shuffle partition."""
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker = spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("components", "components")
+        assert len({r.root for r in components.components(edges).collect()}) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert 0 < tasks < 1200, tasks  # 1752 with a task for each partition
+
+
 def brute_fingerprint(text):
     from xxhash import xxh64_intdigest
 
