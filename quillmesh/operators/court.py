@@ -23,6 +23,10 @@ PENALTIES = [("prison", r"ozodlikdan\s+mahrum\s+qil\w*"), ("restriction", r"ozod
 TERM = r"(?iu)(\d+(?:[.,]\d+)?)\s*(yil|oy|kun|foiz|%|baravar|barobar|BHM|bazaviy\s+hisoblash\s+miqdor\w*|so[ʻ']?m)"
 COURT = r"(?iu)([A-ZЎҚҒҲA-Za-zʻʼ'\-\s]{4,60}?(?:tumanlararo|tuman|shahar|viloyat|respublika)[A-Za-zʻʼ'\-\s]{0,40}?sudi)"
 APPEAL = r"(?iu)[^.\n]{0,160}(?:apellyatsiya|kassatsiya|shikoyat)[^.\n]{0,160}\."
+# The clauses that the patterns of hearings, appeals and references are looked for in: none of them has a mark that ends its clause.
+HEARING_CLAUSE = r"(?:\A|(?![a-z])[.\n])([^.\n]*?(?iu:majlis|yig[ʻ']?ilish)[^.\n]*)"
+APPEAL_CLAUSE = r"(?:\A|(?![a-z])[.\n])([^.\n]*?(?iu:apellyatsiya|kassatsiya|shikoyat)[^.\n]{0,160}\.)"
+LAW_CLAUSE = r"(?:\A|(?![a-z])[.:;!?()])([^.:;!?()]*?(?iu:modda)[^.:;!?()]*)"
 HEARING = r"(?iu)[^.\n]{0,120}(?:majlis\w*|yig[ʻ']?ilish\w*)[^.\n]{0,120}"
 SUSPENDED = r"(?iu)shartli\s+ravishda|shartli\s+hukm|jazoni\s+o[ʻ']?tashdan\s+ozod"
 
@@ -43,10 +47,10 @@ def header_fields(text: Column, intro: Column | None = None) -> list[Column]:
     """Case number, court, judge, dates of decision and hearing, and kind; all but number and kind from the intro."""
     intro = text if intro is None else intro
     nul = lambda c: F.nullif(c, F.lit(""))
-    low = F.lower(F.left(text, F.lit(400)))
-    kind = F.when(low.rlike(r"(?U)\bhukm\b|приговор"), "hukm").when(low.rlike(r"(?U)\bqaror\b|решение"), "qaror").when(low.rlike(r"(?U)\bajrim\b|определение"), "ajrim")
+    kinds = lambda low: F.when(low.rlike(r"(?U)\bhukm\b|приговор"), "hukm").when(low.rlike(r"(?U)\bqaror\b|решение"), "qaror").when(low.rlike(r"(?U)\bajrim\b|определение"), "ajrim")
+    kind = T.bound(F.lower(F.left(text, F.lit(400))), kinds)
     court = nul(F.trim(F.regexp_replace(F.regexp_extract(intro, COURT, 1), r"\s+", " ")))
-    hearing = F.regexp_extract(intro, HEARING, 0)
+    hearing = F.regexp_extract(F.regexp_extract(intro, HEARING_CLAUSE, 1), HEARING, 0)
     return [nul(F.regexp_extract(text, CASE_NUMBER, 1)).alias("case_number"), court.alias("court"), nul(F.regexp_extract(intro, JUDGE, 1)).alias("judge"), T.extract_date(intro).alias("decided_at"), T.extract_date(hearing).alias("hearing_at"), kind.alias("kind")]
 
 
@@ -58,7 +62,8 @@ def with_sections(decisions: DataFrame, text: str = "text") -> DataFrame:
     """
     marked = F.col(text)
     for section, variants in SECTIONS:
-        marked = F.regexp_replace(marked, HEADING_LINE + f"(?iu:{'|'.join(variants)}).*$", f"\x01{section}\x02")
+        name = f"(?iu:{'|'.join(variants)})"
+        marked = F.regexp_replace(marked, rf"(?m)^(?=[^\S\n]*{name}){HEADING_LINE}{name}.*$", f"\x01{section}\x02")
     trim = lambda c: F.btrim(c, F.lit(" \t\r\n"))
     m = F.col("__marked")
     intro = F.when(F.instr(m, "\x01") > 0, trim(F.substring_index(m, "\x01", 1))).otherwise(F.left(m, F.lit(1500)))
@@ -66,11 +71,20 @@ def with_sections(decisions: DataFrame, text: str = "text") -> DataFrame:
     return decisions.withColumn("__marked", marked).select(*decisions.columns, intro.alias("intro"), *parts)
 
 
+def _party(pattern: str) -> str:
+    return rf"(?i:{pattern})[^\S\n]*[:\-—]?[^\S\n]*({NAME})"
+
+
+def role_array(text: Column) -> Column:
+    """Array of the roles of party_array, each once."""
+    return F.array_compact(F.array(*[F.when(text.rlike(_party(pattern)), role) for role, pattern in ROLES]))
+
+
 def party_array(text: Column) -> Column:
     """Array of (role, name), each person once a role."""
 
     def of_role(role: str, pattern: str) -> Column:
-        names = F.regexp_extract_all(text, F.lit(rf"(?i:{pattern})[^\S\n]*[:\-—]?[^\S\n]*({NAME})"), F.lit(1))
+        names = F.regexp_extract_all(text, F.lit(_party(pattern)), F.lit(1))
         first = lambda found: F.filter(found, lambda n, i: F.array_position(F.transform(found, F.lower), F.lower(n)) == i + 1)
         return F.transform(T.bound(names, first), lambda n: F.struct(F.lit(role).alias("role"), n.alias("name")))
 
@@ -80,7 +94,9 @@ def party_array(text: Column) -> Column:
 def reference_array(text: Column) -> Column:
     """Array of distinct (code, article, part), runs of articles spread out."""
     group = lambda m, i: F.regexp_extract(m, LAW_REFERENCE, i)
-    zipped = F.transform(F.regexp_extract_all(text, F.lit(LAW_REFERENCE), F.lit(0)), lambda m: F.struct(group(m, 1).alias("a"), group(m, 2).alias("b"), group(m, 3).alias("c")))
+    clauses = F.regexp_extract_all(text, F.lit(LAW_CLAUSE), F.lit(1))
+    found = F.flatten(F.transform(clauses, lambda s: F.regexp_extract_all(s, F.lit(LAW_REFERENCE), F.lit(0))))
+    zipped = F.transform(found, lambda m: F.struct(group(m, 1).alias("a"), group(m, 2).alias("b"), group(m, 3).alias("c")))
     spread = lambda r: T.bound(resolve_code(r["a"]), lambda code: F.transform(T.expand_articles(r["b"]), lambda n: F.struct(code.alias("code"), n.alias("article"), F.nullif(r["c"], F.lit("")).alias("part"))))
     return F.array_distinct(F.filter(F.flatten(F.transform(zipped, spread)), lambda x: x["code"].isNotNull()))
 
@@ -137,11 +153,11 @@ def read_decisions(decisions: DataFrame, key: str = "case_id", text: str = "text
     cut = with_sections(decisions.select(key, T.canonical(text).alias("raw")), "raw")
     raw, part = F.col("raw"), F.col
     narrated = F.concat_ws("\n", part("circumstances"), part("reasoning"))
-    appeal = F.regexp_extract(F.when(part("conclusion") != "", part("conclusion")).otherwise(raw), APPEAL, 0)
+    appeal = F.regexp_extract(F.regexp_extract(F.when(part("conclusion") != "", part("conclusion")).otherwise(raw), APPEAL_CLAUSE, 1), APPEAL, 0)
     read = cut.select(
         key,
         *header_fields(raw, part("intro")),
-        F.array_distinct(F.transform(party_array(F.concat_ws("\n", part("intro"), part("circumstances"))), lambda p: p["role"])).alias("roles"),
+        role_array(F.concat_ws("\n", part("intro"), part("circumstances"))).alias("roles"),
         evidence(narrated).alias("evidence"),
         reference_array(raw).alias("laws"),
         penalty(part("conclusion")).alias("penalty"),
