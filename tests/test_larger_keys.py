@@ -18,3 +18,9 @@ def test_an_order_may_bear_the_number_of_a_part(spark, tmp_path):
     spark.createDataFrame([(1000007, 1, 9.0), (5, 1, 8.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(5, 7), (1000007, 8)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(RQ.graph_expansion(spark, str(tmp_path)).collect()) == [(1, 1000007, 3.2), (1, 1000008, 3.6)]
+
+
+def test_a_code_is_named_where_a_word_begins(spark):
+    asked = ["31-modda erlyer relyer", "31-modda yerga oid", "31-modda (oila kodeksi)", "31-modda ayer uy-joy", "erlyer"]
+    found = spark.createDataFrame([(q,) for q in asked], "q string").select(*T.article_reference("q", False)).collect()
+    assert [tuple(r) for r in found] == [("31", None), ("31", "yer"), ("31", "oila"), ("31", "uy-joy"), (None, None)]
